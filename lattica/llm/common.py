@@ -86,8 +86,8 @@ def map_text(
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a batch into runs of rows of at most ``max_bytes`` of text each.
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21, max_rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut a batch into runs of at most ``max_rows`` rows and ``max_bytes`` of text each.
 
     Yields (first row, last row exclusive, bytes, offsets).  A text longer than
     the bound comes alone and whole.
@@ -99,6 +99,27 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21) -> Iter
     first = 0
     while first < len(text):
         last = int(np.searchsorted(offsets, offsets[first] + max_bytes, side="right")) - 1
-        last = min(max(last, first + 1), len(text))
+        last = min(max(last, first + 1), first + max_rows, len(text))
         yield first, last, raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+
+
+def map_rows(docs: DataFrame, id_col: str, text_col: str, schema: str, row: Callable[[str], tuple]) -> DataFrame:
+    """The id with the columns of ``schema`` that ``row`` makes of each text (null: the empty text)."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    names = [part.split()[0] for part in schema.split(",")]
+    types = T._parse_datatype_string(schema)
+
+    def body(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = batch.column(text_col)
+        for first in range(0, batch.num_rows, 512):
+            ids = batch.column(id_col).slice(first, 512)
+            made = [row(text.as_py() or "") for text in texts.slice(first, 512)]
+            columns = [pa.array(list(c), _arrow(f.dataType)) for c, f in zip(zip(*made, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, *columns], names=[id_col, *names])
+
+    return map_text(docs, f"`{id_col}` {kind}, {schema}", body, list(dict.fromkeys([id_col, text_col])))
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}[kind.simpleString()]
