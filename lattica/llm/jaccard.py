@@ -144,7 +144,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                 names=["grp", "grp_n", "grp_values", "node", "values"],
             )
 
-    texts = hashed.join(wanted, (hashed["text_hash"] == wanted["text_hash"]) & hashed["id"].eqNullSafe(wanted["one_id"])).drop(wanted["text_hash"])
+    # Shuffled at every size, so that what is moved follows the input.
+    texts = hashed.join(wanted.hint("merge"), (hashed["text_hash"] == wanted["text_hash"]) & hashed["id"].eqNullSafe(wanted["one_id"])).drop(wanted["text_hash"])
     members = map_text(texts, "grp long, grp_n long, grp_values long, node long, values binary", values_of, ["grp", "grp_n", "grp_values", "node", "text"])
     linked = components(spark, verified(members, percent), "jaccard-links")
 
