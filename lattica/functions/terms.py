@@ -16,7 +16,8 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 OWL = "http://www.w3.org/2002/07/owl#"
-CODE = "http://example.org/code-ontology#"
+#: Fixed value: the namespace of the code vocabulary.
+CODE = "http://codeontology.org/"
 KG = "http://kg.local/"
 
 RDF_TYPE = f"<{RDF}type>"

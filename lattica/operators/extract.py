@@ -22,12 +22,12 @@ from lattica.functions.staging import ship
 from lattica.model import BASE, ENTITY, entity_uri
 
 _NAME = r"[A-Za-z_$][\w$]*"
-_FUNCTION = re.compile(rf"^[ \t]*(?P<export>export\s+(?P<default>default\s+)?)?(?P<async>async\s+)?function\s*(?P<star>\*)?\s*(?P<name>{_NAME})?\s*(?:<[^>()]*>)?\s*\(", re.MULTILINE)
+_FUNCTION = re.compile(rf"(?:^|(?<=[;{{}}]))[ \t]*(?P<export>export\s+(?P<default>default\s+)?)?(?P<async>async\s+)?function\s*(?P<star>\*)?\s*(?P<name>{_NAME})?\s*(?:<[^>()]*>)?\s*\(", re.MULTILINE)
 _ARROW = re.compile(rf"^[ \t]*(?P<export>export\s+(?P<default>default\s+)?)?(?:(?:const|let|var)\s+(?P<name>{_NAME})\s*(?::[^=\n]+)?=\s*)?(?P<async>async\s+)?(?:\((?P<params>[^()]*(?:\([^()]*\)[^()]*)*)\)|(?P<one>{_NAME}))\s*(?::\s*[^=\n{{]+)?=>", re.MULTILINE)
-_CLASS = re.compile(rf"^[ \t]*(?P<export>export\s+(?P<default>default\s+)?)?(?P<abstract>abstract\s+)?class\s+(?P<name>{_NAME})\s*(?:<(?P<types>[^>{{]*)>)?\s*(?:extends\s+(?P<extends>[\w$.]+)(?:<[^{{]*?>)?)?\s*(?:implements\s+(?P<implements>[^{{]+?))?\s*\{{", re.MULTILINE)
-_INTERFACE = re.compile(rf"^[ \t]*(?P<export>export\s+(?P<default>default\s+)?)?(?P<word>interface|type)\s+(?P<name>{_NAME})\s*(?:<(?P<types>[^>{{=]*)>)?\s*(?:extends\s+(?P<extends>[^{{]+?))?\s*[{{=]", re.MULTILINE)
-_VARIABLE = re.compile(rf"^[ \t]*(?P<export>export\s+)?(?P<word>const|let|var)\s+(?P<name>{_NAME})\s*(?::\s*(?P<type>[^=;\n]+?))?\s*(?:=(?!>)\s*(?P<init>[^\n;]*))?", re.MULTILINE)
-_METHOD = re.compile(rf"^[ \t]*(?P<words>(?:(?:public|private|protected|static|async|readonly|abstract|override|get|set)\s+)*)(?P<star>\*\s*)?(?P<name>#?{_NAME})\s*(?:<[^>()]*>)?\s*\(", re.MULTILINE)
+_CLASS = re.compile(rf"(?:^|(?<=[;{{}}]))[ \t]*(?P<export>export\s+(?P<default>default\s+)?)?(?P<abstract>abstract\s+)?class\s+(?P<name>{_NAME})\s*(?:<(?P<types>[^>{{]*)>)?\s*(?:extends\s+(?P<extends>[\w$.]+)(?:<[^{{]*?>)?)?\s*(?:implements\s+(?P<implements>[^{{]+?))?\s*\{{", re.MULTILINE)
+_INTERFACE = re.compile(rf"(?:^|(?<=[;{{}}]))[ \t]*(?P<export>export\s+(?P<default>default\s+)?)?(?P<word>interface|type)\s+(?P<name>{_NAME})\s*(?:<(?P<types>[^>{{=]*)>)?\s*(?:extends\s+(?P<extends>[^{{]+?))?\s*[{{=]", re.MULTILINE)
+_VARIABLE = re.compile(rf"(?:^|(?<=[;{{}}]))[ \t]*(?P<export>export\s+)?(?P<word>const|let|var)\s+(?P<name>{_NAME})\s*(?::\s*(?P<type>[^=;\n]+?))?\s*(?:=(?!>)\s*(?P<init>[^\n;]*))?", re.MULTILINE)
+_METHOD = re.compile(rf"(?:^|(?<=[;{{}}]))[ \t]*(?P<words>(?:(?:public|private|protected|static|async|readonly|abstract|override|get|set)\s+)*)(?P<star>\*\s*)?(?P<name>#?{_NAME})\s*(?:<[^>()]*>)?\s*\(", re.MULTILINE)
 _PROPERTY = re.compile(rf"^[ \t]*(?P<words>(?:(?:public|private|protected|static|readonly|declare|abstract)\s+)*)(?P<name>#?{_NAME})\s*[?!]?\s*(?::\s*(?P<type>[^=;\n]+?))?\s*(?:=\s*(?P<init>[^\n;]*))?;?[ \t]*$", re.MULTILINE)
 _IMPORT = re.compile(r"""^[ \t]*import\s+(?P<type>type\s+)?(?:(?P<what>[\w$*{}\s,]+?)\s+from\s+)?['"](?P<path>[^'"\n]+)['"]""", re.MULTILINE)
 _REQUIRE = re.compile(r"""\b(?:const|let|var)\s+(?P<what>[\w$]+|\{[^}]*\})\s*=\s*require\(\s*['"](?P<path>[^'"\n]+)['"]\s*\)""")

@@ -297,5 +297,11 @@ def serialise(triples: DataFrame, kind: str = "turtle") -> Iterator[str]:
 
 
 def write(triples: DataFrame, path: str, kind: str = "nt") -> None:
-    """Write part files of one of the line formats (nt, turtle)."""
-    WRITERS[kind](triples).write.mode("overwrite").text(path)
+    """Write part files of a line format (nt, turtle), or one document of another in a single sorted part."""
+    if kind in ("nt", "turtle"):
+        WRITERS[kind](triples).write.mode("overwrite").text(path)
+        return
+    head, tail = (f'<rdf:RDF xmlns:rdf="{RDF}">', "</rdf:RDF>") if kind == "xml" else ("[", "{}]")
+    ends = triples.sparkSession.createDataFrame([(0, head), (9, tail)], "place int, value string")
+    body = WRITERS[kind](triples).select(F.lit(1).alias("place"), "value" if kind == "xml" else F.concat("value", F.lit(",")).alias("value"))
+    ends.unionByName(body).orderBy("place", "value").coalesce(1).select("value").write.mode("overwrite").text(path)
