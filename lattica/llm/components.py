@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,11 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     return labels
 
 
+def as_hashes(values: bytes) -> np.ndarray:
+    """A sorted array of 64-bit hashes from its bytes."""
+    return np.frombuffer(values, dtype=np.uint64)
+
+
 class Forest:
     """Union-find over the rows of one block."""
 
@@ -101,11 +106,11 @@ def links(arrays: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int
     return out
 
 
-def verified(members: DataFrame, percent: int, block: int = 64, most_blocks: int = 64, block_bytes: int = 8 << 20) -> DataFrame:
+def verified(members: DataFrame, percent: int, block: int = 64, most_blocks: int = 16, block_bytes: int = 8 << 20, decode: Callable[[bytes], np.ndarray] = as_hashes) -> DataFrame:
     """Links (a, b) between the members of each group.
 
     ``members`` has grp, grp_n (members), grp_values (values in all their
-    sets), node and values (a sorted array of 64-bit hashes, as bytes).  A group
+    sets), node and values (bytes that ``decode`` makes a sorted array of).  A group
     is dealt into blocks by the hash of the node and every pair of blocks is
     one task's work: a small group is one block, a large one has up to
     ``most_blocks`` (more only where a block would pass ``block_bytes``), so no
@@ -138,7 +143,7 @@ def verified(members: DataFrame, percent: int, block: int = 64, most_blocks: int
     def settle(key, rows) -> list[tuple[int, int]]:
         if len(rows) < 2:
             return []
-        arrays = [np.frombuffer(values, dtype=np.uint64) for _, _, values in rows]
+        arrays = [decode(values) for _, _, values in rows]
         sides = np.array([own for own, _, _ in rows])
         return [(rows[a][1], rows[b][1]) for a, b in links(arrays, sides, key[1] != key[2], percent)]
 

@@ -31,20 +31,27 @@ from lattica.llm import textscan
 from lattica.llm.common import map_text, slices, stage, text_column
 from lattica.llm.components import components, grouped, verified
 
+#: The shingle length is a power of two.
 SHINGLE, BANDS, ROWS = 8, 12, 5
 _BINS = BANDS * ROWS
 _HASH_BITS = 48
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << _HASH_BITS) - 1)
+#: Bytes of text handled at once: small enough for a core's cache.
+_CHUNK = 1 << 17
 _lower: list[np.ndarray] = []
 
 
-def _lowered(codes: np.ndarray) -> np.ndarray:
-    """Lower case of code points below 0x3000."""
+def _lowered(text: bytes) -> np.ndarray:
+    """Code points of a UTF-8 text, in lower case below 0x3000."""
     if not _lower:
         _lower.append(np.array([ord(low) if len(low := chr(c).lower()) == 1 else c for c in range(0x3000)], dtype=np.uint64))
-    table = _lower[0]
-    return np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], codes)
+    codes = np.frombuffer(text.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out = _lower[0][np.minimum(codes, 0x2FFF)]
+    high = codes >= 0x3000
+    if high.any():
+        out[high] = codes[high]
+    return out
 
 
 class LineSets:
@@ -61,7 +68,7 @@ class LineSets:
         if not self.count:
             return
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
-        codes = _lowered(np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+        codes = _lowered(raw.tobytes())
         begin, end = np.searchsorted(lead, first), np.searchsorted(lead, last)
         rolled = _rolling(codes)
         for lo in range(0, self.count, 1 << 16):
@@ -69,31 +76,28 @@ class LineSets:
             self._fill(codes, rolled, begin[lo:hi], end[lo:hi], lo)
 
     def _fill(self, codes: np.ndarray, rolled: np.ndarray, begin: np.ndarray, end: np.ndarray, lo: int) -> None:
-        grams = np.maximum(end - begin - SHINGLE + 1, 1)
-        bounds = np.concatenate([[0], np.cumsum(grams)])
-        line = np.repeat(np.arange(len(begin)), grams)
-        at = np.arange(bounds[-1]) - bounds[line] + begin[line]
-        hashes = rolled[np.minimum(at, len(rolled) - 1)] if len(rolled) else np.zeros(len(at), np.uint64)
-        for k in np.flatnonzero(end - begin < SHINGLE).tolist():
-            hashes[bounds[k]] = _short(codes[begin[k] : end[k]])
-        keys = np.sort((line.astype(np.uint64) << np.uint64(_HASH_BITS)) | (hashes & _LOW))
-        keep = np.concatenate([[True], keys[1:] != keys[:-1]])
-        keys = keys[keep]
+        full = np.flatnonzero(end - begin >= SHINGLE)
+        edge = np.zeros(len(codes) + 1, dtype=np.int8)
+        edge[begin[full]] = 1
+        edge[end[full] - SHINGLE + 1] -= 1
+        inside = np.cumsum(edge[: len(rolled)], dtype=np.int8).astype(bool)
+        line = np.repeat(full.astype(np.uint64), end[full] - begin[full] - SHINGLE + 1)
+        keys = (line << np.uint64(_HASH_BITS)) | (rolled[inside] & _LOW)
+        short = np.flatnonzero(end - begin < SHINGLE)
+        if len(short):
+            own = [(k << _HASH_BITS) | int(_short(codes[begin[k] : end[k]]) & _LOW) for k in short.tolist()]
+            keys = np.concatenate([keys, np.array(own, dtype=np.uint64)])
+        keys.sort()
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
         line = (keys >> np.uint64(_HASH_BITS)).astype(np.int64)
         values = keys & _LOW
         bounds = np.searchsorted(line, np.arange(len(begin) + 1))
         self.sizes[lo : lo + len(begin)] = np.diff(bounds)
         with np.errstate(over="ignore"):
-            sums = np.add.reduceat(textscan.mix(values, 3), bounds[:-1])
-            self.nodes[lo : lo + len(begin)] = textscan.mix(sums + np.diff(bounds).astype(np.uint64))
+            self.nodes[lo : lo + len(begin)] = textscan.mix(np.add.reduceat(values, bounds[:-1]) + (np.diff(bounds).astype(np.uint64) << np.uint64(_HASH_BITS)))
         self.values.append(values)
         self.value_bounds.append(bounds)
 
-    def of(self, k: int) -> np.ndarray:
-        """The sorted shingle hashes of line ``k``."""
-        values, bounds = self.values[k >> 16], self.value_bounds[k >> 16]
-        return values[bounds[k & 0xFFFF] : bounds[(k & 0xFFFF) + 1]]
-
     def bands(self) -> np.ndarray:
         """A row of band hashes for each line."""
         out = [band_hashes(signatures(values, bounds)) for values, bounds in zip(self.values, self.value_bounds, strict=True)]
@@ -110,13 +114,27 @@ def line_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _rolling(codes: np.ndarray) -> np.ndarray:
-    return textscan.gram_hashes(codes, SHINGLE)
+    """Hashes of the shingles from each place, by doubling their length."""
+    out, width = codes, 1
+    with np.errstate(over="ignore"):
+        while width < SHINGLE:
+            if len(out) <= width:
+                return np.zeros(0, np.uint64)
+            out = out[:-width] * np.uint64(pow(0xD6E8FEB86659FD93, width, 1 << 64)) + out[width:]
+            width *= 2
+    return textscan.mix(out, SHINGLE)
 
 
 def _short(codes: np.ndarray) -> np.uint64:
     return textscan.gram_hashes(codes, len(codes))[0]
 
 
+def line_values(line: bytes) -> np.ndarray:
+    """The sorted shingle hashes of one line."""
+    codes = _lowered(line)
+    return np.unique((_rolling(codes) if len(codes) >= SHINGLE else textscan.gram_hashes(codes, len(codes))) & _LOW)
+
+
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The smallest hash of each bin, for sorted sets ``values[bounds[i]:bounds[i + 1]]``."""
     n = len(bounds) - 1
@@ -163,7 +181,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
     def describe(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for first, last, raw, offsets in slices(batch, "text"):
+        for first, last, raw, offsets in slices(batch, "text", _CHUNK):
             sets = LineSets(raw, offsets)
             nodes = sets.nodes.view(np.int64)
             fresh = np.zeros(sets.count, dtype=bool)
@@ -198,24 +216,24 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     # A document's own lines at most: bounded by the longest text.
     wanted = wanted.agg(F.collect_list(F.struct("line", "grp", "grp_n", "grp_values", "node")).alias("wanted"))
 
-    def values_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def lines_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         asked = batch.column("wanted")
-        for first, last, raw, offsets in slices(batch, "text"):
-            sets = LineSets(raw, offsets)
-            nodes = sets.nodes.view(np.int64)
+        for first, last, raw, offsets in slices(batch, "text", _CHUNK):
+            begin, end = line_bounds(raw, offsets)
+            bounds = textscan.per_text(begin, offsets)
             out = []
             for k in range(last - first):
                 for want in asked[first + k].as_py():
-                    at = int(sets.bounds[k]) + want["line"]
-                    if at < sets.bounds[k + 1] and nodes[at] == want["node"]:
-                        out.append((want["grp"], want["grp_n"], want["grp_values"], want["node"], sets.of(at).tobytes()))
+                    at = int(bounds[k]) + want["line"]
+                    if at < bounds[k + 1]:
+                        out.append((want["grp"], want["grp_n"], want["grp_values"], want["node"], raw[begin[at] : end[at]].tobytes()))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["grp", "grp_n", "grp_values", "node", "values"])
 
     # Shuffled at every size, so that what is moved follows the input.
     texts = hashed.join(wanted.hint("merge"), (F.col("text_hash") == F.col("one_hash")) & F.col("id").eqNullSafe(F.col("one_id")))
-    members = map_text(texts, "grp long, grp_n long, grp_values long, node long, values binary", values_of, ["wanted", "text"])
-    linked = components(spark, verified(members, percent), "lines-links")
+    members = map_text(texts, "grp long, grp_n long, grp_values long, node long, values binary", lines_of, ["wanted", "text"])
+    linked = components(spark, verified(members, percent, decode=line_values), "lines-links")
 
     placed = each.join(linked, "node", "left").select("id", "text_hash", "line", F.coalesce("root", "node").alias("root"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "line")
