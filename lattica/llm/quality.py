@@ -28,7 +28,7 @@ from lattica.llm.common import map_text, text_column
 from lattica.llm.langid import held_out
 from lattica.llm.rules import sample
 
-PIECE, DICTIONARY = 4096, 112 << 10
+PIECE, DICTIONARY = 128, 112 << 10
 _SHAPE = bytes(
     ord("x") if 97 <= b <= 122 or b >= 0x80 else ord("X") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256)
 )
@@ -83,7 +83,7 @@ def _content(texts: list[bytes]) -> bytes:
     return b"\n".join(t[:each] for t in texts)[:DICTIONARY]
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, decay: float = 1e-3) -> np.ndarray:
+def calibrate(x: np.ndarray, y: np.ndarray, decay: float = 1e-4) -> np.ndarray:
     """Logistic regression by Newton's method on scaled columns."""
     scale = np.maximum(np.abs(x).mean(axis=0), 1e-9)
     z, w = x / scale, np.zeros(x.shape[1])
