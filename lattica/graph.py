@@ -89,6 +89,11 @@ class Stored:
 Maker = Key | Value | Fixed | Stored
 
 
+def apart(a: Maker, b: Maker) -> bool:
+    """Whether two makers surely make different terms: keys whose prefixes are no beginnings of each other."""
+    return isinstance(a, Key) and isinstance(b, Key) and not a.prefix.startswith(b.prefix) and not b.prefix.startswith(a.prefix)
+
+
 @dataclass(frozen=True)
 class Mapping:
     """One predicate's triples in one table; ``single`` says that a subject has one value at most."""

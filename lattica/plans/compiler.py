@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from lattica.functions import terms
 from lattica.functions.terms import XSD
-from lattica.graph import Fixed, Graph
+from lattica.graph import Fixed, Graph, apart
+from lattica.graph import Value as FromColumn
 from lattica.operators import paths
 from lattica.plans import algebra as A
 from lattica.plans.parser import QueryError, parse
@@ -31,16 +32,37 @@ def column_of(var: str) -> str:
     return f"v_{name.lower()}" + (f"__{upper:x}" if upper else "")
 
 
+def native_of(var: str) -> str:
+    """The column that holds a variable's plain value beside its term."""
+    return "n" + column_of(var)
+
+
 @dataclass
 class Solutions:
-    """Rows of bindings; ``bound`` tells which variables have a value in every row."""
+    """Rows of bindings; ``bound`` tells which variables have a value in every row.
+
+    A variable read from a typed column keeps that column too (``native``, by
+    kind), so that filters and arithmetic work on it and reach the scan.
+    """
 
     df: DataFrame
     bound: dict[str, bool] = field(default_factory=dict)
+    native: dict[str, str] = field(default_factory=dict)
 
     def col(self, var: str) -> Column:
         return self.df[column_of(var)]
 
+    def plain(self, var: str) -> Column:
+        return self.df[native_of(var)]
+
+    def value(self, var: str) -> Value:
+        if var in self.native:
+            return Value(self.plain(var), self.native[var], self.col(var))
+        return Value(self.col(var) if var in self.bound else F.lit(None).cast("string"), "term")
+
+    def columns(self, without: set[str] = frozenset()) -> list[Column]:
+        return [self.col(v) for v in self.bound if v not in without] + [self.plain(v) for v in self.native if v not in without]
+
 
 @dataclass
 class Value:
@@ -48,8 +70,11 @@ class Value:
 
     col: Column
     kind: str
+    made: Column | None = None
 
     def term(self) -> Column:
+        if self.made is not None:
+            return self.made
         if self.kind == "term":
             return self.col
         local = {"int": "integer", "num": "double", "str": "string", "bool": "boolean", "time": "dateTime"}[self.kind]
@@ -180,19 +205,24 @@ class Compiler:
         for var, expr in items:
             if expr is not None:
                 found = self._extend(found, var.name, expr)
-        if order:
+        def ordered(found: Solutions) -> Solutions:
             keys = [terms.sort_key(self.value(e, found).term()) for e, _ in order]
-            found = Solutions(found.df.orderBy(*[k.desc() if down else k.asc() for k, (_, down) in zip(keys, order, strict=True)]), found.bound)
+            return Solutions(found.df.orderBy(*[k.desc() if down else k.asc() for k, (_, down) in zip(keys, order, strict=True)]), found.bound, found.native)
+
+        if order and not q.distinct:
+            found = ordered(found)
         if q.form == "select":
             names = [v for v in self._names_of(q)]
             have = [v for v in dict.fromkeys(names) if v in found.bound]
-            found = Solutions(found.df.select(*[found.col(v) for v in have]), {v: found.bound[v] for v in have})
+            native = {} if q.distinct else {v: k for v, k in found.native.items() if v in have}
+            found = Solutions(found.df.select(*[found.col(v) for v in have], *[found.plain(v) for v in native]), {v: found.bound[v] for v in have}, native)
             if q.distinct:
                 found = Solutions(found.df.distinct(), found.bound)
+                found = ordered(found) if order else found
         if q.offset:
-            found = Solutions(found.df.offset(q.offset), found.bound)
+            found = Solutions(found.df.offset(q.offset), found.bound, found.native)
         if q.limit is not None:
-            found = Solutions(found.df.limit(q.limit), found.bound)
+            found = Solutions(found.df.limit(q.limit), found.bound, found.native)
         return found
 
     def _grouped(self, q: A.Select, found: Solutions) -> tuple[Solutions, list, list]:
@@ -224,7 +254,7 @@ class Compiler:
         df = found.df.groupBy(*[found.col(k) for k in keys]).agg(*columns) if columns else found.df.select(*[found.col(k) for k in keys]).distinct()
         out = Solutions(df, {k: found.bound[k] for k in keys} | {v.name: a.name == "COUNT" for a, v in made.items()})
         for e in having:
-            out = Solutions(out.df.where(self.value(e, out).truth()), out.bound)
+            out = Solutions(out.df.where(self.value(e, out).truth()), out.bound, out.native)
         return out, items, order
 
     def _aggregate(self, a: A.Aggregate, found: Solutions) -> Column:
@@ -255,7 +285,10 @@ class Compiler:
 
     def _extend(self, found: Solutions, var: str, expr: object) -> Solutions:
         value = self.value(expr, found)
-        return Solutions(found.df.withColumn(column_of(var), value.term()), found.bound | {var: isinstance(expr, A.Term) or (isinstance(expr, A.Var) and found.bound.get(expr.name, False))})
+        df, native = found.df.withColumn(column_of(var), value.term()), {v: k for v, k in found.native.items() if v != var}
+        if value.kind in ("int", "num", "str"):
+            df, native = df.withColumn(native_of(var), value.col), native | {var: value.kind}
+        return Solutions(df, found.bound | {var: isinstance(expr, A.Term) or (isinstance(expr, A.Var) and found.bound.get(expr.name, False))}, native)
 
     # Graph patterns.
     def group(self, group: A.Group) -> Solutions:
@@ -312,15 +345,16 @@ class Compiler:
             own = [p.expr for p in expr.group.parts if isinstance(p, A.Filter)]
             inner = self.group(A.Group([p for p in expr.group.parts if not isinstance(p, A.Filter)]))
             right, pairs = self._apart(found, inner)
-            return Solutions(found.df.join(right.df, self._condition(found, right, pairs, own), "left_anti" if expr.negated else "left_semi"), found.bound)
-        return Solutions(found.df.where(self.value(expr, found).truth()), found.bound)
+            return Solutions(found.df.join(right.df, self._condition(found, right, pairs, own), "left_anti" if expr.negated else "left_semi"), found.bound, found.native)
+        return Solutions(found.df.where(self.value(expr, found).truth()), found.bound, found.native)
 
     def _apart(self, left: Solutions, right: Solutions) -> tuple[Solutions, dict[str, str]]:
         """``right`` with shared variables renamed, and the new name of each."""
         self._names += 1
         pairs = {v: f" r{self._names}{v}" for v in right.bound if v in left.bound}
-        df = right.df.select(*[right.col(v).alias(column_of(pairs.get(v, v))) for v in right.bound]) if right.bound else right.df
-        return Solutions(df, {pairs.get(v, v): sure for v, sure in right.bound.items()}), pairs
+        native = {v: k for v, k in right.native.items() if v not in pairs}
+        columns = [right.col(v).alias(column_of(pairs.get(v, v))) for v in right.bound] + [right.plain(v) for v in native]
+        return Solutions(right.df.select(*columns) if columns else right.df, {pairs.get(v, v): sure for v, sure in right.bound.items()}, native), pairs
 
     def _condition(self, left: Solutions, right: Solutions, pairs: dict[str, str], filters: list | None = None) -> Column:
         """Compatibility of two solutions, and filters over both."""
@@ -334,7 +368,7 @@ class Compiler:
                 same = same | b.isNull()
             out = out & same
         if filters:
-            names = {v: left.col(v) for v in left.bound} | {v: right.col(v) for v in right.bound if v not in pairs.values()}
+            names = {v: left.value(v) for v in left.bound} | {v: right.value(v) for v in right.bound if v not in pairs.values()}
             for expr in filters:
                 out = out & F.coalesce(self.value(expr, names).truth(), F.lit(False))
         return out
@@ -345,10 +379,12 @@ class Compiler:
         shared = [v for v in right.bound if v in left.bound]
         if all(left.bound[v] and right.bound[v] for v in shared):
             on = [column_of(v) for v in shared]
-            right_df = right.df.select(*[right.col(v) for v in right.bound]) if right.bound else right.df.select()
-            left_df = left.df.select(*[left.col(v) for v in left.bound]) if left.bound else left.df.select()
+            more = {v: k for v, k in right.native.items() if v not in left.native}
+            left_df = left.df.select(*left.columns())
+            right_df = right.df.select(*[right.col(v) for v in right.bound], *[right.plain(v) for v in more])
+            # Only a query without a shared variable multiplies its parts, as it asks to.
             df = left_df.join(right_df, on) if on else left_df.crossJoin(right_df)
-            return Solutions(df, left.bound | {v: right.bound[v] for v in right.bound if v not in left.bound})
+            return Solutions(df, left.bound | {v: right.bound[v] for v in right.bound if v not in left.bound}, left.native | more)
         apart, pairs = self._apart(left, right)
         df = left.df.join(apart.df, self._condition(left, apart, pairs))
         return self._merged(left, apart, pairs, df, optional=False)
@@ -364,7 +400,9 @@ class Compiler:
         bound = {v: sure or (v in pairs and right.bound[pairs[v]] and not optional) for v, sure in left.bound.items()}
         bound |= {v: right.bound[v] and not optional for v in new}
         columns += [right.col(v) for v in new]
-        return Solutions(df.select(*columns) if columns else df, bound)
+        native = {v: k for v, k in left.native.items() if v not in pairs or left.bound[v]} | right.native
+        columns += [(right if v in right.native else left).plain(v) for v in native]
+        return Solutions(df.select(*columns) if columns else df, bound, native)
 
     def minus(self, left: Solutions, right: Solutions) -> Solutions:
         """Solutions without a compatible one on the right that shares a bound variable."""
@@ -374,7 +412,7 @@ class Compiler:
         condition = self._condition(left, apart, pairs)
         if not any(left.bound[v] and apart.bound[w] for v, w in pairs.items()):
             condition = condition & reduce(Column.__or__, [left.col(v).isNotNull() & apart.col(w).isNotNull() for v, w in pairs.items()])
-        return Solutions(left.df.join(apart.df, condition, "left_anti"), left.bound)
+        return Solutions(left.df.join(apart.df, condition, "left_anti"), left.bound, left.native)
 
     def union(self, parts: list[Solutions]) -> Solutions:
         names = list(dict.fromkeys(v for p in parts for v in p.bound))
@@ -398,37 +436,45 @@ class Compiler:
                 return (not linked, isinstance(t.p, A.Repeat), not isinstance(t.p, A.Term), -len(ends))
 
             best = min(left, key=cost)
-            left.remove(best)
-            star = [best]
-            table = self._table(best)
-            if table:
-                star += [t for t in left if t.s == best.s and self._table(t) == table]
-                left = [t for t in left if t not in star]
-            one = self._star(star, table) if table else self.triple(best)
+            star, table = self._star_of(best, left)
+            left = [t for t in left if t is not best and t not in star]
+            one = self._star(star, table) if star else self.triple(best)
             found = self.join(found, one)
             known |= set(one.bound)
         return found
 
-    def _table(self, t: A.Triple) -> tuple | None:
-        """The one table and subject that hold this pattern's triples, one value a subject."""
-        if not isinstance(t.p, A.Term) or self.graph.loose:
-            return None
-        sources = self.graph.sources(t.p.text)
-        if t.p.text == terms.RDF_TYPE and isinstance(t.o, A.Term):
-            sources = [m for m in sources if not isinstance(m.object, Fixed) or m.object.text == t.o.text]
-        if len(sources) == 1 and sources[0].single:
-            return sources[0].table, sources[0].subject
-        return None
+    def _sources(self, t: A.Triple) -> list:
+        """Where a pattern's triples can come from, by its predicate and by a constant object that is fixed."""
+        return [m for m in self.graph.sources(t.p.text) if not (isinstance(t.o, A.Term) and isinstance(m.object, Fixed) and m.object.text != t.o.text)]
+
+    def _star_of(self, best: A.Triple, left: list[A.Triple]) -> tuple[list[A.Triple], tuple | None]:
+        """The patterns of ``best``'s subject, itself among them, that one table holds with one value a subject.
+
+        A pattern that has one source only, such as a type, tells the table;
+        another pattern belongs to it when no other source has such subjects.
+        """
+        if self.graph.loose:
+            return [], None
+        own = [t for t in left if t.s == best.s and isinstance(t.p, A.Term)]
+        for t in own:
+            sources = self._sources(t)
+            if len(sources) == 1 and sources[0].single:
+                table = sources[0].table, sources[0].subject
+                star = [u for u in own if [(m.table, m.subject, m.single) for m in self._sources(u) if not apart(m.subject, table[1])] == [(*table, True)]]
+                if best in star:
+                    return star, table
+        return [], None
 
     def _star(self, star: list[A.Triple], table: tuple) -> Solutions:
         """Patterns over one subject and table as one scan."""
         df = self.graph.tables[table[0]]
         makers: list[tuple[object, object]] = [(star[0].s, table[1])]
         for t in star:
-            sources = [m for m in self.graph.sources(t.p.text) if (m.table, m.subject) == table and not (isinstance(t.o, A.Term) and isinstance(m.object, Fixed) and m.object.text != t.o.text)]
+            sources = [m for m in self._sources(t) if (m.table, m.subject) == table]
             makers.append((t.o, sources[0].object))
         conditions: list[Column] = []
         made: dict[str, Column] = {}
+        native: dict[str, tuple[str, Column]] = {}
         for node, maker in makers:
             if not isinstance(maker, Fixed):
                 conditions.append(df[maker.column].isNotNull())
@@ -438,8 +484,12 @@ class Compiler:
                 conditions.append(made[node.name] == maker.term(df))
             else:
                 made[node.name] = maker.term(df)
+                kind = {"integer": "int", "double": "num", "string": "str"}.get(maker.kind) if isinstance(maker, FromColumn) else None
+                if kind:
+                    native[node.name] = kind, df[maker.column].cast("long") if kind == "int" else df[maker.column]
         df = df.where(reduce(Column.__and__, conditions)) if conditions else df
-        return Solutions(df.select(*[c.alias(column_of(v)) for v, c in made.items()]), dict.fromkeys(made, True))
+        columns = [c.alias(column_of(v)) for v, c in made.items()] + [c.alias(native_of(v)) for v, (_, c) in native.items()]
+        return Solutions(df.select(*columns), dict.fromkeys(made, True), {v: k for v, (k, _) in native.items()})
 
     def triple(self, t: A.Triple) -> Solutions:
         if isinstance(t.p, (A.Term, A.Var)):
@@ -500,20 +550,20 @@ class Compiler:
         return pairs.distinct()
 
     # Expressions.
-    def value(self, e: object, scope: Solutions | dict[str, Column]) -> Value:
+    def value(self, e: object, scope: Solutions | dict[str, Value]) -> Value:
         if isinstance(e, A.Var):
             if isinstance(scope, dict):
-                return Value(scope[e.name] if e.name in scope else F.lit(None).cast("string"), "term")
-            return Value(scope.col(e.name) if e.name in scope.bound else F.lit(None).cast("string"), "term")
+                return scope[e.name] if e.name in scope else Value(F.lit(None).cast("string"), "term")
+            return scope.value(e.name)
         if isinstance(e, A.Term):
-            return Value(F.lit(e.text), "term")
+            return _constant(e.text)
         if isinstance(e, A.Call):
             return self._call(e, scope)
         if isinstance(e, A.Exists):
             raise QueryError("EXISTS is supported as a filter of its own or joined to others by &&")
         raise QueryError(f"unexpected expression {e!r}")
 
-    def _call(self, e: A.Call, scope: Solutions | dict[str, Column]) -> Value:
+    def _call(self, e: A.Call, scope: Solutions | dict[str, Value]) -> Value:
         name = e.name
         if name.startswith(f"<{XSD}"):
             return _cast(name[len(XSD) + 1 : -1], self.value(e.args[0], scope))
@@ -524,6 +574,20 @@ class Compiler:
         return made(*args)
 
 
+def _constant(term: str) -> Value:
+    """A constant as a plain value where it has one."""
+    text, _, kind, lang = terms.parts(term)
+    if kind == XSD + "integer":
+        return Value(F.lit(int(text)), "int", F.lit(term))
+    if kind in (XSD + "decimal", XSD + "double"):
+        return Value(F.lit(float(text)), "num", F.lit(term))
+    if kind == XSD + "boolean":
+        return Value(F.lit(text in ("true", "1")), "bool", F.lit(term))
+    if kind == XSD + "string":
+        return Value(F.lit(text), "str", F.lit(term))
+    return Value(F.lit(term), "term")
+
+
 def _aggregates(e: object) -> bool:
     return isinstance(e, A.Aggregate) or (isinstance(e, A.Call) and any(map(_aggregates, e.args)))
 
@@ -550,6 +614,8 @@ def _cast(local: str, v: Value) -> Value:
 def _equal(a: Value, b: Value) -> Column:
     if a.kind == b.kind and a.kind in ("str", "bool", "time"):
         return a.col == b.col
+    if {a.kind, b.kind} <= {"str", "int", "num"} and "str" in (a.kind, b.kind):
+        return F.lit(False)
     if {a.kind, b.kind} <= {"int", "num"}:
         return a.col == b.col
     if "bool" in (a.kind, b.kind):
@@ -563,7 +629,9 @@ def _compare(op: str):
         x, y = a.number(), b.number()
         by = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}[op]
         if {a.kind, b.kind} <= {"int", "num"}:
-            return Value(by(x, y), "bool")
+            return Value(by(a.col, b.col), "bool")
+        if a.kind == b.kind == "str":
+            return Value(by(a.col, b.col), "bool")
         texts = F.when(x.isNull() & y.isNull(), by(a.text(), b.text()))
         return Value(F.when(x.isNotNull() & y.isNotNull(), by(x, y)).otherwise(texts), "bool")
 
@@ -584,6 +652,8 @@ def _arithmetic(op):
     def out(a: Value, b: Value) -> Value:
         if a.kind == b.kind == "int":
             return Value(op(a.col, b.col), "int")
+        if "term" not in (a.kind, b.kind):
+            return Value(op(a.number(), b.number()).cast("double"), "num")
         return _typed(op(a.number(), b.number()), _whole(a) & _whole(b))
 
     return out
@@ -644,7 +714,7 @@ _FUNCTIONS = {
     "-": _arithmetic(lambda x, y: x - y),
     "*": _arithmetic(lambda x, y: x * y),
     "/": lambda a, b: Value(a.number() / F.nullif(b.number().cast("double"), F.lit(0.0)), "num"),
-    "NEG": lambda a: Value(-a.col, "int") if a.kind == "int" else _typed(-a.number(), _whole(a)),
+    "NEG": lambda a: Value(-a.col, a.kind) if a.kind in ("int", "num") else _typed(-a.number(), _whole(a)),
     "BOUND": lambda a: Value(a.col.isNotNull(), "bool"),
     "COALESCE": lambda *args: Value(F.coalesce(*[a.term() for a in args]), "term"),
     "IF": _if,
@@ -671,7 +741,7 @@ _FUNCTIONS = {
     "REGEX": _regex,
     "REPLACE": _replace,
     "ENCODE_FOR_URI": _text(lambda a: F.replace(F.replace(F.url_encode(a), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))),
-    "ABS": lambda a: Value(F.abs(a.col), "int") if a.kind == "int" else _typed(F.abs(a.number()), _whole(a)),
+    "ABS": lambda a: Value(F.abs(a.col), a.kind) if a.kind in ("int", "num") else _typed(F.abs(a.number()), _whole(a)),
     "CEIL": lambda a: Value(F.ceil(a.number()).cast("long"), "int"),
     "FLOOR": lambda a: Value(F.floor(a.number()).cast("long"), "int"),
     "ROUND": lambda a: Value(F.floor(a.number() + 0.5).cast("long"), "int"),
