@@ -36,6 +36,7 @@ _CALL = re.compile(r"(?<![\w$.])(?P<new>new\s+)?(?P<callee>(?:[A-Za-z_$][\w$]*\s
 #: Words that a bracket follows without a call.
 NOT_CALLS = frozenset("if for while switch catch return function typeof new await super import with do else throw delete void in of yield async constructor".split())
 _QUOTED = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(?<=[=(,:\[!&|?{};])(?P<gap>\s*)/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*", re.DOTALL)
+_LEADING = re.compile(r"(?:\b(?:export|default|async|public|private|protected|static|abstract|readonly|function|class|interface|type|const|let|var|get|set)\b\s*\*?\s*)+$")
 _OPEN = {"(": ")", "{": "}", "[": "]"}
 
 
@@ -125,8 +126,8 @@ class _File:
 
     def docstring(self, at: int) -> str | None:
         """A /** comment */ that ends just before."""
-        before = self.text[:at].rstrip()
-        before = re.sub(r"(?:export|default|async|public|private|protected|static)\s*$", "", before).rstrip()
+        before = self.text[max(0, at - 4000) : at].rstrip()
+        before = _LEADING.sub("", before).rstrip()
         if before.endswith("*/") and (start := before.rfind("/**")) >= 0 and "*/" not in before[start:-2]:
             return re.sub(r"(?m)^\s*\*? ?", "", before[start + 3 : -2]).strip() or None
         return None
