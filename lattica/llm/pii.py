@@ -99,6 +99,8 @@ _GLYPHS = _glyph_table()
 _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]")
 _BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.IGNORECASE)
 _SPELLED_MAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9_%+-]+)*\s+at\s+[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*", re.IGNORECASE)
+#: Last labels of domains that are written out in words.
+TOP_LABELS = frozenset("com org net edu gov mil info biz io co ai app dev tv example test invalid uk de fr es nl eu ca au jp cn br ru ch se pl".split())
 _DOT = re.compile(r"\s+dot\s+", re.IGNORECASE)
 _AT_OR_DOT = re.compile(r"\s+(at|dot)\s+", re.IGNORECASE)
 _DIGIT_WORD = "|".join(DIGITS)
@@ -161,7 +163,7 @@ def normalise(text: str) -> Normalised | None:
     if _DOT.search(out.text):
         sites = []
         for m in _SPELLED_MAIL.finditer(out.text):
-            if _DOT.search(m[0]):
+            if _DOT.search(m[0]) and re.split(r"[\s.]+", m[0])[-1].lower() in TOP_LABELS:
                 sites += [(m.start() + x.start(), m.start() + x.end(), "@" if x[1].lower() == "at" else ".") for x in _AT_OR_DOT.finditer(m[0])]
         if sites:
             out = out.rewrite(sites)
