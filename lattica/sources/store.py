@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.graph import TRIPLES, Graph
-from lattica.operators import crud
-from lattica.sources import rdf
+from lattica.operators import analytics, crud, paths
+from lattica.plans.patterns import GraphPattern, match_property_graph
+from lattica.sources import property_graph, rdf
 
+VERTICES = "id string, name string, type string, location string, line_number int, attrs map<string,string>"
+EDGES = "src string, dst string, relationship string, type string"
 FORMATS = ("parquet", "nt", "turtle", "xml", "json-ld")
 
 
@@ -144,3 +147,90 @@ class Store:
 def namespaces(triples: DataFrame) -> DataFrame:
     """Namespaces of the predicates; there are few of them in any graph."""
     return triples.select(F.regexp_extract("p", r"^<(.*[/#])[^/#]*>$", 1).alias("namespace")).distinct().orderBy("namespace")
+
+
+class PropertyStore:
+    """Vertices and edges with their snapshots; one writer at a time."""
+
+    FORMATS = ("parquet", "graphml", "gexf")
+
+    def __init__(self, spark: SparkSession, folder: str, vertices: DataFrame | None = None, edges: DataFrame | None = None):
+        self.spark, self.folder, self.files = spark, folder.rstrip("/"), _Files(spark)
+        self.vertices = vertices if vertices is not None else spark.createDataFrame([], VERTICES)
+        self.edges = edges if edges is not None else spark.createDataFrame([], EDGES)
+        self.version = 0
+
+    def _set(self, vertices: DataFrame, edges: DataFrame) -> None:
+        self.vertices, self.edges = vertices, edges
+        self.version += 1
+
+    def add(self, vertices: DataFrame, edges: DataFrame) -> None:
+        """Add vertices that are not there yet, and edges; parallel edges stay."""
+        new = vertices.join(self.vertices.select("id"), "id", "left_anti")
+        self._set(self.vertices.unionByName(new, allowMissingColumns=True), self.edges.unionByName(edges, allowMissingColumns=True))
+
+    def update_entity(self, uri: str, values: dict[str, str]) -> None:
+        self._set(crud.update_vertex(self.vertices, uri, values), self.edges)
+
+    def delete_entity(self, uri: str) -> None:
+        self._set(*crud.delete_vertex(self.vertices, self.edges, uri))
+
+    def save(self, kind: str = "parquet", name: str | None = None) -> str:
+        """Write a snapshot and point to it."""
+        if kind not in self.FORMATS:
+            raise ValueError(f"unknown format {kind!r}")
+        created = datetime.now(timezone.utc)
+        target = f"{self.folder}/snapshot={name or created.strftime('%Y%m%d_%H%M%S')}"
+        if kind == "parquet":
+            self.vertices.write.mode("overwrite").parquet(f"{target}/vertices")
+            self.edges.write.mode("overwrite").parquet(f"{target}/edges")
+        else:
+            lines = property_graph.graphml(self.vertices.drop("attrs"), self.edges) if kind == "graphml" else property_graph.gexf(self.vertices, self.edges)
+            property_graph.write_document(lines, f"{target}/graph")
+        meta = {"created": created.isoformat(), "format": kind, "nodes": self.vertices.count(), "edges": self.edges.count()}
+        self.files.write(f"{target}/metadata.json", json.dumps(meta))
+        self.files.write(f"{self.folder}/latest", target.rsplit("/", 1)[-1])
+        return target
+
+    def load(self, snapshot: str | None = None) -> bool:
+        """Read a snapshot, the latest by default; without one the store is empty."""
+        pointer = f"{self.folder}/latest"
+        target = snapshot or (f"{self.folder}/{self.files.read(pointer).strip()}" if self.files.exists(pointer) else None)
+        if target is None or not self.files.exists(target):
+            self._set(self.spark.createDataFrame([], VERTICES), self.spark.createDataFrame([], EDGES))
+            return False
+        kind = json.loads(self.files.read(f"{target}/metadata.json"))["format"]
+        if kind == "parquet":
+            self._set(self.spark.read.parquet(f"{target}/vertices"), self.spark.read.parquet(f"{target}/edges"))
+        elif kind == "graphml":
+            vertices, edges = property_graph.read_graphml(self.spark, f"{target}/graph")
+            own = [F.col("attrs")[c].alias(c) for c in ("name", "type", "location")]
+            self._set(vertices.select("id", *own, F.col("attrs")["line_number"].cast("int").alias("line_number"), "attrs"), edges.select("src", "dst", F.col("attrs")["relationship"].alias("relationship"), F.col("attrs")["type"].alias("type")))
+        else:
+            self._set(*property_graph.read_gexf(self.spark, f"{target}/graph"))
+        return True
+
+    def match(self, pattern: GraphPattern) -> DataFrame:
+        return match_property_graph(self.vertices, self.edges, pattern)
+
+    def context(self, uri: str, depth: int = 2) -> DataFrame:
+        """Vertices within ``depth`` hops along the edges, with a shortest path to each."""
+        found = paths.neighbors(self.edges, uri, depth)
+        return found.join(self.vertices.withColumnRenamed("id", "node"), "node", "left")
+
+    def statistics(self) -> dict:
+        """Counts, density, clustering and types."""
+        row = analytics.statistics(self.edges, self.vertices).first()
+        types = {r["type"]: r["n"] for r in analytics.type_counts(self.vertices).collect()}
+        return {"backend": "property", "path": self.folder} | row.asDict() | {"types": types}
+
+    def export(self, kind: str = "json") -> DataFrame:
+        """Lines (place, value) for drawing: node-link JSON objects, GraphML or DOT."""
+        if kind == "graphml":
+            return property_graph.graphml(self.vertices.drop("attrs"), self.edges)
+        if kind == "dot":
+            return property_graph.dot(self.vertices, self.edges)
+        if kind != "json":
+            raise ValueError(f"unknown format {kind!r}")
+        nodes, links = property_graph.node_link(self.vertices, self.edges)
+        return nodes.select(F.lit(1).alias("place"), "value").unionByName(links.select(F.lit(2).alias("place"), "value"))

@@ -208,3 +208,31 @@ def test_neighbors_find_the_start_over_a_cycle(spark):
     assert found == [("a", 2, "a>b>a"), ("b", 1, "a>b"), ("c", 2, "a>b>c")]
     assert paths.simple_paths(edges, "none").count() == 0
     assert sorted(">".join(r["path"]) for r in paths.simple_paths(edges, "a", "c").collect()) == ["a>b>c"]
+
+
+@pytest.mark.parametrize("kind", ["parquet", "graphml", "gexf"])
+def test_property_store(spark, kg, tmp_path, kind):
+    from lattica.api import create_store
+    from lattica.plans.patterns import GraphPattern
+
+    store = create_store(spark, str(tmp_path), "property")
+    assert not store.load() and store.vertices.count() == 0
+    store.add(*lowering.property_graph(kg.entities))
+    uri = kg.entities.where("name = 'validateUser' and kind = 'function'").select("uri").first()[0]
+    store.update_entity(uri, {"rating": "5"})
+    assert store.vertices.where(F.col("id") == uri).select(F.col("attrs")["rating"]).first()[0] == "5"
+    store.save(kind)
+    again = create_store(spark, str(tmp_path), "property")
+    assert again.load() and again.edges.count() == store.edges.count()
+    if kind != "gexf":
+        found = again.match(GraphPattern([{"name": "validateUser", "type": "Function"}, {"type": "Function"}], [{"relationship": "calls"}]))
+        assert [r["target_Function"].rsplit("#", 1)[1] for r in found.collect()] == ["function_validateEmail_2"]
+        assert again.statistics()["types"]["Class"] == 2
+    assert store.context(uri, 1).count() == 1
+    before = store.edges.count()
+    store.delete_entity(uri)
+    assert store.edges.count() == before - 2
+    for shape in ("json", "graphml", "dot"):
+        assert store.export(shape).count() >= store.vertices.count() + store.edges.count()
+    with pytest.raises(ValueError):
+        create_store(spark, str(tmp_path), "nothing")
