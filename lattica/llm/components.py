@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import ship, stage
@@ -73,19 +73,31 @@ def bitmaps(arrays: list[np.ndarray], bits: int) -> np.ndarray:
 def links(arrays: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose Jaccard similarity is ``percent`` or more.
 
+    Bitmaps bound the overlap first; what is left is intersected exactly.
+    """
+    sizes = np.array([len(a) for a in arrays])
+    maps = bitmaps(arrays, 1 << int(min(16, max(6, (2 * int(sizes.max()) - 1).bit_length()))))
+
+    def holds(a: int, b: int, need: int) -> bool:
+        at = np.minimum(np.searchsorted(arrays[b], arrays[a]), len(arrays[b]) - 1)
+        return int((arrays[b][at] == arrays[a]).sum()) >= need
+
+    return forest(maps, sizes, sides, cross, percent, holds)
+
+
+def forest(maps: np.ndarray, sizes: np.ndarray, sides: np.ndarray, cross: bool, percent: int, holds: Callable[[int, int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that the bitmaps allow and ``holds``, if given, confirms.
+
     A pair already connected inside the block is not compared again.  Sets are
     taken by size, so partners of fitting size are neighbours; a set bit that
     the other bitmap lacks proves a value that the other set lacks, so bit
-    counts bound the overlap from above; what is left is intersected exactly.
+    counts bound the overlap from above.
     """
-    sizes = np.array([len(a) for a in arrays])
     order = np.argsort(sizes, kind="stable")
-    arrays, sizes, sides = [arrays[k] for k in order], sizes[order], sides[order]
-    bits = 1 << int(min(16, max(6, (2 * int(sizes[-1]) - 1).bit_length())))
-    maps = bitmaps(arrays, bits)
-    forest, out = Forest(len(arrays)), []
+    maps, sizes, sides = maps[order], sizes[order], sides[order]
+    trees, out = Forest(len(order)), []
     ends = np.searchsorted(sizes, sizes * 100 // percent, side="right")
-    for a in range(len(arrays)):
+    for a in range(len(order)):
         b = np.arange(a + 1, ends[a])
         if cross:
             b = b[sides[b] != sides[a]]
@@ -98,69 +110,129 @@ def links(arrays: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int
         )
         fit = most >= need
         for k, least in zip(b[fit].tolist(), need[fit].tolist(), strict=True):
-            if forest.root(a) != forest.root(k):
-                at = np.minimum(np.searchsorted(arrays[k], arrays[a]), len(arrays[k]) - 1)
-                if int((arrays[k][at] == arrays[a]).sum()) >= least:
-                    forest.join(a, k)
-                    out.append((int(order[a]), int(order[k])))
+            if trees.root(a) != trees.root(k) and (holds is None or holds(int(order[a]), int(order[k]), least)):
+                trees.join(a, k)
+                out.append((int(order[a]), int(order[k])))
     return out
 
 
-def verified(members: DataFrame, percent: int, block: int = 64, most_blocks: int = 16, block_bytes: int = 8 << 20, decode: Callable[[bytes], np.ndarray] = as_hashes) -> DataFrame:
-    """Links (a, b) between the members of each group.
+def in_blocks(rows: DataFrame, size: Column, least_blocks: Column | None, block: int, most_blocks: int, settle: Callable[[bool, list[tuple]], list[tuple[int, int]]]) -> DataFrame:
+    """Links (a, b) that ``settle(cross, rows)`` finds within each group, dealt into pairs of blocks.
 
-    ``members`` has grp, grp_n (members), grp_values (values in all their
-    sets), node and values (bytes that ``decode`` makes a sorted array of).  A group
-    is dealt into blocks by the hash of the node and every pair of blocks is
-    one task's work: a small group is one block, a large one has up to
-    ``most_blocks`` (more only where a block would pass ``block_bytes``), so no
-    group lands in one task and a member is copied a bounded number of times.
+    ``rows`` has grp, node and what ``settle`` needs besides.  A group of up to
+    ``block`` rows is one block; a larger one is dealt by the hash of the node
+    into up to ``most_blocks`` (more only where ``least_blocks`` says so), and
+    every pair of blocks is one task's work: no group lands in one task, and
+    a row is copied a bounded number of times.
     """
-    ship(members.sparkSession)
-    by_count = F.least(F.ceil(F.col("grp_n") / block), F.lit(most_blocks))
-    blocks = F.greatest(by_count, F.ceil(F.col("grp_values") * 8 / block_bytes), F.lit(1)).cast("int")
-    dealt = members.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "nb").cast("int"))
+    ship(rows.sparkSession)
+    blocks = F.least(F.ceil(size / block), F.lit(most_blocks))
+    blocks = F.greatest(blocks, F.lit(1), *([least_blocks] if least_blocks is not None else [])).cast("int")
+    more = [c for c in rows.columns if c not in ("grp", "grp_n", "grp_values", "node")]
+    dealt = rows.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "nb").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own"), "node", "values")
+    dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *more)
     dealt = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, held = None, []
+
+        def ended() -> list[tuple[int, int]]:
+            return settle(key[1] != key[2], held) if len(held) > 1 else []
+
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
             found: list[tuple[int, int]] = []
-            for grp, i, j, own, node, values in zip(*columns, strict=True):
+            for grp, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
                 if (grp, i, j) != key:
-                    found += settle(key, rows)
-                    key, rows = (grp, i, j), []
-                rows.append((own, node, values))
+                    found += ended()
+                    key, held = (grp, i, j), []
+                held.append(tuple(row))
             if found:
                 yield as_batch(found)
-        found = settle(key, rows)
+        found = ended()
         if found:
             yield as_batch(found)
 
-    def settle(key, rows) -> list[tuple[int, int]]:
-        if len(rows) < 2:
-            return []
-        arrays = [decode(values) for _, _, values in rows]
-        sides = np.array([own for own, _, _ in rows])
-        return [(rows[a][1], rows[b][1]) for a, b in links(arrays, sides, key[1] != key[2], percent)]
-
     def as_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(work, "a long, b long")
 
 
-def grouped(spark: SparkSession, tiles: DataFrame, name: str) -> DataFrame:
+def verified(members: DataFrame, percent: int, block: int = 128, most_blocks: int = 16, block_bytes: int = 8 << 20, decode: Callable[[bytes], np.ndarray] = as_hashes) -> DataFrame:
+    """Links (a, b) between the members of each group.
+
+    ``members`` has grp, grp_n (members), grp_values (values in all their
+    sets), node and values (bytes that ``decode`` makes a sorted array of).
+    """
+
+    def settle(cross: bool, rows: list[tuple]) -> list[tuple[int, int]]:
+        found = links([decode(values) for _, _, values in rows], np.array([own for own, _, _ in rows]), cross, percent)
+        return [(rows[a][1], rows[b][1]) for a, b in found]
+
+    return in_blocks(members, F.col("grp_n"), F.ceil(F.col("grp_values") * 8 / block_bytes), block, most_blocks, settle)
+
+
+def grouped(spark: SparkSession, tiles: DataFrame, name: str, sketches: DataFrame | None = None, percent: int = 0, whole: int = 4) -> DataFrame:
     """(node, grp) of the nodes that share a tile with another, from tiles (key, node).
 
     Nodes of a tile join its smallest node; groups are the components of that.
-    A window, not a gathered set, finds the smallest, so a long tile spills.
+    With ``sketches`` (node, n, bits) only pairs that the bitmaps allow tie
+    nodes together, so chance meetings do not: tiles of at most ``whole`` nodes
+    give their pairs, each looked at once whatever tiles it shares; longer
+    tiles are gone through in blocks.  Windows, not gathered sets, find sizes
+    and partners, so a long tile spills.
     """
-    from pyspark.sql import Window
+    if sketches is None:
+        least = tiles.withColumn("least", F.min("node").over(Window.partitionBy("key")))
+        edges = least.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+        return components(spark, edges, name).withColumnRenamed("root", "grp")
+    order = Window.partitionBy("key").orderBy("node")
+    seen = tiles.select("key", "node", *[F.lag("node", k).over(order).alias(f"before{k}") for k in range(1, whole)])
+    seen = seen.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
+    seen = stage(spark, seen, f"{name}-tiles")
+    small = seen.where(F.col("size") <= whole).select(F.col("node").alias("b"), F.explode(F.array(*[f"before{k}" for k in range(1, whole)])).alias("a"))
+    ends = [sketches.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("bits").alias(f"bits_{e}")) for e in ("a", "b")]
+    few = possible(small.where("a <> b").distinct().join(ends[0], "a").join(ends[1], "b"), percent)
+    large = seen.where(F.col("size") > whole).select(F.col("key").alias("grp"), F.col("size").alias("grp_n"), "node").join(sketches, "node")
+
+    def settle(cross: bool, rows: list[tuple]) -> list[tuple[int, int]]:
+        own = {node: (side, n, bits) for side, node, n, bits in rows}
+        nodes = list(own)
+        width = min(len(bits) for _, _, bits in own.values())
+        maps = np.stack([folded(np.frombuffer(bits, dtype=np.uint64), width // 8) for _, _, bits in own.values()])
+        found = forest(maps, np.array([n for _, n, _ in own.values()]), np.array([side for side, _, _ in own.values()]), cross, percent)
+        return [(nodes[a], nodes[b]) for a, b in found]
+
+    many = in_blocks(large, F.col("grp_n"), None, 128, 16, settle)
+    return components(spark, few.unionByName(many), name).withColumnRenamed("root", "grp")
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap at a smaller width: a bit is set where one of its sources is."""
+    while len(bits) > width:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """A hashed bitmap of a set, of two to four bits for each value."""
+    bits = 1 << max(6, (2 * len(values) - 1).bit_length())
+    return bitmaps([values], bits)[0].tobytes()
+
+
+def possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose bitmaps allow the similarity; a longer bitmap is folded to the shorter."""
+    ship(pairs.sparkSession)
 
-    least = tiles.withColumn("least", F.min("node").over(Window.partitionBy("key")))
-    edges = least.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    return components(spark, edges, name).withColumnRenamed("root", "grp")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n_a, n_b, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True):
+                u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                u, v = folded(u, len(v)), folded(v, len(u))
+                most = min(n_a - int(np.bitwise_count(u & ~v).sum()), n_b - int(np.bitwise_count(v & ~u).sum()))
+                keep.append(most >= -(-percent * (n_a + n_b) // (100 + percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(work, "a long, b long")

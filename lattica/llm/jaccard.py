@@ -20,6 +20,7 @@ id never is a component's id while another one is there.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +30,13 @@ from pyspark.sql import functions as F
 
 from lattica.llm import textscan
 from lattica.llm.common import map_text, slices, stage
-from lattica.llm.components import components, grouped, verified
+from lattica.llm.components import components, grouped, sketch, verified
 
 
-def bands(growth: float = 1.3, most: int = 1 << 40) -> np.ndarray:
+GROWTH, SALTS = 1.3, 6
+
+
+def bands(growth: float = GROWTH, most: int = 1 << 40) -> np.ndarray:
     """The largest size of each size band."""
     out, low = [], 1
     while low <= most:
@@ -44,34 +48,59 @@ def bands(growth: float = 1.3, most: int = 1 << 40) -> np.ndarray:
 _BANDS = bands()
 
 
+def parts_of(top: int, percent: int) -> tuple[int, int]:
+    """(parts, spare ones) for sets of at most ``top`` values.
+
+    Similar sets differ in at most ``2 * top * (100 - percent) / (100 + percent)``
+    values, so with one part more they agree in a whole part.  Empty parts
+    agree too and say nothing; spare parts make up for twice as many of them
+    as the smallest sets of the band are expected to have.
+    """
+    differ = 2 * top * (100 - percent) // (100 + percent)
+    if not differ:
+        return 1, 0
+    fill = top * percent / 100 / GROWTH / (differ + 1)
+    spare = 1 + int(2 * (differ + 1) * math.exp(-fill))
+    return differ + 1 + spare, spare
+
+
 def tile_keys(values: np.ndarray, percent: int) -> np.ndarray:
     """The tiles of a sorted set of 64-bit hashes.
 
-    With sizes up to ``top``, similar sets differ in at most
-    ``2 * top * (100 - percent) / (100 + percent)`` values.  Parts beyond one
-    more than that allow for empty parts, which give no tile; a set with more
-    empty parts than these gives tiles for the empty ones too.
+    Only parts with a value give a tile.  A set that has more empty parts than
+    are spare is cut again with another salt, and so is every set similar to
+    it that has too many; after the last salt its empty parts give tiles too.
     """
     n = len(values)
     spread = textscan.mix(values, 11)
     out = []
     for band in range(int(np.searchsorted(_BANDS, n)), int(np.searchsorted(_BANDS, n * 100 // percent)) + 1):
-        top = int(_BANDS[band])
-        differ = 2 * top * (100 - percent) // (100 + percent)
-        slack = 1 + differ // 300 if differ else 0
-        parts = differ + 1 + slack
-        with np.errstate(over="ignore"):
-            part = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-            own = np.add.reduceat(spread, first)
-            name = part[first]
-            if parts - len(first) > slack:
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), name)
-                own, name = np.concatenate([own, np.zeros(len(empty), np.uint64)]), np.concatenate([name, empty])
-            out.append(textscan.mix(own + name * np.uint64(0x9FB21C651E98DF25) + np.uint64(band + 1) * np.uint64(0xD6E8FEB86659FD93)))
+        parts, spare = parts_of(int(_BANDS[band]), percent)
+        for salt in range(SALTS):
+            own, name = _cut(values, spread, parts, salt)
+            empty = parts - len(name)
+            if empty > spare and salt == SALTS - 1:
+                rest = np.setdiff1d(np.arange(parts, dtype=np.uint64), name)
+                own, name = np.concatenate([own, np.zeros(len(rest), np.uint64)]), np.concatenate([name, rest])
+            with np.errstate(over="ignore"):
+                out.append(textscan.mix(own + name * np.uint64(0x9FB21C651E98DF25) + np.uint64((band * SALTS + salt + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)))
+            if empty <= spare:
+                break
     return np.concatenate(out)
 
 
+def _cut(values: np.ndarray, spread: np.ndarray, parts: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the values of each part that has some, and the parts' names."""
+    if salt:
+        values = textscan.mix(values, 20 + salt)
+        order = np.argsort(values)
+        values, spread = values[order], spread[order]
+    with np.errstate(over="ignore"):
+        part = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+        return np.add.reduceat(spread, first), part[first]
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """The sorted set of n-gram hashes of each text."""
     starts, ends = textscan.runs(textscan.BLANK_WORDS[raw], offsets)
@@ -109,24 +138,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     def describe(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for first, last, raw, offsets in slices(batch, "text"):
-            n, classes, tiles = [], [], []
+            n, classes, tiles, sketches = [], [], [], []
             for values in shingle_sets(raw, offsets, width):
                 own = set_class(values) if len(values) else None
                 n.append(len(values))
                 classes.append(own)
-                tiles.append(None if own is None or own in seen else tile_keys(values, percent).view(np.int64))
+                fresh = own is not None and own not in seen
+                tiles.append(tile_keys(values, percent).view(np.int64) if fresh else None)
+                sketches.append(sketch(values) if fresh else None)
                 seen.add(own)
             part = batch.slice(first, last - first)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(tiles, pa.list_(pa.int64()))],
-                names=["id", "text_hash", "n", "node", "tiles"],
+                [part.column("id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(tiles, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["id", "text_hash", "n", "node", "tiles", "bits"],
             )
 
-    sets = map_text(hashed, f"id {kind}, text_hash long, n long, node long, tiles array<long>", describe, ["id", "text", "text_hash"])
+    sets = map_text(hashed, f"id {kind}, text_hash long, n long, node long, tiles array<long>, bits binary", describe, ["id", "text", "text_hash"])
     sets = stage(spark, sets, "jaccard-sets")
 
     tiles = sets.where("tiles is not null").select(F.explode("tiles").alias("key"), "node")
-    groups = grouped(spark, tiles, "jaccard-groups")
+    sketches = sets.where("tiles is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+    groups = grouped(spark, tiles, "jaccard-groups", sketches, percent)
     one = sets.where("n > 0").groupBy("node").agg(F.min(F.struct("text_hash", "id", "n")).alias("one"))
     wanted = groups.join(one, "node").select("node", "grp", "one.*")
     wanted = stage(spark, wanted, "jaccard-wanted")

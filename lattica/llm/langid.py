@@ -142,7 +142,7 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def train(docs: DataFrame, rows: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", excerpts: tuple[int, ...] = (400, 100, 30, 12)) -> Model | None:
+def train(docs: DataFrame, rows: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", excerpts: tuple[int, ...] = (400, 100, 30, 12)) -> Model | None:
     """A model from about ``rows`` documents of each language that are not held out."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, 4, 2))
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def body(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(text_col)
-        for first, last, raw, offsets in slices(batch, text_col, max_rows=512):
+        for first, last, raw, offsets in slices(batch, text_col, 1 << 18, max_rows=512):
             lettered = np.array([bool(t.is_valid and _LETTER.search(t.as_py())) for t in texts.slice(first, last - first)])
             lang, score = np.full(last - first, "und", dtype=object), np.zeros(last - first)
             if model and lettered.any():
