@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -18,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables; a local one is set only where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lattica-"))
+        own = tempfile.mkdtemp(prefix="lattica-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir("file://" + own)
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 

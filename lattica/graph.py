@@ -142,17 +142,18 @@ class Graph:
                 df = df.where(df[made.column].isNotNull())
         return df
 
-    def scan(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
-        """Triples (s, p, o) that have the given terms."""
+    def scan(self, s: str | None = None, p: str | None = None, o: str | None = None, sources: list[Mapping] | None = None) -> DataFrame:
+        """Triples (s, p, o) that have the given terms, of all mappings or of some ``sources``."""
         out = []
-        for mapping in self.sources(p):
+        for mapping in self.sources(p) if sources is None else sources:
             df = self.rows(mapping)
             if s is not None:
                 df = df.where(mapping.subject.matches(df, s))
             if o is not None:
                 df = df.where(mapping.object.matches(df, o))
-            found = df.select(mapping.subject.term(df).alias("s"), F.lit(mapping.predicate).alias("p"), mapping.object.term(df).alias("o"))
-            out.append(found if mapping.single else found.distinct())
+            if not mapping.single:
+                df = df.select(*dict.fromkeys(m.column for m in (mapping.subject, mapping.object) if not isinstance(m, Fixed))).distinct()
+            out.append(df.select(mapping.subject.term(df).alias("s"), F.lit(mapping.predicate).alias("p"), mapping.object.term(df).alias("o")))
         for df in self.loose:
             for column, term in (("s", s), ("p", p), ("o", o)):
                 if term is not None:

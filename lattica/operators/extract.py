@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -307,8 +307,12 @@ def extract_file(path: str, text: str) -> list[dict]:
     return [{c: row.get(c) for c in names} for row in _File(path, text).scan()]
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Entities of files (path, content); content is bytes or text."""
+def extract(files: DataFrame, parser: Callable[[str, str], list[dict]] = extract_file) -> DataFrame:
+    """Entities of files (path, content); content is bytes or text.
+
+    Another ``parser`` (path, text) may stand in, such as one over a syntax
+    tree; its rows have the fields of ``ENTITY``.
+    """
     ship(files.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,7 +321,7 @@ def extract(files: DataFrame) -> DataFrame:
                 if content is None:
                     continue
                 text = content if isinstance(content, str) else bytes(content).decode("utf-8", "replace")
-                rows = extract_file(path, text)
+                rows = parser(path, text)
                 yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in ENTITY.fieldNames()})
 
     return files.select("path", "content").mapInPandas(run, ENTITY)

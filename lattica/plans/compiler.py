@@ -15,10 +15,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.functions import terms
 from lattica.functions.terms import XSD
-from lattica.graph import Fixed, Graph, apart
+from lattica.graph import Fixed, Graph, Key, apart
 from lattica.graph import Value as FromColumn
 from lattica.operators import paths
 from lattica.plans import algebra as A
@@ -42,7 +43,10 @@ class Solutions:
     """Rows of bindings; ``bound`` tells which variables have a value in every row.
 
     A variable read from a typed column keeps that column too (``native``, by
-    kind), so that filters and arithmetic work on it and reach the scan.
+    kind), so that filters and arithmetic work on it and reach the scan.  One
+    read from a key column keeps the key (kind ``key:`` and the IRIs' prefix):
+    joins of two such variables compare keys, and patterns about it leave out
+    tables whose keys have another prefix.
     """
 
     df: DataFrame
@@ -56,7 +60,7 @@ class Solutions:
         return self.df[native_of(var)]
 
     def value(self, var: str) -> Value:
-        if var in self.native:
+        if var in self.native and not self.native[var].startswith("key:"):
             return Value(self.plain(var), self.native[var], self.col(var))
         return Value(self.col(var) if var in self.bound else F.lit(None).cast("string"), "term")
 
@@ -346,8 +350,27 @@ class Compiler:
             inner = self.group(A.Group([p for p in expr.group.parts if not isinstance(p, A.Filter)]))
             right, pairs = self._apart(found, inner)
             return Solutions(found.df.join(right.df, self._condition(found, right, pairs, own), "left_anti" if expr.negated else "left_semi"), found.bound, found.native)
+        nested = _exists_in(expr)
+        if nested:
+            marked, names = found, {}
+            for k, e in enumerate(nested):
+                marked, names[id(e)] = self._marked(marked, e, f" e{k}")
+            kept = self.filter(marked, _replaced(expr, names))
+            return Solutions(kept.df.select(*[kept.df[c] for c in found.df.columns]), found.bound, found.native)
         return Solutions(found.df.where(self.value(expr, found).truth()), found.bound, found.native)
 
+    def _marked(self, found: Solutions, e: A.Exists, name: str) -> tuple[Solutions, A.Var]:
+        """``found`` with a variable that tells whether the group of ``e`` has a compatible solution."""
+        inner = self.group(e.group)
+        shared = [v for v in inner.bound if v in found.bound]
+        if not shared or not all(inner.bound[v] and found.bound[v] for v in shared):
+            raise QueryError("EXISTS within an expression needs variables that are surely bound on both sides")
+        keys = inner.df.select(*[inner.col(v) for v in shared]).distinct().withColumn("hit", F.lit(True))
+        df = found.df.join(keys, [column_of(v) for v in shared], "left")
+        hit = F.coalesce(F.col("hit"), F.lit(False)) != F.lit(e.negated)
+        df = df.withColumn(column_of(name), terms.typed_term(hit, "boolean")).drop("hit")
+        return Solutions(df, found.bound | {name: True}, found.native), A.Var(name)
+
     def _apart(self, left: Solutions, right: Solutions) -> tuple[Solutions, dict[str, str]]:
         """``right`` with shared variables renamed, and the new name of each."""
         self._names += 1
@@ -378,10 +401,11 @@ class Compiler:
             return right
         shared = [v for v in right.bound if v in left.bound]
         if all(left.bound[v] and right.bound[v] for v in shared):
-            on = [column_of(v) for v in shared]
+            by_key = {v for v in shared if left.native.get(v, "").startswith("key:") and left.native[v] == right.native.get(v)}
+            on = [native_of(v) if v in by_key else column_of(v) for v in shared]
             more = {v: k for v, k in right.native.items() if v not in left.native}
             left_df = left.df.select(*left.columns())
-            right_df = right.df.select(*[right.col(v) for v in right.bound], *[right.plain(v) for v in more])
+            right_df = right.df.select(*[right.plain(v) if v in by_key else right.col(v) for v in right.bound], *[right.plain(v) for v in more])
             # Only a query without a shared variable multiplies its parts, as it asks to.
             df = left_df.join(right_df, on) if on else left_df.crossJoin(right_df)
             return Solutions(df, left.bound | {v: right.bound[v] for v in right.bound if v not in left.bound}, left.native | more)
@@ -429,6 +453,7 @@ class Compiler:
         """Join triple patterns in a greedy order, onto ``found`` where given."""
         left = list(patterns)
         known = set(found.bound) if found else set()
+        keys = {v: k for v, k in found.native.items() if k.startswith("key:")} if found else {}
         while left:
             def cost(t: A.Triple) -> tuple:
                 ends = [x for x in (t.s, t.o) if isinstance(x, A.Term)]
@@ -436,18 +461,25 @@ class Compiler:
                 return (not linked, isinstance(t.p, A.Repeat), not isinstance(t.p, A.Term), -len(ends))
 
             best = min(left, key=cost)
-            star, table = self._star_of(best, left)
+            star, table = self._star_of(best, left, keys)
             left = [t for t in left if t is not best and t not in star]
-            one = self._star(star, table) if star else self.triple(best)
+            one = self._star(star, table, keys) if star else self.triple(best, keys)
             found = self.join(found, one)
             known |= set(one.bound)
+            keys |= {v: k for v, k in one.native.items() if k.startswith("key:")}
         return found
 
-    def _sources(self, t: A.Triple) -> list:
-        """Where a pattern's triples can come from, by its predicate and by a constant object that is fixed."""
-        return [m for m in self.graph.sources(t.p.text) if not (isinstance(t.o, A.Term) and isinstance(m.object, Fixed) and m.object.text != t.o.text)]
+    def _sources(self, t: A.Triple, keys: dict[str, str]) -> list:
+        """Where a pattern's triples can come from: by its predicate, by a constant object that is fixed, and by the known keys of its ends."""
+        def fits(m) -> bool:
+            if isinstance(t.o, A.Term) and isinstance(m.object, Fixed) and m.object.text != t.o.text:
+                return False
+            ends = ((t.s, m.subject), (t.o, m.object))
+            return not any(isinstance(node, A.Var) and node.name in keys and apart(Key(keys[node.name][4:], ""), made) for node, made in ends)
+
+        return [m for m in self.graph.sources(t.p.text) if fits(m)]
 
-    def _star_of(self, best: A.Triple, left: list[A.Triple]) -> tuple[list[A.Triple], tuple | None]:
+    def _star_of(self, best: A.Triple, left: list[A.Triple], keys: dict[str, str]) -> tuple[list[A.Triple], tuple | None]:
         """The patterns of ``best``'s subject, itself among them, that one table holds with one value a subject.
 
         A pattern that has one source only, such as a type, tells the table;
@@ -457,21 +489,25 @@ class Compiler:
             return [], None
         own = [t for t in left if t.s == best.s and isinstance(t.p, A.Term)]
         for t in own:
-            sources = self._sources(t)
+            sources = self._sources(t, keys)
             if len(sources) == 1 and sources[0].single:
                 table = sources[0].table, sources[0].subject
-                star = [u for u in own if [(m.table, m.subject, m.single) for m in self._sources(u) if not apart(m.subject, table[1])] == [(*table, True)]]
+                star = [u for u in own if [(m.table, m.subject, m.single) for m in self._sources(u, keys) if not apart(m.subject, table[1])] == [(*table, True)]]
                 if best in star:
                     return star, table
+        if isinstance(best.p, A.Term) and len(sources := self._sources(best, keys)) == 1:
+            return [best], (sources[0].table, sources[0].subject)
         return [], None
 
-    def _star(self, star: list[A.Triple], table: tuple) -> Solutions:
-        """Patterns over one subject and table as one scan."""
+    def _star(self, star: list[A.Triple], table: tuple, keys: dict[str, str]) -> Solutions:
+        """Patterns over one subject and table as one scan; several values of a subject are taken once each."""
         df = self.graph.tables[table[0]]
         makers: list[tuple[object, object]] = [(star[0].s, table[1])]
         for t in star:
-            sources = [m for m in self._sources(t) if (m.table, m.subject) == table]
-            makers.append((t.o, sources[0].object))
+            source = next(m for m in self._sources(t, keys) if (m.table, m.subject) == table)
+            makers.append((t.o, source.object))
+            if not source.single:
+                df = df.select(*dict.fromkeys(made.column for _, made in makers if not isinstance(made, Fixed))).distinct()
         conditions: list[Column] = []
         made: dict[str, Column] = {}
         native: dict[str, tuple[str, Column]] = {}
@@ -485,15 +521,18 @@ class Compiler:
             else:
                 made[node.name] = maker.term(df)
                 kind = {"integer": "int", "double": "num", "string": "str"}.get(maker.kind) if isinstance(maker, FromColumn) else None
-                if kind:
+                if isinstance(maker, Key) and isinstance(df.schema[maker.column].dataType, T.IntegralType):
+                    native[node.name] = f"key:{maker.prefix}", df[maker.column].cast("long")
+                elif kind:
                     native[node.name] = kind, df[maker.column].cast("long") if kind == "int" else df[maker.column]
         df = df.where(reduce(Column.__and__, conditions)) if conditions else df
         columns = [c.alias(column_of(v)) for v, c in made.items()] + [c.alias(native_of(v)) for v, (_, c) in native.items()]
         return Solutions(df.select(*columns), dict.fromkeys(made, True), {v: k for v, (k, _) in native.items()})
 
-    def triple(self, t: A.Triple) -> Solutions:
+    def triple(self, t: A.Triple, keys: dict[str, str] | None = None) -> Solutions:
         if isinstance(t.p, (A.Term, A.Var)):
-            rows = self.graph.scan(*[x.text if isinstance(x, A.Term) else None for x in (t.s, t.p, t.o)])
+            sources = self._sources(t, keys or {}) if isinstance(t.p, A.Term) else None
+            rows = self.graph.scan(*[x.text if isinstance(x, A.Term) else None for x in (t.s, t.p, t.o)], sources=sources)
             ends = [(t.s, "s"), (t.p, "p"), (t.o, "o")]
         else:
             s, o = (x.text if isinstance(x, A.Term) else None for x in (t.s, t.o))
@@ -592,6 +631,20 @@ def _aggregates(e: object) -> bool:
     return isinstance(e, A.Aggregate) or (isinstance(e, A.Call) and any(map(_aggregates, e.args)))
 
 
+def _exists_in(e: object) -> list[A.Exists]:
+    """The EXISTS parts of an expression."""
+    if isinstance(e, A.Exists):
+        return [e]
+    return [x for a in e.args for x in _exists_in(a)] if isinstance(e, A.Call) else []
+
+
+def _replaced(e: object, names: dict[int, A.Var]) -> object:
+    """``e`` with EXISTS parts replaced by the variables that hold their answers."""
+    if isinstance(e, A.Exists):
+        return names[id(e)]
+    return A.Call(e.name, tuple(_replaced(a, names) for a in e.args)) if isinstance(e, A.Call) else e
+
+
 def _substitute(e: object, defined: dict[A.Var, object]) -> object:
     """``e`` with SELECT's names replaced by what they stand for."""
     if isinstance(e, A.Var):

@@ -106,6 +106,13 @@ def test_exists(graph):
     assert ask(graph, "SELECT ?f WHERE { ?f a code:Function FILTER EXISTS { ?f code:size ?s FILTER(?s > 5) } }") == [(f"{KG}f1",)]
 
 
+def test_exists_within_an_expression(graph):
+    text = 'SELECT ?f WHERE { ?f a code:Function ; code:hasName ?n FILTER(?n = "saveAll" || EXISTS { ?f code:isExported ?e }) }'
+    assert ask(graph, text) == [(f"{KG}f1",), (f"{KG}f3",)]
+    text = 'SELECT ?f WHERE { ?f a code:Function ; code:hasName ?n FILTER(?n = "alpha" || NOT EXISTS { ?f code:size ?s }) }'
+    assert ask(graph, text) == [(f"{KG}f1",), (f"{KG}f3",)]
+
+
 def test_negated_path(graph):
     assert ask(graph, "SELECT ?o WHERE { kg:f2 !(code:calls|a) ?o }") == [("2.5",), ("beta",), ("bonjour",)]
 
