@@ -1,59 +1,23 @@
-"""Session helpers shared by the corpus operators.
+"""Arrow helpers shared by the corpus operators.
 
-Intermediate tables go to the folder named by ``spark.checkpoint.dir``: it is
-the one place that driver and executors share, so a lost executor costs a
-re-read and not a recomputation of everything above the table.
+Intermediate tables (:func:`lattica.functions.staging.stage`) go to the folder
+named by ``spark.checkpoint.dir``: it is the one place that driver and
+executors share, so a lost executor costs a re-read and not a recomputation of
+everything above the table.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_PACKAGE = Path(__file__).resolve().parent.parent
-_shipped: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a local one is set only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lattica-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, cutting its lineage."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable by Python workers whose path lacks it."""
-    root = str(_PACKAGE.parent)
-    on_path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    app = spark.sparkContext.applicationId
-    if app in _shipped or os.getcwd() == root or root in on_path:
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="lattica-"), f"{_PACKAGE.name}.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for path in sorted(_PACKAGE.rglob("*.py")):
-            out.write(path, path.relative_to(_PACKAGE.parent))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
+from lattica.functions.staging import ship, stage
 
+__all__ = ["map_rows", "map_text", "ship", "slices", "stage", "text_column"]
 
 def text_column(column: pa.Array) -> pa.LargeStringArray:
     """An Arrow text column without offset and nulls (null becomes the empty text)."""

@@ -75,6 +75,10 @@ def links(arrays: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int
 
     Bitmaps bound the overlap first; what is left is intersected exactly.
     """
+    if len(arrays) == 2:
+        a, b = arrays
+        common = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) else 0
+        return [(0, 1)] if (sides[0] != sides[1] or not cross) and 100 * common >= percent * (len(a) + len(b) - common) else []
     sizes = np.array([len(a) for a in arrays])
     maps = bitmaps(arrays, 1 << int(min(16, max(6, (2 * int(sizes.max()) - 1).bit_length()))))
 

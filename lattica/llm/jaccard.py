@@ -163,6 +163,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     wanted = groups.join(one, "node").select("node", "grp", "one.*")
     wanted = stage(spark, wanted, "jaccard-wanted")
     sizes = wanted.groupBy("grp").agg(F.count(F.lit(1)).alias("grp_n"), F.sum("n").alias("grp_values"))
+    # Written, so that the join has two plain sides and a long group can be split.
+    sizes = stage(spark, sizes, "jaccard-sizes")
     wanted = wanted.join(sizes, "grp").select("grp", "grp_n", "grp_values", "node", "text_hash", F.col("id").alias("one_id"))
 
     def values_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -212,6 +212,8 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     one = each.groupBy("node").agg(F.min(F.struct("text_hash", "id", "line", "n")).alias("one"))
     wanted = stage(spark, groups.join(one, "node").select("node", "grp", "one.*"), "lines-wanted")
     sizes = wanted.groupBy("grp").agg(F.count(F.lit(1)).alias("grp_n"), F.sum("n").alias("grp_values"))
+    # Written, so that the join has two plain sides and a long group can be split.
+    sizes = stage(spark, sizes, "lines-sizes")
     wanted = wanted.join(sizes, "grp").groupBy(F.col("text_hash").alias("one_hash"), F.col("id").alias("one_id"))
     # A document's own lines at most: bounded by the longest text.
     wanted = wanted.agg(F.collect_list(F.struct("line", "grp", "grp_n", "grp_values", "node")).alias("wanted"))
