@@ -330,21 +330,31 @@ def extract(files: DataFrame, parser: Callable[[str, str], list[dict]] = extract
 def resolved_calls(entities: DataFrame) -> DataFrame:
     """(src, dst) call edges between functions and methods.
 
-    A name is looked up in its own file, where the last definition wins, then
+    A method of a variable made by ``new`` is one of that class.  Any other
+    name is looked up in its own file, where the last definition wins, then
     among what the file imports; a method call matches by its last part.
     """
     defs = entities.where("kind in ('function', 'method')").select("file_path", "name", "uri", "ordinal")
     last = F.row_number().over(Window.partitionBy("file_path", "name").orderBy(F.desc("ordinal")))
     defs = defs.withColumn("rank", last).where("rank = 1").select("file_path", "name", F.col("uri").alias("dst"))
     calls = entities.where("kind in ('function', 'method') and calls is not null").select(F.col("uri").alias("src"), "file_path", F.explode("calls").alias("callee")).distinct()
-    calls = calls.withColumn("name", F.substring_index("callee", ".", -1))
-    local = calls.join(defs, ["file_path", "name"])
+    calls = calls.withColumn("name", F.substring_index("callee", ".", -1)).withColumn("symbol", F.substring_index("callee", ".", 1))
     imported = module_imports(entities).select("file_path", F.col("target").alias("to"), F.explode("imported_symbols").alias("symbol"))
+
+    made = entities.where("kind = 'variable'").select("file_path", F.col("name").alias("symbol"), F.regexp_extract("init", r"^new\s+([A-Za-z_$][A-Za-z0-9_$]*)", 1).alias("class")).where("class <> ''").distinct()
+    homes = entities.where("kind = 'class'").select("file_path", F.col("name").alias("class"), F.col("file_path").alias("to"))
+    homes = homes.unionByName(imported.select("file_path", F.col("symbol").alias("class"), "to")).distinct()
+    classes = entities.where("kind = 'class'").select(F.col("file_path").alias("to"), F.col("name").alias("class"), F.col("uri").alias("owner"))
+    methods = entities.where("kind = 'method'").select(F.col("parent_uri").alias("owner"), "name", F.col("uri").alias("dst"))
+    on_instance = calls.where("callee like '%.%'").join(made, ["file_path", "symbol"]).join(homes, ["file_path", "class"]).join(classes, ["to", "class"]).join(methods, ["owner", "name"])
+    on_instance = on_instance.select("src", "callee", "dst").distinct()
+
+    rest = calls.join(on_instance.select("src", "callee").distinct(), ["src", "callee"], "left_anti")
+    local = rest.join(defs, ["file_path", "name"]).select("src", "callee", "dst")
     # An import brings the function itself, or an object whose method is called.
-    by_name = calls.withColumn("symbol", F.substring_index("callee", ".", 1)).join(imported, ["file_path", "symbol"])
-    far = by_name.join(defs.withColumnRenamed("file_path", "to"), ["to", "name"])
-    far = far.join(local.select("src", "callee").distinct(), ["src", "callee"], "left_anti")
-    return local.select("src", "dst").union(far.select("src", "dst")).distinct()
+    far = rest.join(imported, ["file_path", "symbol"]).join(defs.withColumnRenamed("file_path", "to"), ["to", "name"])
+    far = far.join(local.select("src", "callee").distinct(), ["src", "callee"], "left_anti").select("src", "callee", "dst")
+    return on_instance.unionByName(local).unionByName(far).select("src", "dst").distinct()
 
 
 def module_imports(entities: DataFrame) -> DataFrame:
