@@ -35,7 +35,7 @@ def strong_components(edges: DataFrame, vertices: DataFrame | None = None) -> Da
     of one colour are its component; the rest goes round again.
     """
     spark = edges.sparkSession
-    edges = edges.select("src", "dst").distinct()
+    edges = stage(spark, edges.select("src", "dst").distinct(), "scc-edges")
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
     nodes = (nodes if vertices is None else nodes.union(vertices.select("id"))).distinct()
     if at_most(edges, paths.SMALL) and at_most(nodes, paths.SMALL):
@@ -143,7 +143,7 @@ def pagerank(edges: DataFrame, vertices: DataFrame, alpha: float = 0.85, iterati
     joins and aggregates with one written round at a time.
     """
     spark = edges.sparkSession
-    edges = edges.select("src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    edges = stage(spark, edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")), "pagerank-edges")
     if at_most(edges, paths.SMALL) and at_most(vertices, paths.SMALL):
         ship(spark)
         both = vertices.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")).union(edges)
@@ -197,7 +197,7 @@ def betweenness(edges: DataFrame, vertices: DataFrame, limit: int = paths.SMALL)
     size is checked; the walk from a source costs as much as the graph, so a
     graph beyond ``limit`` edges is refused.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = stage(edges.sparkSession, edges.select("src", "dst").distinct(), "betweenness-edges")
     if not at_most(edges, limit):
         raise ValueError(f"betweenness needs at most {limit} edges")
     graph = paths.adjacency(edges)
@@ -247,7 +247,7 @@ def clustering(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     Each link goes from its end of lower degree to the other, so a hub does
     not pair all its neighbours.
     """
-    arcs = edges.where("src <> dst").select("src", "dst").distinct()
+    arcs = stage(edges.sparkSession, edges.where("src <> dst").select("src", "dst").distinct(), "clustering-edges")
     both = arcs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
     degree = both.select(F.explode(F.array("a", "b")).alias("id"), "w").groupBy("id").agg(F.count(F.lit(1)).alias("links"), F.sum("w").alias("arcs"), F.sum(F.when(F.col("w") == 2, 1).otherwise(0)).alias("mutual"))
     ranked = both.join(degree.select(F.col("id").alias("a"), F.col("links").alias("da")), "a").join(degree.select(F.col("id").alias("b"), F.col("links").alias("db")), "b")

@@ -22,9 +22,9 @@ SMALL = 200_000
 
 
 def adjacency(edges: DataFrame) -> dict[str, list[str]]:
-    """Successors of every node, of an edge set that is known to be small."""
+    """Successors of every node, of an edge set whose size has been checked."""
     out: dict[str, list[str]] = {}
-    for src, dst in edges.toLocalIterator():
+    for src, dst in edges.collect():
         out.setdefault(src, []).append(dst)
     return {src: sorted(set(found)) for src, found in out.items()}
 
@@ -67,7 +67,8 @@ def closure(edges: DataFrame, start: str | None = None, end: str | None = None)
         swapped = closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start=end)
         return swapped.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     spark = edges.sparkSession
-    edges = edges.select("src", "dst").distinct()
+    # Written once: the edges may be the end of a long plan, and are read several times.
+    edges = stage(spark, edges.select("src", "dst").distinct(), "closure-edges")
     sources = edges if start is None else spark.createDataFrame([(start,)], "src string")
     if at_most(edges, SMALL):
         graph = adjacency(edges)
@@ -80,7 +81,6 @@ def closure(edges: DataFrame, start: str | None = None, end: str | None = None)
 def closure_loop(edges: DataFrame, newest: DataFrame) -> DataFrame:
     """The closure by joins: the newest pairs extended by one edge, without those known."""
     spark = edges.sparkSession
-    edges = stage(spark, edges, "closure-edges")
     step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("further"))
     parts = [stage(spark, newest, "closure-new")]
     while not parts[-1].isEmpty():
@@ -97,7 +97,7 @@ def neighbors(edges: DataFrame, start: str, depth: int = 1) -> DataFrame:
     smallest, by node names in order.  The start is found again over a cycle.
     """
     spark = edges.sparkSession
-    edges = edges.select("src", "dst").distinct()
+    edges = stage(spark, edges.select("src", "dst").distinct(), "neighbors-edges")
     frontier = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     found: list[DataFrame] = []
     for hop in range(1, depth + 1):
@@ -113,7 +113,7 @@ def neighbors(edges: DataFrame, start: str, depth: int = 1) -> DataFrame:
 def simple_paths(edges: DataFrame, start: str, end: str | None = None, cutoff: int = 10) -> DataFrame:
     """(path, length) of the paths without a repeated node, of at most ``cutoff`` edges."""
     spark = edges.sparkSession
-    edges = edges.select("src", "dst").distinct()
+    edges = stage(spark, edges.select("src", "dst").distinct(), "paths-edges")
     paths = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     found: list[DataFrame] = []
     for _ in range(cutoff):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lattica import star
 from lattica.engine import QueryEngine
 from lattica.functions import terms
+from lattica.functions.staging import stage
 from lattica.functions.terms import KG
 from lattica.graph import Graph
 from lattica.operators import analytics, crud, paths, semantic, spans, validate
@@ -232,7 +233,7 @@ def closure_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {CLOSED} SELECT src, dst FROM closed")
 def closure_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = star.call_edges(spark, sf_dir)
+    edges = stage(spark, star.call_edges(spark, sf_dir), "calls")
     return paths.closure_loop(edges, edges)
 
 
