@@ -66,3 +66,34 @@ def test_stream_debounce_and_batches(spark, tmp_path):
     query = changes.run(stream, lambda batch, k: seen.extend(tuple(r)[:2] for r in batch.collect()), str(tmp_path / "cp3"))
     query.awaitTermination(120)
     assert sorted(seen) == [("a.js", "deleted"), ("b.js", "created"), ("z.js", "modified")]
+
+
+def test_updater_follows_a_stream(spark, tmp_path):
+    from lattica.engine import QueryEngine
+    from lattica.streaming.updater import Updater
+
+    texts = {"a.js": "import { g } from './b';\nfunction f() { return g(); }\n", "b.js": "export function g() { return 1; }\n"}
+
+    def contents(wanted):
+        known = spark.createDataFrame(list(texts.items()), "file_path string, content string")
+        return known.join(wanted, "file_path").select(F.col("file_path").alias("path"), "content")
+
+    def called(updater):
+        return sorted((r["a"], r["b"]) for r in QueryEngine(updater.graph).sparql("SELECT ?a ?b WHERE { ?f code:calls ?g ; code:hasName ?a . ?g code:hasName ?b }").rows())
+
+    updater = Updater(spark, str(tmp_path / "graph"), contents)
+    source = str(tmp_path / "in")
+    first = [("a.js", "created", "2024-01-01 00:00:00", "1"), ("b.js", "created", "2024-01-01 00:00:00", "2"), ("c.txt", "created", "2024-01-01 00:00:00", "3")]
+    spark.createDataFrame(first, SCHEMA).coalesce(1).write.json(source)
+    stream = spark.readStream.schema(SCHEMA).json(source).withColumn("ts", F.col("ts").cast("timestamp"))
+    updater.follow(stream, str(tmp_path / "cp")).awaitTermination(200)
+    assert called(updater) == [("f", "g")] and updater.statistics()["files"] == 2
+    again = spark.createDataFrame(first[:2], SCHEMA)
+    assert updater.apply(again, 5).files_processed == 0
+    texts["b.js"] = "export function h() { return 1; }\n"
+    result = updater.apply(spark.createDataFrame([("b.js", "modified", "2024-01-01 00:00:09", "4")], SCHEMA), 6)
+    assert (result.files_processed, result.entities_removed, result.affected_files) == (1, 2, 2) and called(updater) == []
+    # The same batch again changes nothing.
+    assert updater.apply(spark.createDataFrame([("b.js", "deleted", "2024-01-01 00:00:09", None)], SCHEMA), 6).files_deleted == 0
+    result = updater.apply(spark.createDataFrame([("b.js", "deleted", "2024-01-01 00:00:10", None)], SCHEMA), 7)
+    assert result.files_deleted == 1 and updater.statistics()["files"] == 1
