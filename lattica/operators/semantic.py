@@ -77,6 +77,17 @@ def merge(entities: DataFrame, references: DataFrame) -> DataFrame:
     return entities.join(out, "uri", "left").join(into, "uri", "left")
 
 
+def definition(entities: DataFrame, uri: str) -> DataFrame:
+    """Where an entity is defined: (uri, file_path, line_number, column_number)."""
+    return entities.where(F.col("uri") == F.lit(uri)).select("uri", "file_path", "line_number", "column_number")
+
+
+def type_information(entities: DataFrame, uri: str) -> DataFrame:
+    """What is written about an entity's type: its own type name and those of its parameters."""
+    kinds = F.transform("parameters", lambda p: F.struct(p["name"].alias("name"), p["type_name"].alias("type_name")))
+    return entities.where(F.col("uri") == F.lit(uri)).select("uri", "kind", "type_name", kinds.alias("parameters"))
+
+
 def call_hierarchy(edges: DataFrame, uri: str) -> DataFrame:
     """(direction, other): who calls this entity and whom it calls."""
     into = edges.where(F.col("dst") == F.lit(uri)).select(F.lit("incoming").alias("direction"), F.col("src").alias("other"))

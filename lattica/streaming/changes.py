@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lattica.sources.files import discovered
+from lattica.sources.files import WATCH_IGNORED_DIRS, discovered
 
 #: Order in which the changes of one batch take effect.
 RANK = {"deleted": 0, "modified": 1, "created": 2}
@@ -26,7 +26,7 @@ def rank(event_type: Column) -> Column:
 
 def watched(changes: DataFrame) -> DataFrame:
     """Changes of source files outside hidden and ignored folders."""
-    return changes.where(discovered(F.col("file_path")))
+    return changes.where(discovered(F.col("file_path"), ignored=WATCH_IGNORED_DIRS))
 
 
 def debounce(changes: DataFrame, gap: str = "500 milliseconds") -> DataFrame:

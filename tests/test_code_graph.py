@@ -92,6 +92,23 @@ def test_byte_offsets(spark):
     assert at == [0, 2, 4, 6]
 
 
+@pytest.mark.parametrize(("path", "want"), [("a/b.js", (True, True, True)), ("a/node_modules/b.js", (False, True, False)), ("a/coverage/b.ts", (False, True, True)), ("a/b.min.js", (True, False, True)), ("a/B.MIN.js", (True, False, True)), ("__tests__/b.js", (True, False, True)), ("a/.x/b.js", (False, True, False)), ("a/b.mjs", (True, True, False)), ("a/b.JS", (False, True, False)), (".b.js", (False, True, False))])
+def test_file_filters(spark, path, want):
+    from lattica.sources import files
+
+    df = spark.createDataFrame([(path, 10)], "path string, length long")
+    row = df.select(files.discovered(F.col("path")), files.included(F.col("path"), F.col("length")), files.for_server(F.col("path"))).first()
+    assert tuple(row) == want
+
+
+def test_definition_and_types(spark, kg):
+    uri = kg.entities.where("name = 'formatString' and kind = 'function'").select("uri").first()[0]
+    assert semantic.definition(kg.entities, uri).first()["line_number"] == 1
+    assert [p["name"] for p in semantic.type_information(kg.entities, uri).first()["parameters"]] == ["s"]
+    calls = extract.resolved_calls(kg.entities)
+    assert [r["direction"] for r in semantic.call_hierarchy(calls, uri).collect()] == ["incoming"]
+
+
 def test_nothing_is_wrong(kg):
     assert kg.issues().collect() == []
 
