@@ -19,14 +19,14 @@ from lattica.functions.staging import ship, stage
 
 __all__ = ["map_rows", "map_text", "ship", "slices", "stage", "text_column"]
 
-def text_column(column: pa.Array) -> pa.LargeStringArray:
-    """An Arrow text column without offset and nulls (null becomes the empty text)."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_string())
-    if column.null_count:
-        column = column.fill_null("")
-    return column
+
+#: Rows of texts handed to Python at once, where the session leaves Spark's default.
+BATCH_ROWS = 2000
+
+
+def text_column(column: pa.Array) -> pa.Array:
+    """A text column whose nulls are empty texts."""
+    return column.fill_null("") if column.null_count else column
 
 
 def map_text(
@@ -40,7 +40,11 @@ def map_text(
     Only those columns leave the scan, so extra columns of the input, whatever
     their names, play no part.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    batch_rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch_rows) == "10000":
+        spark.conf.set(batch_rows, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,7 +61,8 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21, max_row
     the bound comes alone and whole.
     """
     text = text_column(batch.column(column))
-    offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+    width = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    offsets = np.frombuffer(text.buffers()[1], dtype=width)[text.offset : text.offset + len(text) + 1].astype(np.int64)
     data = text.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0

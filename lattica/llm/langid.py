@@ -80,7 +80,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 0) -> np.ndarray:
     """Weights of a linear support vector machine (labels 1 and -1), by dual coordinate descent."""
     alpha, w = np.zeros(len(y)), np.zeros(x.shape[1], dtype=np.float32)
-    diagonal = (x * x).sum(axis=1)
+    diagonal = np.einsum("ij,ij->i", x, x)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for k in order.permutation(len(y)):
@@ -161,12 +161,11 @@ def train(docs: DataFrame, rows: int = 300, id_col: str = "doc_id", text_col: st
             langs += [lang] * len(parts)
     if not texts:
         return None
-    coded = [t.encode("utf-8", "replace") for t in texts]
-    x = []
-    for k in range(0, len(coded), 256):
-        some = coded[k : k + 256]
-        x.append(features(np.frombuffer(b"".join(some), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in some])])))
-    return Model(np.concatenate(x), langs)
+    x = np.empty((len(texts), DIMS), dtype=np.float32)
+    for k in range(0, len(texts), 128):
+        some = [t.encode("utf-8", "replace") for t in texts[k : k + 128]]
+        x[k : k + len(some)] = features(np.frombuffer(b"".join(some), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in some])]))
+    return Model(x, langs)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, least_score: float = 0.0) -> DataFrame:
@@ -180,7 +179,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def body(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(text_col)
-        for first, last, raw, offsets in slices(batch, text_col, 1 << 18, max_rows=512):
+        for first, last, raw, offsets in slices(batch, text_col, 1 << 18, max_rows=128):
             lettered = np.array([bool(t.is_valid and _LETTER.search(t.as_py())) for t in texts.slice(first, last - first)])
             lang, score = np.full(last - first, "und", dtype=object), np.zeros(last - first)
             if model and lettered.any():

@@ -121,10 +121,10 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """The id with score and predicted (1 from ``least`` on)."""
 
     def body(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = text_column(batch.column(text_col)).cast(pa.large_binary())
+        texts = text_column(batch.column(text_col))
         for first in range(0, batch.num_rows, 512):
             part = texts.slice(first, 512)
-            sure = model.scores([model.measures(t.as_py()) for t in part]) if model else np.full(len(part), 0.5)
+            sure = model.scores([model.measures(t.as_py().encode()) for t in part]) if model else np.full(len(part), 0.5)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col).slice(first, 512), pa.array(sure), pa.array((sure >= least).astype(np.int32))],
                 names=[id_col, "score", "predicted"],
