@@ -31,8 +31,8 @@ from lattica.llm import textscan
 from lattica.llm.common import map_text, slices, stage, text_column
 from lattica.llm.components import components, grouped, verified
 
-#: The shingle length is a power of two.
-SHINGLE, BANDS, ROWS = 8, 12, 5
+#: Shingle lengths are powers of two.  ``SHORT`` links lines of 39 characters and more that differ in one; ``SHINGLE`` needs 79.
+SHINGLE, SHORT, BANDS, ROWS = 8, 4, 12, 5
 _BINS = BANDS * ROWS
 _HASH_BITS = 48
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -57,7 +57,8 @@ def _lowered(text: bytes) -> np.ndarray:
 class LineSets:
     """The lines of a run of texts as sorted shingle sets."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, width: int = SHINGLE):
+        self.width = width
         first, last = line_bounds(raw, offsets)
         self.bounds = textscan.per_text(first, offsets)
         self.count = len(first)
@@ -70,20 +71,21 @@ class LineSets:
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
         codes = _lowered(raw.tobytes())
         begin, end = np.searchsorted(lead, first), np.searchsorted(lead, last)
-        rolled = _rolling(codes)
+        rolled = _rolling(codes, width)
         for lo in range(0, self.count, 1 << 16):
             hi = min(self.count, lo + (1 << 16))
             self._fill(codes, rolled, begin[lo:hi], end[lo:hi], lo)
 
     def _fill(self, codes: np.ndarray, rolled: np.ndarray, begin: np.ndarray, end: np.ndarray, lo: int) -> None:
-        full = np.flatnonzero(end - begin >= SHINGLE)
+        width = self.width
+        full = np.flatnonzero(end - begin >= width)
         edge = np.zeros(len(codes) + 1, dtype=np.int8)
         edge[begin[full]] = 1
-        edge[end[full] - SHINGLE + 1] -= 1
+        edge[end[full] - width + 1] -= 1
         inside = np.cumsum(edge[: len(rolled)], dtype=np.int8).astype(bool)
-        line = np.repeat(full.astype(np.uint64), end[full] - begin[full] - SHINGLE + 1)
+        line = np.repeat(full.astype(np.uint64), end[full] - begin[full] - width + 1)
         keys = (line << np.uint64(_HASH_BITS)) | (rolled[inside] & _LOW)
-        short = np.flatnonzero(end - begin < SHINGLE)
+        short = np.flatnonzero(end - begin < width)
         if len(short):
             own = [(k << _HASH_BITS) | int(_short(codes[begin[k] : end[k]]) & _LOW) for k in short.tolist()]
             keys = np.concatenate([keys, np.array(own, dtype=np.uint64)])
@@ -113,26 +115,26 @@ def line_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts[cut], ends[np.concatenate([cut[1:], [len(starts)]]) - 1] if len(cut) else ends[:0]
 
 
-def _rolling(codes: np.ndarray) -> np.ndarray:
+def _rolling(codes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     """Hashes of the shingles from each place, by doubling their length."""
-    out, width = codes, 1
+    out, half = codes, 1
     with np.errstate(over="ignore"):
-        while width < SHINGLE:
-            if len(out) <= width:
+        while half < width:
+            if len(out) <= half:
                 return np.zeros(0, np.uint64)
-            out = out[:-width] * np.uint64(pow(0xD6E8FEB86659FD93, width, 1 << 64)) + out[width:]
-            width *= 2
-    return textscan.mix(out, SHINGLE)
+            out = out[:-half] * np.uint64(pow(0xD6E8FEB86659FD93, half, 1 << 64)) + out[half:]
+            half *= 2
+    return textscan.mix(out, width)
 
 
 def _short(codes: np.ndarray) -> np.uint64:
     return textscan.gram_hashes(codes, len(codes))[0]
 
 
-def line_values(line: bytes) -> np.ndarray:
+def line_values(line: bytes, width: int = SHINGLE) -> np.ndarray:
     """The sorted shingle hashes of one line."""
     codes = _lowered(line)
-    return np.unique((_rolling(codes) if len(codes) >= SHINGLE else textscan.gram_hashes(codes, len(codes))) & _LOW)
+    return np.unique((_rolling(codes, width) if len(codes) >= width else textscan.gram_hashes(codes, len(codes))) & _LOW)
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -168,10 +170,11 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
         return textscan.mix(out + np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
 
 
-def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE) -> DataFrame:
     """(id, text_hash, n_lines, removed) of each row: ``removed`` holds the numbers of the lines that go.
 
-    Lines are numbered from 0 among those with a word.
+    Lines are numbered from 0 among those with a word; ``width`` is the shingle
+    length, a power of two.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -182,7 +185,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     def describe(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for first, last, raw, offsets in slices(batch, "text", _CHUNK):
-            sets = LineSets(raw, offsets)
+            sets = LineSets(raw, offsets, width)
             nodes = sets.nodes.view(np.int64)
             fresh = np.zeros(sets.count, dtype=bool)
             fresh[np.unique(nodes, return_index=True)[1]] = True
@@ -235,7 +238,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     # Shuffled at every size, so that what is moved follows the input.
     texts = hashed.join(wanted.hint("merge"), (F.col("text_hash") == F.col("one_hash")) & F.col("id").eqNullSafe(F.col("one_id")))
     members = map_text(texts, "grp long, grp_n long, grp_values long, node long, values binary", lines_of, ["wanted", "text"])
-    linked = components(spark, verified(members, percent, decode=line_values), "lines-links")
+    linked = components(spark, verified(members, percent, decode=lambda line: line_values(line, width)), "lines-links")
 
     placed = each.join(linked, "node", "left").select("id", "text_hash", "line", F.coalesce("root", "node").alias("root"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "line")
@@ -248,9 +251,9 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     return lines.join(gone, match, "left").select("id", "text_hash", F.size("nodes").cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE) -> DataFrame:
     """(id, n_lines, n_kept, removed) of each row; ``removed`` lists line numbers, comma-joined."""
-    marked = mark(docs, id_col, text_col, percent)
+    marked = mark(docs, id_col, text_col, percent, width)
     return marked.select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("removed")).cast("long").alias("n_kept"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"))
 
 
@@ -267,9 +270,9 @@ def without(text: str, removed: list[int]) -> str:
     return "\n".join(out)
 
 
-def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE) -> DataFrame:
     """``docs`` with the removed lines cut from their texts; documents that lose all their lines are dropped."""
-    marked = mark(docs, id_col, text_col, percent).where("size(removed) > 0").dropDuplicates(["id", "text_hash"])
+    marked = mark(docs, id_col, text_col, percent, width).where("size(removed) > 0").dropDuplicates(["id", "text_hash"])
     marked = marked.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__removed"), (F.size("removed") == F.col("n_lines")).alias("__empty"))
     hit = docs.join(marked.hint("merge"), (F.xxhash64(docs[text_col]) == F.col("__hash")) & docs[id_col].eqNullSafe(F.col("__id")), "left")
     columns = docs.columns

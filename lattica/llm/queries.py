@@ -27,7 +27,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup(_read(spark, sf_dir, "documents"))
+    return linededup.dedup(_read(spark, sf_dir, "documents"), width=linededup.SHORT)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
