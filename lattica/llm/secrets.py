@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and password guess costs in credential contexts.
 
 Three fixed patterns give the base spans (assign, access, hex).  Beyond them,
-the value that follows a credential word is cut, by dynamic programming, into
+the value that follows an identifier with a credential word in it is cut, by dynamic programming, into
 the segments that are cheapest to guess: common words, dates, repeats, keyboard
 walks and brute-force spans.  A value that stays expensive is a span of kind
 ``guess``, unless a base span already touches it.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -26,8 +27,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-_WORDS_OF_CONTEXT = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[ _-]?key|auth(?:orization)?|bearer|credentials?|login"
-_CONTEXT = re.compile(rf"""\b(?:{_WORDS_OF_CONTEXT})\b["']?[ \t]*(?:[:=]>?|->|\bis\b)[ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>,;]+))""", re.IGNORECASE | re.ASCII)
+#: An identifier, dotted or hyphened too, and the sign that gives it a value; read once from its first character.
+_NAMED = re.compile(r"""(?<![A-Za-z0-9_])(?<![A-Za-z0-9_][.-])([A-Za-z0-9_]++(?:[.-][A-Za-z0-9_]++)*+(?:(?:(?<=api)|(?<=access)|(?<=private)|(?<=secret))\x20key\b)?)["']?[ \t]*([:=]>?|->|\bis\b)[ \t]*""", re.IGNORECASE | re.ASCII)
+_VALUE = re.compile(r""""([^"\n]+)"|'([^'\n]+)'|([^\s"'<>,;]+)""")
+#: A word within an identifier ends before what is no letter and where the case changes; the shorter words begin so, too.
+_ENDS = r"(?-i:(?![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+_BEGINS = r"(?-i:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+_LONG_WORDS = r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|secret)[ _-]?key|credential)s?"
+_CREDENTIAL = re.compile(rf"(?:{_LONG_WORDS}|{_BEGINS}(?:pass|auth(?:orization)?|bearer|login)){_ENDS}", re.IGNORECASE | re.ASCII)
+_ANY = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential|login", re.IGNORECASE | re.ASCII)
 
 #: Common parts of passwords, by how early they are tried.
 COMMON = (
@@ -81,13 +89,28 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def values(text: str) -> Iterator[re.Match[str]]:
+    """What follows each identifier with a credential word in it (``DB_PASSWORD``, ``clientSecret``, ``api key``)."""
+    named = _NAMED.search(text) if _ANY.search(text) else None
+    while named:
+        end = named.end(1)
+        word = _CREDENTIAL.search(named[1])
+        value = _VALUE.match(text, named.end()) if word else None
+        # What follows a host name at once is a port.
+        port = value and value[3] and named[2] == ":" and value.start() == named.end(2) and "." in named[1][word.end() :]
+        if value and not port:
+            yield value
+            end = value.end()
+        named = _NAMED.search(text, end)
+
+
 def find(text: str, least: float = 10.0) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and all spans of a text, each (kind, start, end), by start and kind."""
     base = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     more = []
-    for m in _CONTEXT.finditer(text):
+    for m in values(text):
         k = next(g for g in (1, 2, 3) if m[g] is not None)
         value, start, end = m[k], m.start(k), m.end(k)
         if k == 3:

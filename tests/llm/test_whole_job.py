@@ -4,6 +4,8 @@ import __spark_entry__
 import duckdb
 from test_groups import similar
 
+from lattica.llm import secrets
+
 
 def near_lines(texts, width=4, percent=80):
     """Removed line numbers of each text, by all pairs of lines."""
@@ -29,3 +31,25 @@ def test_lines_with_one_edit(spark, data, tmp_path):
     rows = __spark_entry__.queries()["op4_line_dedup"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["removed"] for r in rows} == {k: ",".join(map(str, gone)) for k, gone in enumerate(near_lines(texts))}
     assert near_lines(texts)[-3:] == [[], [0], []]
+
+
+def test_secrets_under_longer_names():
+    """Credential words inside identifiers, which have no word boundary around them."""
+    secret = "x@7!kQz#9Lm$2vB"
+    for name in ("DB_PASSWORD", "db_password", "dbPassword", "client_secret", "AWS_SECRET_ACCESS_KEY", "PGPASSWORD", "spring.datasource.password", "password_prod", "tokenValue", "api key", "APIKey2", "login"):
+        for text in (f'{name}="{secret}"', f"{name}: '{secret}'", f"  {name} = {secret}\n", f"note: {name}={secret}"):
+            assert [(kind, text[a:b]) for kind, a, b in secrets.find(text)[1]] == [("guess", secret)], text
+    key = "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ9"
+    assert [key[a:b] for _, a, b in secrets.find(key)[1]] == [key.split("=")[1]]
+    for text in (f'author: "{secret}"', f'tokenizer = "{secret}"', f'compass: "{secret}"', f"login.example.com:8080/{secret}", "token_" * 200_000):
+        assert secrets.find(text)[1] == [], text[:40]
+
+
+def test_secrets_found_before_are_found(data):
+    """What the pattern with word boundaries found stays, over the smallest table."""
+    import re
+
+    words = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[ _-]?key|auth(?:orization)?|bearer|credentials?|login"
+    old = re.compile(rf"""\b(?:{words})\b["']?[ \t]*(?:[:=]>?|->|\bis\b)[ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>,;]+))""", re.IGNORECASE | re.ASCII)
+    for (text,) in duckdb.sql(f"select text from '{data}/documents.parquet' where text is not null").fetchall():
+        assert {m.end() for m in old.finditer(text)} <= {m.end() for m in secrets.values(text)}
