@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from lattica.functions.staging import at_most, ship, stage
 from lattica.operators import paths
 
+#: Sources of a block times nodes of a large graph: the most rows that the levels of a block have in all.
+PAIRS = 200_000_000
+
 
 def nodes_by_type(vertices: DataFrame, kind: str) -> DataFrame:
     return vertices.where(F.col("type") == F.lit(kind))
@@ -193,22 +196,52 @@ def _iterate(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, alpha
 def betweenness(edges: DataFrame, vertices: DataFrame, limit: int = paths.SMALL) -> DataFrame:
     """(id, score): shortest paths through each node, by (n - 1)(n - 2) pairs.
 
-    Sources are dealt over the workers, each with the whole edge set, whose
-    size is checked; the walk from a source costs as much as the graph, so a
-    graph beyond ``limit`` edges is refused.
+    Of a graph of at most ``limit`` edges, sources are dealt over the workers,
+    each with the whole edge set.  A larger one is walked level by level, from
+    a block of sources at once, by joins with written rounds.
     """
     edges = stage(edges.sparkSession, edges.select("src", "dst").distinct(), "betweenness-edges")
-    if not at_most(edges, limit):
-        raise ValueError(f"betweenness needs at most {limit} edges")
-    graph = paths.adjacency(edges)
     sources = vertices.select(F.col("id").alias("src"))
-    shares = paths.per_source(sources, graph, "id string, share double", _dependencies)
+    if at_most(edges, limit):
+        shares = paths.per_source(sources, paths.adjacency(edges), "id string, share double", _dependencies)
+    else:
+        shares = dependencies_loop(edges, sources)
     n = vertices.agg(F.count(F.lit(1)).alias("n"))
     total = vertices.select("id").join(shares.groupBy("id").agg(F.sum("share").alias("share")), "id", "left").crossJoin(F.broadcast(n))  # one row
     pairs = (F.col("n") - 1) * (F.col("n") - 2)
     return total.select("id", F.when(F.col("n") > 2, F.coalesce("share", F.lit(0.0)) / pairs).otherwise(F.lit(0.0)).alias("score"))
 
 
+def dependencies_loop(edges: DataFrame, sources: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """(id, share): what :func:`_dependencies` yields for each block of sources, summed by node.
+
+    The levels of a block are written going out, with the number of shortest
+    paths from each source, and read again going back.
+    """
+    spark = edges.sparkSession
+    sources = stage(spark, sources.distinct().join(edges.select("src"), "src", "left_semi"), "betweenness-sources")
+    nodes = edges.select("src").union(edges.select("dst")).distinct().count()
+    blocks = -(-sources.count() * nodes // pairs)
+    done = [spark.createDataFrame([], "id string, share double")]
+    for block in range(blocks):
+        own = sources.where(F.pmod(F.xxhash64("src"), F.lit(blocks)) == block)
+        levels = [stage(spark, own.select(F.col("src").alias("source"), F.col("src").alias("node"), F.lit(1.0).alias("count")), "betweenness-level")]
+        while not levels[-1].isEmpty():
+            known = reduce(DataFrame.union, levels).select("source", "node")
+            reached = levels[-1].join(edges, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("count").alias("count"))
+            levels.append(stage(spark, reached.join(known, ["source", "node"], "left_anti"), "betweenness-level"))
+        # The last level is empty, the first holds the sources themselves.
+        below = levels[-1].withColumn("share", F.lit(0.0))
+        for level in reversed(levels[1:-1]):
+            passed = below.select("source", F.col("node").alias("dst"), ((F.col("share") + 1) / F.col("count")).alias("each"))
+            passed = passed.join(edges, "dst").groupBy("source", F.col("src").alias("node")).agg(F.sum("each").alias("each"))
+            share = F.coalesce(F.col("count") * F.col("each"), F.lit(0.0)).alias("share")
+            below = stage(spark, level.join(passed, ["source", "node"], "left").select("source", "node", "count", share), "betweenness-shares")
+            done.append(below.groupBy(F.col("node").alias("id")).agg(F.sum("share").alias("share")))
+        done[1:] = [stage(spark, reduce(DataFrame.union, done).groupBy("id").agg(F.sum("share").alias("share")), "betweenness-sums")]
+    return reduce(DataFrame.union, done)
+
+
 def _dependencies(graph: dict[str, list[str]], source: str) -> Iterator[tuple[str, float]]:
     """What every node passes on of the shortest paths from ``source``."""
     order: list[str] = []
