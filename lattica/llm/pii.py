@@ -98,11 +98,22 @@ def _glyph_table() -> dict[str, str]:
 _GLYPHS = _glyph_table()
 _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]")
 _BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.IGNORECASE)
-_SPELLED_MAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9_%+-]+)*\s+at\s+[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*", re.IGNORECASE)
-#: Last labels of domains that are written out in words.
-TOP_LABELS = frozenset("com org net edu gov mil info biz io co ai app dev tv example test invalid uk de fr es nl eu ca au jp cn br ru ch se pl".split())
+_SPELLED_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])\s+at\s+([A-Za-z0-9-]++(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]++)++)", re.IGNORECASE)
+#: Last labels of domains, those of countries first, that an address in words may end in.
+TOP_LABELS = frozenset(
+    (
+        "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz "
+        "ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz "
+        "la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa "
+        "re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw "
+        "com org net edu gov mil int info biz name pro aero asia cat coop jobs mobi museum post tel travel arpa example test invalid local localhost "
+        "academy agency app art bank berlin blog business cafe care center chat church city click cloud club codes community company consulting cool design dev digital direct email energy engineering expert family farm finance "
+        "foundation fun fund games global group guru health help host house institute international law legal life link live london love ltd market marketing media money network news one online page paris partners photo photography "
+        "plus press pub school science services shop site social software solutions space store studio support systems team tech technology tips today tools top training university ventures video vip wiki work works world xyz zone"
+    ).split()
+)
+_CLOCK = re.compile(r"[0-9]+\.(?:am|pm)", re.IGNORECASE)
 _DOT = re.compile(r"\s+dot\s+", re.IGNORECASE)
-_AT_OR_DOT = re.compile(r"\s+(at|dot)\s+", re.IGNORECASE)
 _DIGIT_WORD = "|".join(DIGITS)
 _SPELLED = re.compile(rf"\b(?:plus[\s-]+)?(?:{_DIGIT_WORD}|[0-9]+)(?:[\s,-]+(?:{_DIGIT_WORD}|[0-9]+)){{3,}}\b", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"(plus)[\s-]+|({_DIGIT_WORD})\b[\s,-]*", re.IGNORECASE)
@@ -150,6 +161,37 @@ class Normalised:
         return (src + at - lo, src + at - lo + 1) if hi - lo == end - src else (src, end)
 
 
+def spelled_mails(text: str) -> list[tuple[int, int, str]]:
+    """The "at" and "dot" of addresses in words, found from each "at" outwards."""
+    sites, free = [], 0
+    for m in _SPELLED_AT.finditer(text):
+        if re.split(r"[\s.]", m[1])[-1].lower() not in TOP_LABELS or _CLOCK.fullmatch(m[1]):
+            continue
+        dots, start = [], m.start()
+        while True:
+            while start > free and text[start - 1] in _LOCAL:
+                start -= 1
+            gap = start
+            while gap > free and text[gap - 1].isspace():
+                gap -= 1
+            before = gap - 3
+            # A dot in words stands between blanks, with a name before it.
+            if not (gap < start < m.start() and before > free and text[before:gap].lower() == "dot" and text[before - 1].isspace()):
+                break
+            name = before
+            while name > free and text[name - 1].isspace():
+                name -= 1
+            if name == free or text[name - 1] not in _LOCAL:
+                break
+            dots.append((name, start, "."))
+            start = name
+        if start < m.start():
+            sites += [*dots[::-1], (m.start(), m.start(1), "@")]
+            sites += [(m.start(1) + x.start(), m.start(1) + x.end(), ".") for x in _DOT.finditer(m[1])]
+            free = m.end()
+    return sites
+
+
 def normalise(text: str) -> Normalised | None:
     """The text without disguises; None where there is none."""
     out = Normalised(text)
@@ -160,13 +202,9 @@ def normalise(text: str) -> Normalised | None:
     sites = [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKETED.finditer(out.text)]
     if sites:
         out = out.rewrite(sites)
-    if _DOT.search(out.text):
-        sites = []
-        for m in _SPELLED_MAIL.finditer(out.text):
-            if _DOT.search(m[0]) and re.split(r"[\s.]+", m[0])[-1].lower() in TOP_LABELS:
-                sites += [(m.start() + x.start(), m.start() + x.end(), "@" if x[1].lower() == "at" else ".") for x in _AT_OR_DOT.finditer(m[0])]
-        if sites:
-            out = out.rewrite(sites)
+    sites = spelled_mails(out.text)
+    if sites:
+        out = out.rewrite(sites)
     if _WORD_OF_DIGITS.search(out.text):
         sites = []
         for m in _SPELLED.finditer(out.text):

@@ -4,7 +4,7 @@ import __spark_entry__
 import duckdb
 from test_groups import similar
 
-from lattica.llm import secrets
+from lattica.llm import pii, secrets
 
 
 def near_lines(texts, width=4, percent=80):
@@ -53,3 +53,12 @@ def test_secrets_found_before_are_found(data):
     old = re.compile(rf"""\b(?:{words})\b["']?[ \t]*(?:[:=]>?|->|\bis\b)[ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>,;]+))""", re.IGNORECASE | re.ASCII)
     for (text,) in duckdb.sql(f"select text from '{data}/documents.parquet' where text is not null").fetchall():
         assert {m.end() for m in old.finditer(text)} <= {m.end() for m in secrets.values(text)}
+
+
+def test_mail_addresses_in_words():
+    """An "at" before a plain domain, and the domains of countries."""
+    for mail in ("jane at example.com", "jane dot doe at firma dot it", "jane.doe at mail.firma.online", *(f"j dot a dot doe at firma dot {end}" for end in "us in at be dk fi no me nz online com".split())):
+        text = f"write, {mail} now"
+        assert ("email", text.index(mail), text.index(mail) + len(mail)) in pii.find(text)[1], mail
+    for text in ("he was at home. In the end", "meet at 10.am", "look at the dot over there", "jane at example.nowhere", "a at " * 50_000, "a dot " * 50_000 + "b at c", "x" * 300_000):
+        assert pii.find(text)[1] == [], text[:40]
