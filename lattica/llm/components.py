@@ -46,22 +46,6 @@ def as_hashes(values: bytes) -> np.ndarray:
     return np.frombuffer(values, dtype=np.uint64)
 
 
-class Forest:
-    """Union-find over the rows of one block."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        self.up[self.root(a)] = self.root(b)
-
-
 def bitmaps(arrays: list[np.ndarray], bits: int) -> np.ndarray:
     """A hashed bitmap of each set, as rows of 64-bit words."""
     table = np.zeros((len(arrays), bits), dtype=bool)
@@ -92,17 +76,19 @@ def links(arrays: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int
 def forest(maps: np.ndarray, sizes: np.ndarray, sides: np.ndarray, cross: bool, percent: int, holds: Callable[[int, int, int], bool] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that the bitmaps allow and ``holds``, if given, confirms.
 
-    A pair already connected inside the block is not compared again.  Sets are
-    taken by size, so partners of fitting size are neighbours; a set bit that
-    the other bitmap lacks proves a value that the other set lacks, so bit
-    counts bound the overlap from above.
+    Rows already connected inside the block are not compared again, so a family
+    of near copies costs one pass from its first row.  Sets are taken by size,
+    so partners of fitting size are neighbours; a set bit that the other bitmap
+    lacks proves a value that the other set lacks, so bit counts bound the
+    overlap from above.
     """
     order = np.argsort(sizes, kind="stable")
     maps, sizes, sides = maps[order], sizes[order], sides[order]
-    trees, out = Forest(len(order)), []
+    tree, out = np.arange(len(order)), []
     ends = np.searchsorted(sizes, sizes * 100 // percent, side="right")
     for a in range(len(order)):
         b = np.arange(a + 1, ends[a])
+        b = b[tree[b] != tree[a]]
         if cross:
             b = b[sides[b] != sides[a]]
         if not len(b):
@@ -114,38 +100,43 @@ def forest(maps: np.ndarray, sizes: np.ndarray, sides: np.ndarray, cross: bool,
         )
         fit = most >= need
         for k, least in zip(b[fit].tolist(), need[fit].tolist(), strict=True):
-            if trees.root(a) != trees.root(k) and (holds is None or holds(int(order[a]), int(order[k]), least)):
-                trees.join(a, k)
+            if tree[a] != tree[k] and (holds is None or holds(int(order[a]), int(order[k]), least)):
+                tree[tree == tree[k]] = tree[a]
                 out.append((int(order[a]), int(order[k])))
     return out
 
 
-def in_blocks(rows: DataFrame, size: Column, least_blocks: Column | None, block: int, most_blocks: int, settle: Callable[[bool, list[tuple]], list[tuple[int, int]]]) -> DataFrame:
-    """Links (a, b) that ``settle(cross, rows)`` finds within each group, dealt into pairs of blocks.
+def in_blocks(rows: DataFrame, size: Column, weight: Column, settle: Callable[[bool, list[tuple]], list[tuple[int, int]]], block: int = 128, spread: int = 16, block_rows: int = 2048, block_bytes: int = 8 << 20) -> DataFrame:
+    """(grp, a, b): the links (a, b) that ``settle(cross, rows)`` finds within each group, dealt into pairs of blocks.
 
-    ``rows`` has grp, node and what ``settle`` needs besides.  A group of up to
+    ``rows`` has grp, node and what ``settle`` needs besides; ``size`` is the
+    rows and ``weight`` the bytes of the row's group.  A group of up to
     ``block`` rows is one block; a larger one is dealt by the hash of the node
-    into up to ``most_blocks`` (more only where ``least_blocks`` says so), and
-    every pair of blocks is one task's work: no group lands in one task, and
-    a row is copied a bounded number of times.
+    into up to ``spread``, and into more as soon as a block would pass
+    ``block_rows`` rows or ``block_bytes``.  Every pair of blocks is one task's
+    work, and the pairs of a group go to partitions in turn, so no group lands
+    in one task and what a task holds has a bound.
     """
-    ship(rows.sparkSession)
-    blocks = F.least(F.ceil(size / block), F.lit(most_blocks))
-    blocks = F.greatest(blocks, F.lit(1), *([least_blocks] if least_blocks is not None else [])).cast("int")
+    spark = rows.sparkSession
+    ship(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.greatest(F.least(F.ceil(size / block), F.lit(spread)), F.ceil(size / block_rows), F.ceil(weight / block_bytes), F.lit(1)).cast("int")
     more = [c for c in rows.columns if c not in ("grp", "grp_n", "grp_values", "node")]
     dealt = rows.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "nb").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *more)
-    dealt = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    dealt = dealt.select("grp", "nb", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *more)
+    turn = F.col("i").cast("long") * (2 * F.col("nb") - F.col("i") + 1) / 2 + F.col("j") - F.col("i")
+    dealt = dealt.withColumn("to", F.pmod(F.xxhash64("grp") + turn.cast("long"), F.lit(parts)).cast("int")).drop("nb")
+    dealt = dealt.repartitionById(parts, "to").drop("to").sortWithinPartitions("grp", "i", "j")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
-        def ended() -> list[tuple[int, int]]:
-            return settle(key[1] != key[2], held) if len(held) > 1 else []
+        def ended() -> list[tuple[int, int, int]]:
+            return [(key[0], a, b) for a, b in settle(key[1] != key[2], held)] if len(held) > 1 else []
 
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            found: list[tuple[int, int, int]] = []
             for grp, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
                 if (grp, i, j) != key:
                     found += ended()
@@ -157,13 +148,13 @@ def in_blocks(rows: DataFrame, size: Column, least_blocks: Column | None, block:
         if found:
             yield as_batch(found)
 
-    def as_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+    def as_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["grp", "a", "b"])
 
-    return dealt.mapInArrow(work, "a long, b long")
+    return dealt.mapInArrow(work, "grp long, a long, b long")
 
 
-def verified(members: DataFrame, percent: int, block: int = 128, most_blocks: int = 16, block_bytes: int = 8 << 20, decode: Callable[[bytes], np.ndarray] = as_hashes) -> DataFrame:
+def verified(members: DataFrame, percent: int, decode: Callable[[bytes], np.ndarray] = as_hashes) -> DataFrame:
     """Links (a, b) between the members of each group.
 
     ``members`` has grp, grp_n (members), grp_values (values in all their
@@ -174,44 +165,88 @@ def verified(members: DataFrame, percent: int, block: int = 128, most_blocks: in
         found = links([decode(values) for _, _, values in rows], np.array([own for own, _, _ in rows]), cross, percent)
         return [(rows[a][1], rows[b][1]) for a, b in found]
 
-    return in_blocks(members, F.col("grp_n"), F.ceil(F.col("grp_values") * 8 / block_bytes), block, most_blocks, settle)
+    return in_blocks(members, F.col("grp_n"), F.col("grp_values") * 8, settle).select("a", "b")
 
 
-def grouped(spark: SparkSession, tiles: DataFrame, name: str, sketches: DataFrame | None = None, percent: int = 0, whole: int = 4) -> DataFrame:
+#: One node in ``SHARE`` is looked at to find long tiles; a tile with ``SEEN`` of them is long, and at most ``MOST_LONG`` tiles are.
+SHARE, SEEN, MOST_LONG = 64, 64, 100_000
+
+
+def long_tiles(spark: SparkSession, tiles: DataFrame, name: str) -> DataFrame | None:
+    """(key) of the tiles with many rows, or None where there are none.
+
+    Rows are counted with partial aggregates over the nodes whose hash falls in
+    one of ``SHARE`` parts.  The bound on a long tile rises with the table until
+    there are at most ``MOST_LONG`` of them, so the table can be broadcast and
+    what isn't in it is no longer than the rows over ``MOST_LONG``.  Being long
+    only says how a tile is dealt, not what is found in it.
+    """
+    counts = tiles.where(F.pmod(F.xxhash64("node"), F.lit(SHARE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(spark, counts.where(F.col("n") >= SEEN), f"{name}-long")
+    least = SEEN
+    while (found := counts.where(F.col("n") >= least).count()) > MOST_LONG:
+        least *= 2
+    return counts.where(F.col("n") >= least).select("key") if found else None
+
+
+def divided(tiles: DataFrame, keys: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary tiles, and the different rows (key, node, ...) of long ones with their tile's ``size``."""
+    if keys is None:
+        return tiles, None
+    own = tiles.join(F.broadcast(keys), "key")
+    own = own.groupBy("key", "node").agg(*[F.first(c).alias(c) for c in tiles.columns if c not in ("key", "node")])
+    sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    return tiles.join(F.broadcast(keys), "key", "left_anti"), own.join(F.broadcast(sizes), "key")
+
+
+def grouped(spark: SparkSession, tiles: DataFrame, name: str, sketches: DataFrame, percent: int, whole: int = 4) -> DataFrame:
     """(node, grp) of the nodes that share a tile with another, from tiles (key, node).
 
-    Nodes of a tile join its smallest node; groups are the components of that.
-    With ``sketches`` (node, n, bits) only pairs that the bitmaps allow tie
-    nodes together, so chance meetings do not: tiles of at most ``whole`` nodes
-    give their pairs, each looked at once whatever tiles it shares; longer
-    tiles are gone through in blocks.  Windows, not gathered sets, find sizes
-    and partners, so a long tile spills.
+    Only pairs that the sketches (node, n, bits) allow tie nodes together, so
+    chance meetings do not; groups are the components of the rest.  Tiles of at
+    most ``whole`` nodes give their pairs, each looked at once whatever tiles it
+    shares; longer ones are gone through in blocks, and the longest are dealt
+    to them without ever lying in one task.
     """
-    if sketches is None:
-        least = tiles.withColumn("least", F.min("node").over(Window.partitionBy("key")))
-        edges = least.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-        return components(spark, edges, name).withColumnRenamed("root", "grp")
+    cold, hot = divided(tiles, long_tiles(spark, tiles, name))
     order = Window.partitionBy("key").orderBy("node")
-    seen = tiles.select("key", "node", *[F.lag("node", k).over(order).alias(f"before{k}") for k in range(1, whole)])
+    seen = cold.select("key", "node", *[F.lag("node", k).over(order).alias(f"before{k}") for k in range(1, whole)])
     seen = seen.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
     seen = stage(spark, seen, f"{name}-tiles")
     small = seen.where(F.col("size") <= whole).select(F.col("node").alias("b"), F.explode(F.array(*[f"before{k}" for k in range(1, whole)])).alias("a"))
     ends = [sketches.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("bits").alias(f"bits_{e}")) for e in ("a", "b")]
     few = possible(small.where("a <> b").distinct().join(ends[0], "a").join(ends[1], "b"), percent)
-    large = seen.where(F.col("size") > whole).select(F.col("key").alias("grp"), F.col("size").alias("grp_n"), "node").join(sketches, "node")
+    large = seen.where(F.col("size") > whole).select("key", "node", "size").distinct()
+    if hot is not None:
+        large = large.unionByName(hot.where("size > 1"))
+    large = large.select(F.col("key").alias("grp"), F.col("size").alias("grp_n"), "node").join(sketches, "node")
 
     def settle(cross: bool, rows: list[tuple]) -> list[tuple[int, int]]:
-        own = {node: (side, n, bits) for side, node, n, bits in rows}
-        nodes = list(own)
-        width = min(len(bits) for _, _, bits in own.values())
-        maps = np.stack([folded(np.frombuffer(bits, dtype=np.uint64), width // 8) for _, _, bits in own.values()])
-        found = forest(maps, np.array([n for _, n, _ in own.values()]), np.array([side for side, _, _ in own.values()]), cross, percent)
-        return [(nodes[a], nodes[b]) for a, b in found]
-
-    many = in_blocks(large, F.col("grp_n"), None, 128, 16, settle)
+        width = min(len(bits) for *_, bits in rows)
+        maps = np.stack([folded(np.frombuffer(bits, dtype=np.uint64), width // 8) for *_, bits in rows])
+        found = forest(maps, np.array([n for _, _, n, _ in rows]), np.array([side for side, *_ in rows]), cross, percent)
+        return [(rows[a][1], rows[b][1]) for a, b in found]
+
+    # A sketch has at most 8 KB, so a block's rows bound its bytes.
+    many = in_blocks(large, F.col("grp_n"), F.lit(0), settle).select("a", "b")
     return components(spark, few.unionByName(many), name).withColumnRenamed("root", "grp")
 
 
+def labelled(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place reachable from each of ``n`` over the links (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
 def folded(bits: np.ndarray, width: int) -> np.ndarray:
     """A bitmap at a smaller width: a bit is set where one of its sources is."""
     while len(bits) > width:
@@ -220,8 +255,8 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """A hashed bitmap of a set, of two to four bits for each value."""
-    bits = 1 << max(6, (2 * len(values) - 1).bit_length())
+    """A hashed bitmap of a set: two to four bits for each value, and 8 KB at most."""
+    bits = 1 << min(16, max(6, (2 * len(values) - 1).bit_length()))
     return bitmaps([values], bits)[0].tobytes()
 
 

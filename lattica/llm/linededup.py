@@ -4,9 +4,10 @@ A line (one with a word in it) is the set of its character shingles, lower
 case and without outer white space.  Its signature comes from one hash of each
 shingle: the smallest hash of each of ``BANDS * ROWS`` equal bins, empty bins
 filled from others in a fixed order.  Lines that agree in all rows of a band
-meet, groups of lines that meet are compared by exact Jaccard similarity, and
-of every component of similar lines one stays: the first by id, then by place
-in the text.
+meet in its bucket; of a bucket's lines those whose sizes and signature bits
+allow the similarity are compared by exact Jaccard similarity, and only
+verified links make components, of which one line stays: the first by id, then
+by place in the text.
 
 At the default similarity of 0.8 a pair meets in some band with probability
 ``1 - (1 - 0.8 ** ROWS) ** BANDS`` or 0.99.  Equal lines are one node
@@ -24,15 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import textscan
-from lattica.llm.common import map_text, slices, stage, text_column
-from lattica.llm.components import components, grouped, verified
+from lattica.llm.common import map_text, ship, slices, stage, text_column
+from lattica.llm.components import components, divided, in_blocks, labelled, long_tiles, verified
 
-#: Shingle lengths are powers of two.  ``SHORT`` links lines of 39 characters and more that differ in one; ``SHINGLE`` needs 79.
-SHINGLE, SHORT, BANDS, ROWS = 8, 4, 12, 5
+#: The shingle length is a power of two; at 4, lines of 39 characters and more that differ in one are linked.
+SHINGLE, BANDS, ROWS = 4, 12, 5
 _BINS = BANDS * ROWS
 _HASH_BITS = 48
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -100,10 +101,11 @@ class LineSets:
         self.values.append(values)
         self.value_bounds.append(bounds)
 
-    def bands(self) -> np.ndarray:
-        """A row of band hashes for each line."""
+    def bands(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row of band hashes for each line, and two words of signature bits."""
         out = [band_hashes(signatures(values, bounds)) for values, bounds in zip(self.values, self.value_bounds, strict=True)]
-        return np.concatenate(out) if out else np.zeros((0, BANDS), np.uint64)
+        none = np.zeros(0, np.uint64)
+        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros((0, BANDS), np.uint64), none, none)
 
 
 def line_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,14 +162,140 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.reshape(n, _BINS)
 
 
-def band_hashes(signature: np.ndarray) -> np.ndarray:
-    """One hash for each band of ``ROWS`` columns."""
-    parts = textscan.mix(signature, 5).reshape(len(signature), BANDS, ROWS)
+def band_hashes(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One hash for each band of ``ROWS`` columns; and two bits of every column, as two words."""
+    mixed = textscan.mix(signature, 5)
+    places = np.uint64(1) << np.arange(_BINS, dtype=np.uint64)
+    low, high = (((mixed >> np.uint64(k)) & np.uint64(1)) @ places for k in (20, 21))
+    parts = mixed.reshape(len(signature), BANDS, ROWS)
     with np.errstate(over="ignore"):
         out = parts[:, :, 0].copy()
         for k in range(1, ROWS):
             out = out * np.uint64(0xD6E8FEB86659FD93) + parts[:, :, k]
-        return textscan.mix(out + np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+        return textscan.mix(out + np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)), low, high
+
+
+def most_unlike(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many columns of two signatures may show different bits when the smaller set has ``n`` values.
+
+    Columns of sets similar at ``percent`` differ with probability
+    ``3 / 4 * (1 - percent / 100)``; the bound lies 4.5 deviations above that,
+    by the columns that hold a value of their own.
+    """
+    p = 0.75 * (1 - percent / 100)
+    own = np.maximum(_BINS * -np.expm1(-n / _BINS), 1)
+    return _BINS * (p + 4.5 * np.sqrt(p * (1 - p) / own))
+
+
+def alike(rows: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of ``rows`` (n, low, high) may be similar, by size and by signature bits."""
+    n, low, high = rows
+    least = np.minimum(n[a], n[b]).astype(np.int64)
+    fit = least * 100 >= percent * np.maximum(n[a], n[b]).astype(np.int64)
+    return fit & (np.bitwise_count((low[a] ^ low[b]) | (high[a] ^ high[b])) <= most_unlike(least, percent))
+
+
+#: Rows of a band's bucket that are compared where they lie; longer buckets are dealt in blocks.
+_BUCKET = 1024
+
+
+def families(spark: SparkSession, tiles: DataFrame, percent: int) -> DataFrame:
+    """(grp, node): lines of one bucket (key) that similar sizes and signatures tie together.
+
+    Groups are found inside each bucket, so chance meetings in other bands
+    never chain them into larger ones, and a family found by several bands is
+    one group.  Ordinary buckets are gone through in order of key, in arrays;
+    one with more than ``_BUCKET`` rows passes on to be dealt in blocks, as do
+    the longest, which never lie in one task.
+    """
+    ship(spark)
+    cold, hot = divided(tiles, long_tiles(spark, tiles, "lines"))
+    names = ["key", "node", "n", "low", "high"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passing = np.zeros((5, 0), np.int64), None
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            if not rows.shape[1]:
+                continue
+            # The last bucket may go on in the next batch.
+            last = int(np.searchsorted(rows[0], rows[0, -1]))
+            found, long, passing = settled(rows[:, :last], passing)
+            held = rows[:, last:]
+            yield as_batch(found, long)
+            if held.shape[1] > _BUCKET:
+                passing, long, held = int(held[0, 0]), held, np.zeros((5, 0), np.int64)
+                yield as_batch([], [long])
+        found, long, _ = settled(held, passing)
+        yield as_batch(found, long)
+
+    def settled(rows: np.ndarray, passing: int | None) -> tuple[list, list, int | None]:
+        """Families of whole buckets, rows of long ones, and the bucket that passes on (once gone by, none)."""
+        if not rows.shape[1]:
+            return [], [], passing
+        fresh = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
+        rows = rows[:, fresh]
+        starts = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+        counts = np.diff(np.concatenate([starts, [rows.shape[1]]]))
+        long = (counts > _BUCKET) | (rows[0, starts] == passing if passing is not None else False)
+        out = [rows[:, np.repeat(long, counts)]]
+        rows = rows[:, np.repeat(~long & (counts > 1), counts)]
+        if not rows.shape[1]:
+            return [], out, None
+        views = rows[2], rows[3].view(np.uint64), rows[4].view(np.uint64)
+        ends = np.concatenate([np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1, [rows.shape[1]]])
+        left = ends[np.searchsorted(ends, np.arange(rows.shape[1]), side="right")] - np.arange(rows.shape[1])
+        pairs, step = [], 1
+        while len(a := np.flatnonzero(left > step)):
+            near = alike(views, a, a + step, percent)
+            pairs.append((a[near], a[near] + step))
+            step += 1
+        if not pairs:
+            return [], out, None
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        label = labelled(rows.shape[1], a, b)
+        members = np.unique(np.concatenate([a, b]))
+        name = np.zeros(rows.shape[1], np.uint64)
+        with np.errstate(over="ignore"):
+            np.add.at(name, label[members], textscan.mix(rows[1, members].view(np.uint64), 9))
+        return [(textscan.mix(name[label[members]]).view(np.int64), rows[1, members])], out, None
+
+    def as_batch(found: list, long: list) -> pa.RecordBatch:
+        grp = [*(g for g, _ in found), *(x[0] for x in long)]
+        node = [*(m for _, m in found), *(x[1] for x in long)]
+        none = [np.zeros(len(g), np.int64) for g, _ in found]
+        more = [[*none, *(x[k] for x in long)] for k in (2, 3, 4)]
+        flags = [*(np.zeros(len(g), bool) for g, _ in found), *(np.ones(x.shape[1], bool) for x in long)]
+        columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (grp, node, *more)]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.concatenate(flags) if flags else [], pa.bool_())], names=[*names, "long"])
+
+    ordered = cold.select(*names).repartition("key").sortWithinPartitions("key", "node")
+    done = stage(spark, ordered.mapInArrow(work, "key long, node long, n long, low long, high long, long boolean"), "lines-families")
+    rest = done.where("long").select(*names).distinct()
+    rest = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
+    if hot is not None:
+        rest = rest.unionByName(hot.select(*names, "size"))
+
+    def settle(cross: bool, rows: list[tuple]) -> list[tuple[int, int]]:
+        own, node, *views = (np.array(c) for c in zip(*rows, strict=True))
+        views = views[0], views[1].view(np.uint64), views[2].view(np.uint64)
+        tied = np.zeros(len(node), dtype=bool)
+        out = []
+        for k in range(len(node) - 1):
+            b = np.arange(k + 1, len(node))
+            b = b[own[b] != own[k]] if cross else b
+            b = b[alike(views, np.full(len(b), k), b, percent)]
+            # A link for each node that has a partner says that it belongs.
+            fresh = b[~tied[b]] if tied[k] else b
+            tied[b] = True
+            tied[k] |= len(b) > 0
+            out += [(int(node[k]), int(node[m])) for m in fresh.tolist()]
+        return out
+
+    rest = rest.where("size > 1").select(F.col("key").alias("grp"), F.col("size").alias("grp_n"), "node", "n", "low", "high")
+    dealt = in_blocks(rest, F.col("grp_n"), F.lit(0), settle)
+    dealt = dealt.select("grp", F.explode(F.array("a", "b")).alias("node"))
+    return done.where("not long").select(F.col("key").alias("grp"), "node").unionByName(dealt).distinct()
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE) -> DataFrame:
@@ -180,7 +308,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    tile = pa.struct([("key", pa.int64()), ("node", pa.int64())])
+    line = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def describe(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -191,9 +319,10 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
             fresh[np.unique(nodes, return_index=True)[1]] = True
             fresh &= np.array([n not in seen for n in nodes.tolist()], dtype=bool)
             seen.update(nodes[fresh].tolist())
-            keys = sets.bands().view(np.int64)[fresh]
-            ahead = np.concatenate([[0], np.cumsum(fresh)])[sets.bounds] * BANDS
-            tiles = pa.StructArray.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes[fresh], BANDS))], fields=list(tile))
+            keys, low, high = (x.view(np.int64)[fresh] for x in sets.bands())
+            ahead = np.concatenate([[0], np.cumsum(fresh)])[sets.bounds]
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
+            tiles = pa.StructArray.from_arrays([pa.array(nodes[fresh]), pa.array(sets.sizes[fresh]), pa.array(low), pa.array(high), each], fields=list(line))
             part = batch.slice(first, last - first)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -206,10 +335,12 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
                 names=["id", "text_hash", "nodes", "sizes", "tiles"],
             )
 
-    schema = f"id {kind}, text_hash long, nodes array<long>, sizes array<long>, tiles array<struct<key:long,node:long>>"
+    schema = f"id {kind}, text_hash long, nodes array<long>, sizes array<long>, tiles array<struct<node:long,n:long,low:long,high:long,keys:array<long>>>"
     lines = stage(spark, map_text(hashed, schema, describe, ["id", "text", "text_hash"]), "lines-sets")
 
-    groups = grouped(spark, lines.select(F.explode("tiles").alias("t")).select("t.key", "t.node"), "lines-groups")
+    fresh = lines.select(F.explode("tiles").alias("t"))
+    tiles = fresh.select("t.node", "t.n", "t.low", "t.high", F.explode("t.keys").alias("key")).select("key", "node", "n", "low", "high")
+    groups = stage(spark, families(spark, tiles, percent), "lines-groups")
     each = lines.select("id", "text_hash", F.posexplode(F.arrays_zip("nodes", "sizes")).alias("line", "x"))
     each = each.select("id", "text_hash", "line", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"))
     one = each.groupBy("node").agg(F.min(F.struct("text_hash", "id", "line", "n")).alias("one"))

@@ -61,13 +61,13 @@ def shingles(text, width):
 
 def brute_lines(rows):
     """Removed line numbers of each row, by all pairs of lines."""
-    lines = []
+    lines, width = [], linededup.SHINGLE
     for at, (doc_id, text) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0)):
         number = 0
         for line in (text or "").split("\n"):
             line = line.strip(" \t\n\x0b\x0c\r").lower()
             if line:
-                lines.append((at, number, frozenset(line[k : k + 8] for k in range(max(1, len(line) - 7)))))
+                lines.append((at, number, frozenset(line[k : k + width] for k in range(max(1, len(line) - width + 1)))))
                 number += 1
     union = similar([s for _, _, s in lines], 80)
     gone, seen = collections.defaultdict(list), set()
