@@ -17,13 +17,25 @@ from pyspark.sql import types as T
 
 from lattica.functions.staging import ship, stage
 
-__all__ = ["map_rows", "map_text", "ship", "slices", "stage", "text_column"]
+__all__ = ["map_rows", "map_text", "private", "ship", "slices", "stage", "text_column"]
 
 
-#: Rows of texts handed to Python at once, where the session leaves Spark's default.
+#: Rows that an operator's body sees at once, whatever size the session's Arrow batches have.
 BATCH_ROWS = 2000
 
 
+def private(columns: list[str], *names: str) -> list[str]:
+    """Each name, or a longer one that no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_column(column: pa.Array) -> pa.Array:
     """A text column whose nulls are empty texts."""
     return column.fill_null("") if column.null_count else column
@@ -40,16 +52,12 @@ def map_text(
     Only those columns leave the scan, so extra columns of the input, whatever
     their names, play no part.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    batch_rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(batch_rows) == "10000":
-        spark.conf.set(batch_rows, BATCH_ROWS)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from body(batch)
+            for first in range(0, batch.num_rows, BATCH_ROWS):
+                yield from body(batch.slice(first, BATCH_ROWS))
 
     return docs.select(*columns).mapInArrow(run, schema)
 

@@ -41,9 +41,9 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     return labels
 
 
-def as_hashes(values: bytes) -> np.ndarray:
-    """A sorted array of 64-bit hashes from its bytes."""
-    return np.frombuffer(values, dtype=np.uint64)
+def as_hashes(values: list[bytes]) -> list[np.ndarray]:
+    """Sorted arrays of 64-bit hashes from their bytes."""
+    return [np.frombuffer(own, dtype=np.uint64) for own in values]
 
 
 def bitmaps(arrays: list[np.ndarray], bits: int) -> np.ndarray:
@@ -61,8 +61,10 @@ def links(arrays: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int
     """
     if len(arrays) == 2:
         a, b = arrays
-        common = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) else 0
-        return [(0, 1)] if (sides[0] != sides[1] or not cross) and 100 * common >= percent * (len(a) + len(b) - common) else []
+        if (cross and sides[0] == sides[1]) or min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+            return []
+        common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return [(0, 1)] if 100 * common >= percent * (len(a) + len(b) - common) else []
     sizes = np.array([len(a) for a in arrays])
     maps = bitmaps(arrays, 1 << int(min(16, max(6, (2 * int(sizes.max()) - 1).bit_length()))))
 
@@ -106,10 +108,11 @@ def forest(maps: np.ndarray, sizes: np.ndarray, sides: np.ndarray, cross: bool,
     return out
 
 
-def in_blocks(rows: DataFrame, size: Column, weight: Column, settle: Callable[[bool, list[tuple]], list[tuple[int, int]]], block: int = 128, spread: int = 16, block_rows: int = 2048, block_bytes: int = 8 << 20) -> DataFrame:
+def in_blocks(rows: DataFrame, size: Column, weight: Column, settle: Callable[[bool, list[tuple]], list[tuple[int, int]]], decode: Callable[[list], list] | None = None, block: int = 128, spread: int = 16, block_rows: int = 2048, block_bytes: int = 8 << 20) -> DataFrame:
     """(grp, a, b): the links (a, b) that ``settle(cross, rows)`` finds within each group, dealt into pairs of blocks.
 
-    ``rows`` has grp, node and what ``settle`` needs besides; ``size`` is the
+    ``rows`` has grp, node and what ``settle`` needs besides, of which ``decode``
+    takes the last column of many rows at once; ``size`` is the
     rows and ``weight`` the bytes of the row's group.  A group of up to
     ``block`` rows is one block; a larger one is dealt by the hash of the node
     into up to ``spread``, and into more as soon as a block would pass
@@ -137,11 +140,15 @@ def in_blocks(rows: DataFrame, size: Column, weight: Column, settle: Callable[[b
 
         for batch in batches:
             found: list[tuple[int, int, int]] = []
-            for grp, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
-                if (grp, i, j) != key:
-                    found += ended()
-                    key, held = (grp, i, j), []
-                held.append(tuple(row))
+            for first in range(0, batch.num_rows, 1000):
+                columns = [batch.column(k).slice(first, 1000).to_pylist() for k in range(batch.num_columns)]
+                if decode is not None:
+                    columns[-1] = decode(columns[-1])
+                for grp, i, j, *row in zip(*columns, strict=True):
+                    if (grp, i, j) != key:
+                        found += ended()
+                        key, held = (grp, i, j), []
+                    held.append(tuple(row))
             if found:
                 yield as_batch(found)
         found = ended()
@@ -154,18 +161,18 @@ def in_blocks(rows: DataFrame, size: Column, weight: Column, settle: Callable[[b
     return dealt.mapInArrow(work, "grp long, a long, b long")
 
 
-def verified(members: DataFrame, percent: int, decode: Callable[[bytes], np.ndarray] = as_hashes) -> DataFrame:
+def verified(members: DataFrame, percent: int, decode: Callable[[list[bytes]], list[np.ndarray]] = as_hashes) -> DataFrame:
     """Links (a, b) between the members of each group.
 
     ``members`` has grp, grp_n (members), grp_values (values in all their
-    sets), node and values (bytes that ``decode`` makes a sorted array of).
+    sets), node and values (bytes that ``decode`` makes sorted arrays of).
     """
 
     def settle(cross: bool, rows: list[tuple]) -> list[tuple[int, int]]:
-        found = links([decode(values) for _, _, values in rows], np.array([own for own, _, _ in rows]), cross, percent)
+        found = links([values for _, _, values in rows], np.array([own for own, _, _ in rows]), cross, percent)
         return [(rows[a][1], rows[b][1]) for a, b in found]
 
-    return in_blocks(members, F.col("grp_n"), F.col("grp_values") * 8, settle).select("a", "b")
+    return in_blocks(members, F.col("grp_n"), F.col("grp_values") * 8, settle, decode).select("a", "b")
 
 
 #: One node in ``SHARE`` is looked at to find long tiles; a tile with ``SEEN`` of them is long, and at most ``MOST_LONG`` tiles are.

@@ -15,7 +15,9 @@ expanded into pairs.
 Defined cases: a text with fewer words than the n-gram has its whole sequence
 as its one n-gram; a null text or one without words has the empty set and is
 linked with nothing; rows that repeat an id count as rows of their own; a null
-id never is a component's id while another one is there.
+id never is a component's id while another one is there; a text of any length is
+read whole, its bitmap having at most 8 KB; an empty table gives an empty
+result; columns beside the id and the text may have any names.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import textscan
-from lattica.llm.common import map_text, slices, stage
+from lattica.llm.common import map_text, private, slices, stage
 from lattica.llm.components import components, grouped, sketch, verified
 
 
@@ -130,6 +132,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     component_id is the smallest id reachable over links, the row's own
     included.
     """
+    rows = linked(docs, id_col, text_col, width, percent)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+
+
+def linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, text_hash, n, component, least) of each row: its set's size, its component and the smallest id of that."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
@@ -181,26 +189,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     # Shuffled at every size, so that what is moved follows the input.
     texts = hashed.join(wanted.hint("merge"), (hashed["text_hash"] == wanted["text_hash"]) & hashed["id"].eqNullSafe(wanted["one_id"])).drop(wanted["text_hash"])
     members = map_text(texts, "grp long, grp_n long, grp_values long, node long, values binary", values_of, ["grp", "grp_n", "grp_values", "node", "text"])
-    linked = components(spark, verified(members, percent), "jaccard-links")
+    joined = components(spark, verified(members, percent), "jaccard-links")
 
     ids = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
-    placed = ids.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    placed = ids.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     placed = stage(spark, placed, "jaccard-placed")
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(spark, placed.join(named, "root").select("node", "component_id"), "jaccard-named")
-    return sets.select("id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    named = placed.groupBy("root").agg(F.min("least").alias("least"))
+    named = stage(spark, placed.drop("least").join(named, "root").select("node", F.col("root").alias("component"), "least"), "jaccard-named")
+    return sets.select("id", "text_hash", "n", "node").join(named, "node", "left").select("id", "text_hash", "n", "component", "least")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: its smallest id (of rows that repeat it, one)."""
-    found = join(docs, id_col, text_col, width, percent).select(F.col(id_col).alias("found_id"), "component_id")
-    names = found.where(F.col("found_id").eqNullSafe(F.col("component_id"))).select("found_id").distinct()
-    kept = docs.join(names, docs[id_col].eqNullSafe(names["found_id"]), "left_semi")
-    return one_row(kept, id_col)
-
+    """``docs`` with one row of each component: of its rows the smallest id, nulls last, then the smallest hash of the text.
 
-def one_row(docs: DataFrame, id_col: str) -> DataFrame:
-    """One row for each id that is not null, and all rows without one."""
+    A row is told by its id and its text, so different texts under one id are
+    judged apart; of rows that repeat both, one stays.  Rows without words are
+    linked with nothing and all stay.
+    """
+    spark = docs.sparkSession
     columns = docs.columns
-    first = F.row_number().over(Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64(*columns)))
-    return docs.withColumn("__first", first).where("__first = 1").select(*columns)
+    found = stage(spark, linked(docs, id_col, text_col, width, percent), "jaccard-found")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")
+    names = found.where("n > 0").groupBy("component").agg(F.min(order).alias("first"))
+    names = names.select(F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"))
+    keep_id, keep_hash = private(columns, "keep_id", "keep_hash")
+    names = stage(spark, names.select(F.col("id").alias(keep_id), F.col("text_hash").alias(keep_hash)), "jaccard-kept")
+    bare = found.where("n = 0").select(F.col("id").alias(keep_id), F.col("text_hash").alias(keep_hash)).distinct()
+    match = (F.xxhash64(docs[text_col]) == F.col(keep_hash)) & docs[id_col].eqNullSafe(F.col(keep_id))
+    hit = docs.join(names.hint("shuffle_hash"), match)
+    kept = hit.dropDuplicates([keep_hash, keep_id]).select(*columns)
+    return kept.unionByName(docs.join(bare.hint("shuffle_hash"), match, "left_semi"))

@@ -16,7 +16,9 @@ throughout, so copies are never expanded into pairs.
 Defined cases: a null text counts as empty; a text without words has no lines;
 null ids come last; rows that repeat both id and text count as one document,
 so each keeps the same lines; a document that had lines and loses all of them
-is dropped by :func:`apply`.
+is dropped by :func:`apply`; texts and lines of any length are read whole; an
+empty table gives an empty result; columns beside the id and the text may have
+any names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import textscan
-from lattica.llm.common import map_text, ship, slices, stage, text_column
+from lattica.llm.common import map_text, private, ship, slices, stage, text_column
 from lattica.llm.components import components, divided, in_blocks, labelled, long_tiles, verified
 
 #: The shingle length is a power of two; at 4, lines of 39 characters and more that differ in one are linked.
@@ -133,10 +135,12 @@ def _short(codes: np.ndarray) -> np.uint64:
     return textscan.gram_hashes(codes, len(codes))[0]
 
 
-def line_values(line: bytes, width: int = SHINGLE) -> np.ndarray:
-    """The sorted shingle hashes of one line."""
-    codes = _lowered(line)
-    return np.unique((_rolling(codes, width) if len(codes) >= width else textscan.gram_hashes(codes, len(codes))) & _LOW)
+def line_values(lines: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted shingle hashes of each line, given without outer white space."""
+    sizes = np.array([len(line) for line in lines], dtype=np.int64)
+    # Lines without a word take no part, so each line given is one.
+    sets = LineSets(np.frombuffer(b"".join(lines), dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)]), width)
+    return [own[a:b] for own, bounds in zip(sets.values, sets.value_bounds, strict=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -215,14 +219,20 @@ def families(spark: SparkSession, tiles: DataFrame, percent: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, passing = np.zeros((5, 0), np.int64), None
         for batch in batches:
-            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-            if not rows.shape[1]:
+            if not batch.num_rows:
                 continue
+            key = batch.column(0).to_numpy()
+            # Rows alone in their bucket go at once; the first and the last may belong to a neighbouring batch.
+            more = np.ones(len(key) + 1, dtype=bool)
+            more[1:-1] = key[1:] == key[:-1]
+            some = np.flatnonzero(more[:-1] | more[1:])
+            rows = np.concatenate([held, np.stack([c.to_numpy()[some] for c in batch.columns])], axis=1)
             # The last bucket may go on in the next batch.
             last = int(np.searchsorted(rows[0], rows[0, -1]))
             found, long, passing = settled(rows[:, :last], passing)
             held = rows[:, last:]
-            yield as_batch(found, long)
+            if found or long:
+                yield as_batch(found, long)
             if held.shape[1] > _BUCKET:
                 passing, long, held = int(held[0, 0]), held, np.zeros((5, 0), np.int64)
                 yield as_batch([], [long])
@@ -238,7 +248,7 @@ def families(spark: SparkSession, tiles: DataFrame, percent: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
         counts = np.diff(np.concatenate([starts, [rows.shape[1]]]))
         long = (counts > _BUCKET) | (rows[0, starts] == passing if passing is not None else False)
-        out = [rows[:, np.repeat(long, counts)]]
+        out = [rows[:, np.repeat(long, counts)]] if long.any() else []
         rows = rows[:, np.repeat(~long & (counts > 1), counts)]
         if not rows.shape[1]:
             return [], out, None
@@ -280,21 +290,18 @@ def families(spark: SparkSession, tiles: DataFrame, percent: int) -> DataFrame:
         own, node, *views = (np.array(c) for c in zip(*rows, strict=True))
         views = views[0], views[1].view(np.uint64), views[2].view(np.uint64)
         tied = np.zeros(len(node), dtype=bool)
-        out = []
-        for k in range(len(node) - 1):
-            b = np.arange(k + 1, len(node))
-            b = b[own[b] != own[k]] if cross else b
-            b = b[alike(views, np.full(len(b), k), b, percent)]
-            # A link for each node that has a partner says that it belongs.
-            fresh = b[~tied[b]] if tied[k] else b
-            tied[b] = True
-            tied[k] |= len(b) > 0
-            out += [(int(node[k]), int(node[m])) for m in fresh.tolist()]
-        return out
+        # Every row against the one ``step`` places on; a node that has a partner belongs.
+        for step in range(1, len(node)):
+            a = np.arange(len(node) - step)
+            a = a[~(tied[a] & tied[a + step])]
+            a = a[own[a] != own[a + step]] if cross else a
+            a = a[alike(views, a, a + step, percent)]
+            tied[a] = tied[a + step] = True
+        return [(n, n) for n in node[tied].tolist()]
 
     rest = rest.where("size > 1").select(F.col("key").alias("grp"), F.col("size").alias("grp_n"), "node", "n", "low", "high")
     dealt = in_blocks(rest, F.col("grp_n"), F.lit(0), settle)
-    dealt = dealt.select("grp", F.explode(F.array("a", "b")).alias("node"))
+    dealt = dealt.select("grp", F.col("a").alias("node"))
     return done.where("not long").select(F.col("key").alias("grp"), "node").unionByName(dealt).distinct()
 
 
@@ -369,7 +376,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     # Shuffled at every size, so that what is moved follows the input.
     texts = hashed.join(wanted.hint("merge"), (F.col("text_hash") == F.col("one_hash")) & F.col("id").eqNullSafe(F.col("one_id")))
     members = map_text(texts, "grp long, grp_n long, grp_values long, node long, values binary", lines_of, ["wanted", "text"])
-    linked = components(spark, verified(members, percent, decode=lambda line: line_values(line, width)), "lines-links")
+    linked = components(spark, verified(members, percent, decode=lambda lines: line_values(lines, width)), "lines-links")
 
     placed = each.join(linked, "node", "left").select("id", "text_hash", "line", F.coalesce("root", "node").alias("root"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "line")
@@ -403,19 +410,20 @@ def without(text: str, removed: list[int]) -> str:
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE) -> DataFrame:
     """``docs`` with the removed lines cut from their texts; documents that lose all their lines are dropped."""
-    marked = mark(docs, id_col, text_col, percent, width).where("size(removed) > 0").dropDuplicates(["id", "text_hash"])
-    marked = marked.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__removed"), (F.size("removed") == F.col("n_lines")).alias("__empty"))
-    hit = docs.join(marked.hint("merge"), (F.xxhash64(docs[text_col]) == F.col("__hash")) & docs[id_col].eqNullSafe(F.col("__id")), "left")
     columns = docs.columns
+    own, hashed, gone, empty = private(columns, "own_id", "text_hash", "removed", "emptied")
+    marked = mark(docs, id_col, text_col, percent, width).where("size(removed) > 0").dropDuplicates(["id", "text_hash"])
+    marked = marked.select(F.col("id").alias(own), F.col("text_hash").alias(hashed), F.col("removed").alias(gone), (F.size("removed") == F.col("n_lines")).alias(empty))
+    hit = docs.join(marked.hint("merge"), (F.xxhash64(docs[text_col]) == F.col(hashed)) & docs[id_col].eqNullSafe(F.col(own)), "left")
 
     def body(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        removed = batch.column("__removed").to_pylist()
+        removed = batch.column(gone).to_pylist()
         keep = batch.select(columns)
         if any(removed):
             texts = text_column(batch.column(text_col))
-            cut = [without(texts[k].as_py(), gone) if gone else batch.column(text_col)[k].as_py() for k, gone in enumerate(removed)]
+            cut = [without(texts[k].as_py(), lines) if lines else batch.column(text_col)[k].as_py() for k, lines in enumerate(removed)]
             keep = keep.set_column(columns.index(text_col), text_col, pa.array(cut, batch.column(text_col).type))
         yield keep
 
-    rest = hit.where(~F.coalesce(F.col("__empty"), F.lit(False)))
-    return map_text(rest, docs.schema, body, [*columns, "__removed"])
+    rest = hit.where(~F.coalesce(F.col(empty), F.lit(False)))
+    return map_text(rest, docs.schema, body, [*columns, gone])
