@@ -3,10 +3,19 @@
 Transducers undo disguises (look-alike characters, spelled digits, "at" and
 "dot" in words or brackets) and record where every piece of the normalised
 text came from; identifiers found there are mapped back to source characters
-and added to those that stand plainly in the text.
-
-Defined cases: a null text counts as empty and has no spans; base spans are
-always kept, and an added span never overlaps a base span of its kind.
+and added to those that stand plainly in the text.  Every scan starts from a
+literal (an "@", a bracket, a word) and walks outwards over what earlier sites
+left free, so time grows with the length of the text whatever fills it.
+
+Bounds of what is undone: digits and "at" and "dot" in English words; look-alike
+letters of the tables below (Cyrillic and Greek), full-width forms, and decimal
+digits of all scripts.
+
+Defined cases: a null or empty text has no spans; a text of any length is read
+whole; rows that repeat an id or a text give a row each; an empty table gives an
+empty result; only the id and the text are read, so other columns may have any
+names; base spans are always kept, and an added span never overlaps a base span
+of its kind, nor one added before it (the one that starts first stays).
 """
 
 from __future__ import annotations
@@ -14,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -25,7 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
-_CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
+_SOME_IP = re.compile(r"[0-9]\.[0-9]+\.[0-9]")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -56,7 +66,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def plain(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every identifier that stands in ``text`` as it is."""
     out = [("email", a, b) for a, b in emails(text)]
-    for m in _IP.finditer(text):
+    for m in _IP.finditer(text) if _SOME_IP.search(text) else ():
         if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in m.groups()):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
@@ -97,8 +107,9 @@ def _glyph_table() -> dict[str, str]:
 
 _GLYPHS = _glyph_table()
 _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]")
-_BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.IGNORECASE)
-_SPELLED_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])\s+at\s+([A-Za-z0-9-]++(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]++)++)", re.IGNORECASE)
+_BRACKETED = re.compile(r"[\[({<]\s*(at|dot)\s*[\])}>]", re.IGNORECASE)
+#: An "at" in words and the domain after it; the blanks before it are walked by hand.
+_SPELLED_AT = re.compile(r"[aA][tT]\s+([A-Za-z0-9-]++(?:(?:\s++[dD][oO][tT]\s++|\.)[A-Za-z0-9-]++)++)")
 #: Last labels of domains, those of countries first, that an address in words may end in.
 TOP_LABELS = frozenset(
     (
@@ -113,11 +124,11 @@ TOP_LABELS = frozenset(
     ).split()
 )
 _CLOCK = re.compile(r"[0-9]+\.(?:am|pm)", re.IGNORECASE)
-_DOT = re.compile(r"\s+dot\s+", re.IGNORECASE)
+_DOT = re.compile(r"(?<!\s)\s++dot\s++", re.IGNORECASE)
 _DIGIT_WORD = "|".join(DIGITS)
-_SPELLED = re.compile(rf"\b(?:plus[\s-]+)?(?:{_DIGIT_WORD}|[0-9]+)(?:[\s,-]+(?:{_DIGIT_WORD}|[0-9]+)){{3,}}\b", re.IGNORECASE)
+_SPELLED = re.compile(rf"\b(?:plus[\s-]++)?(?:{_DIGIT_WORD}|[0-9]++)(?:[\s,-]++(?:{_DIGIT_WORD}|[0-9]++)){{3,}}\b", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"(plus)[\s-]+|({_DIGIT_WORD})\b[\s,-]*", re.IGNORECASE)
-_WORD_OF_DIGITS = re.compile(rf"\b(?:{_DIGIT_WORD})\b[\s,-]+(?:{_DIGIT_WORD})\b", re.IGNORECASE)
+_WORD_OF_DIGITS = re.compile(rf"\b(?:{_DIGIT_WORD})\b[\s,-]++(?:{_DIGIT_WORD})\b", re.IGNORECASE)
 
 
 class Normalised:
@@ -161,13 +172,30 @@ class Normalised:
         return (src + at - lo, src + at - lo + 1) if hi - lo == end - src else (src, end)
 
 
+def bracketed(text: str) -> list[tuple[int, int, str]]:
+    """The "at" and "dot" in brackets, with the blanks around them, found from each bracket outwards."""
+    sites, free = [], 0
+    for m in _BRACKETED.finditer(text):
+        start, end = m.span()
+        while start > free and text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        sites.append((start, end, "@" if m[1].lower() == "at" else "."))
+        free = end
+    return sites
+
+
 def spelled_mails(text: str) -> list[tuple[int, int, str]]:
     """The "at" and "dot" of addresses in words, found from each "at" outwards."""
     sites, free = [], 0
     for m in _SPELLED_AT.finditer(text):
-        if re.split(r"[\s.]", m[1])[-1].lower() not in TOP_LABELS or _CLOCK.fullmatch(m[1]):
+        at = m.start()
+        while at > free and text[at - 1].isspace():
+            at -= 1
+        if at == m.start() or at == free or text[at - 1] not in _LOCAL or re.split(r"[\s.]", m[1])[-1].lower() not in TOP_LABELS or _CLOCK.fullmatch(m[1]):
             continue
-        dots, start = [], m.start()
+        dots, start = [], at
         while True:
             while start > free and text[start - 1] in _LOCAL:
                 start -= 1
@@ -176,7 +204,7 @@ def spelled_mails(text: str) -> list[tuple[int, int, str]]:
                 gap -= 1
             before = gap - 3
             # A dot in words stands between blanks, with a name before it.
-            if not (gap < start < m.start() and before > free and text[before:gap].lower() == "dot" and text[before - 1].isspace()):
+            if not (gap < start < at and before > free and text[before:gap].lower() == "dot" and text[before - 1].isspace()):
                 break
             name = before
             while name > free and text[name - 1].isspace():
@@ -185,32 +213,37 @@ def spelled_mails(text: str) -> list[tuple[int, int, str]]:
                 break
             dots.append((name, start, "."))
             start = name
-        if start < m.start():
-            sites += [*dots[::-1], (m.start(), m.start(1), "@")]
+        if start < at:
+            sites += [*dots[::-1], (at, m.start(1), "@")]
             sites += [(m.start(1) + x.start(), m.start(1) + x.end(), ".") for x in _DOT.finditer(m[1])]
             free = m.end()
     return sites
 
 
+def spelled_digits(text: str) -> list[tuple[int, int, str]]:
+    """The digits and the plus of numbers in words, four or more in a row."""
+    sites = []
+    for m in _SPELLED.finditer(text):
+        for x in _SPELLED_PART.finditer(m[0]):
+            end = x.end() if m.start() + x.end() < m.end() else len(m[0])
+            sites.append((m.start() + x.start(), m.start() + end, "+" if x[1] else DIGITS[x[2].lower()]))
+    return sites
+
+
 def normalise(text: str) -> Normalised | None:
     """The text without disguises; None where there is none."""
     out = Normalised(text)
-    if not text.isascii():
-        sites = [(m.start(), m.end(), _GLYPHS[m[0]]) for m in _GLYPH.finditer(out.text)]
-        if sites:
-            out = out.rewrite(sites)
-    sites = [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKETED.finditer(out.text)]
+    if not text.isascii() and not _GLYPHS.keys().isdisjoint(set(text)):
+        out = out.rewrite([(m.start(), m.end(), _GLYPHS[m[0]]) for m in _GLYPH.finditer(out.text)])
+    sites = bracketed(out.text)
     if sites:
         out = out.rewrite(sites)
     sites = spelled_mails(out.text)
     if sites:
         out = out.rewrite(sites)
-    if _WORD_OF_DIGITS.search(out.text):
-        sites = []
-        for m in _SPELLED.finditer(out.text):
-            for x in _SPELLED_PART.finditer(m[0]):
-                end = x.end() if m.start() + x.end() < m.end() else len(m[0])
-                sites.append((m.start() + x.start(), m.start() + end, "+" if x[1] else DIGITS[x[2].lower()]))
+    # A digit word with another beside it stands between separators.
+    if not DIGITS.keys().isdisjoint(out.text.lower().replace(",", " ").replace("-", " ").split()) and _WORD_OF_DIGITS.search(out.text):
+        sites = spelled_digits(out.text)
         if sites:
             out = out.rewrite(sites)
     return None if out.text is text else out
@@ -222,10 +255,15 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     spans = list(base)
     form = normalise(text)
     if form:
+        taken = {kind: sorted((a, b) for k, a, b in base if k == kind) for kind in KINDS}
+        reached = dict.fromkeys(KINDS, 0)
         for kind, a, b in plain(form.text):
             start, end = form.source(a)[0], form.source(b - 1)[1]
-            if not any(k == kind and x < end and start < y for k, x, y in spans):
+            # Base spans of a kind don't overlap, so only the last that begins before the end can touch; added ones come in order.
+            near = bisect_left(taken[kind], (end, 0)) - 1
+            if start >= reached[kind] and not (near >= 0 and taken[kind][near][1] > start):
                 spans.append((kind, start, end))
+                reached[kind] = end
 
     def order(span: tuple[str, int, int]) -> tuple[int, int]:
         return KINDS.index(span[0]), span[1]
