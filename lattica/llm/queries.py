@@ -31,7 +31,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_read(spark, sf_dir, "documents"))
+    docs = _read(spark, sf_dir, "documents")
+    return secrets.scan(docs, words=secrets.ranked_words(docs))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
