@@ -10,9 +10,13 @@ table lacks is a family of its own.  The machines learn from a bounded sample:
 about ``rows`` documents of each language, chosen by the hash of their id, each
 with a few short excerpts of it so that short texts are covered too.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-with one learned language every other text is that language; with none, all
-texts are ``und``.
+Defined cases: a null or empty text, or one without a letter, is ``und`` with
+score 0; with one learned language every other text is that language; with
+none, all texts are ``und``; equal margins and votes go to the family, and
+within it to the language, that comes first by name; rows that repeat an id or
+a text are predicted each, and learned once for each id and language; a text of
+any length is read whole; an empty table gives an empty result; columns beside
+the named ones may have any names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import map_text, slices
@@ -142,14 +146,24 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def train(docs: DataFrame, rows: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", excerpts: tuple[int, ...] = (400, 100, 30, 12)) -> Model | None:
-    """A model from about ``rows`` documents of each language that are not held out."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, 4, 2))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+def train(docs: DataFrame, rows: int = 300, languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", excerpts: tuple[int, ...] = (400, 100, 30, 12)) -> Model | None:
+    """A model from about ``rows`` documents, at most twice as many, of each language that are not held out.
+
+    ``languages`` bounds how many are learned, the most frequent first (ties by
+    name); counts are over all rows.  Ids are drawn, each with one of its texts,
+    so a repeated id counts once.
+    """
+    known = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"), F.col(lang_col).cast("string").alias("own_lang"))
+    known = known.where(F.col("own_lang").isNotNull() & F.col("own_text").isNotNull() & ~held_out("own_id", 4, 2))
+    counted = known.groupBy("own_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "own_lang").limit(languages)
+    counts = {r["own_lang"]: r["n"] for r in counted.collect()}
     if not counts:
         return None
-    share = F.coalesce(*[F.when(F.col(lang_col) == lang, F.lit(min(1.0, rows / n))) for lang, n in sorted(counts.items())])
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(17), id_col), F.lit(1 << 20)) < share * (1 << 20)).select(id_col, lang_col, text_col)
+    share = F.coalesce(*[F.when(F.col("own_lang") == lang, F.lit(min(1.0, rows / n))) for lang, n in sorted(counts.items())], F.lit(0.0))
+    chosen = known.where(F.pmod(F.xxhash64(F.lit(17), "own_id"), F.lit(1 << 20)) < share * (1 << 20))
+    chosen = chosen.groupBy("own_lang", "own_id").agg(F.min("own_text").alias("own_text"))
+    rank = F.row_number().over(Window.partitionBy("own_lang").orderBy(F.xxhash64(F.lit(17), "own_id"), "own_id"))
+    chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= 2 * rows).select("own_id", "own_lang", "own_text")
     texts: list[str] = []
     langs: list[str] = []
     for _, lang, text in sorted(chosen.collect(), key=lambda r: (str(r[0]), r[2])):

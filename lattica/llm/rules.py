@@ -9,9 +9,16 @@ The field is trained on a bounded sample of labelled documents.  Labels are per
 document, so lines learn from them at a distance: a line is boilerplate when
 its document is labelled bad or when it repeats an earlier line, else content.
 
+Lines and three-word windows of a text are the same where their 64-bit hashes
+are; at a million lines in one text a false repeat has a chance of about 10^-8.
+
 Defined cases: a null text or one without words has no words, fails the fixed
-rule on length and is not kept; counts are over whole texts whatever their
-length; with no labelled rows to learn from, every line counts as content.
+rule on length and is not kept; counts and learning are over whole texts
+whatever their length; rows that repeat an id or a text give a row each, and an
+id that is labelled more than once is learned once for each of its labels; of
+equally likely labellings the one with content first wins; an empty table gives
+an empty result; with no labelled rows to learn from, every line counts as
+content; only the named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -141,30 +148,16 @@ class Field:
         if not chains:
             weights[0] = (1.0, -1.0)
             return cls(weights, moves)
-        n, most = len(chains), max(len(y) for _, y in chains)
-        x, y, mask = np.zeros((n, most, N_FEATURES)), np.zeros((n, most), dtype=np.int64), np.zeros((n, most), dtype=bool)
-        for k, (features, labels) in enumerate(chains):
-            x[k, : len(labels)], y[k, : len(labels)], mask[k, : len(labels)] = features, labels, True
-        one_hot = np.eye(2)[y] * mask[..., None]
-        both = mask[:, 1:, None, None] * (one_hot[:, :-1, :, None] * one_hot[:, 1:, None, :])
-        seen_w, seen_m = np.einsum("ntf,nts->fs", x, one_hot), both.sum(axis=(0, 1))
-        total, mean, var = mask.sum(), np.zeros(N_FEATURES * 2 + 4), np.zeros(N_FEATURES * 2 + 4)
+        x, y = (np.concatenate(c) for c in zip(*chains, strict=True))
+        ends = np.cumsum([len(labels) for _, labels in chains])
+        first = np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0))
+        inner = np.flatnonzero(first < np.arange(len(y)))
+        one_hot = np.eye(2)[y]
+        seen_w, seen_m = x.T @ one_hot, one_hot[inner - 1].T @ one_hot[inner]
+        mean, var = np.zeros(N_FEATURES * 2 + 4), np.zeros(N_FEATURES * 2 + 4)
         for step in range(1, steps + 1):
-            score = x @ weights
-            ahead, back = np.zeros_like(score), np.zeros_like(score)
-            ahead[:, 0] = score[:, 0]
-            for t in range(1, most):
-                into = np.logaddexp(ahead[:, t - 1, 0, None] + moves[0], ahead[:, t - 1, 1, None] + moves[1]) + score[:, t]
-                ahead[:, t] = np.where(mask[:, t, None], into, ahead[:, t - 1])
-            for t in range(most - 2, -1, -1):
-                after = back[:, t + 1] + score[:, t + 1]
-                out = np.logaddexp(moves[:, 0] + after[:, 0, None], moves[:, 1] + after[:, 1, None])
-                back[:, t] = np.where(mask[:, t + 1, None], out, back[:, t])
-            norm = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-            node = np.exp(ahead + back - norm[:, None, None]) * mask[..., None]
-            pair = ahead[:, :-1, :, None] + moves + (score + back)[:, 1:, None, :] - norm[:, None, None, None]
-            pair = np.exp(np.minimum(pair, 0)) * mask[:, 1:, None, None]
-            slope = np.concatenate([(seen_w - np.einsum("ntf,nts->fs", x, node)).ravel(), (seen_m - pair.sum(axis=(0, 1))).ravel()]) / total
+            node, pair = marginals(x @ weights, moves, first, inner)
+            slope = np.concatenate([(seen_w - x.T @ node).ravel(), (seen_m - pair).ravel()]) / len(y)
             slope -= decay * np.concatenate([weights.ravel(), moves.ravel()])
             mean, var = 0.9 * mean + 0.1 * slope, 0.99 * var + 0.01 * slope**2
             move = rate * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
@@ -189,34 +182,62 @@ class Field:
         return np.array(out[::-1])
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, where=None) -> list:
-    """(text, label) of at most ``rows`` labelled documents of each label, by the hash of their id.
+def marginals(score: np.ndarray, moves: np.ndarray, first: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State probabilities of every place of chains laid end to end, and the expected moves.
 
-    Ids are chosen first, from the narrow labels table; their number is the
-    bound that lets them be broadcast against the documents.
+    Sums over labellings are products of 2 x 2 matrices.  They are built by
+    doubling over all places at once, so a chain costs the logarithm of its
+    length in steps and needs no padding; ``first`` is the place where each
+    place's chain begins, ``inner`` the places that follow another.
+    """
+    n = len(score)
+    here = np.exp(score - score.max(axis=1, keepdims=True))
+    step = np.exp(moves - moves.max())
+    ahead = np.broadcast_to(here[:, None, :], (n, 2, 2)).copy()
+    ahead[inner] *= step
+    back = ahead.copy()
+    last = np.searchsorted(first, first, side="right") - 1
+    gap, place = 1, np.arange(n)
+    longest = int((last - first).max()) + 1
+    while gap < longest:
+        for table, at, other in ((ahead, np.flatnonzero(place - gap >= first), -gap), (back, np.flatnonzero((place + gap <= last) & (place > first)), gap)):
+            made = table[at + other] @ table[at] if other < 0 else table[at] @ table[at + other]
+            table[at] = made / made.max(axis=(1, 2), keepdims=True)
+        gap *= 2
+    forth, after = ahead[:, 0, :], np.ones((n, 2))
+    after[inner - 1] = back[inner].sum(axis=2)
+    node = forth * after
+    node /= node.sum(axis=1, keepdims=True)
+    pair = forth[inner - 1][:, :, None] * step * (here * after)[inner][:, None, :]
+    return node, (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+
+
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, where=None, id_col: str = "doc_id", text_col: str = "text") -> list:
+    """(text, label, id) of at most ``rows`` labelled documents of each label, by the hash of their id.
+
+    Ids are chosen first, each once, from the narrow labels table; their number
+    is the bound that lets them be broadcast against the documents.  An id that
+    stands on several rows gives its smallest text, so the rows are bounded too.
     """
-    picked = None
-    for value in (0, 1):
-        some = labels.where(F.col(label_col) == value)
-        if where is not None:
-            some = some.where(where)
-        some = some.select("doc_id", F.col(label_col).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        picked = some if picked is None else picked.unionAll(some)
-    picked = picked.toDF("picked_id", "label")
-    found = docs.join(F.broadcast(picked), docs["doc_id"] == picked["picked_id"]).select("doc_id", "text", "label")
-    return sorted(((r[1] or "", r[2], r[0]) for r in found.collect()), key=lambda r: (r[2], r[0]))
-
-
-def train(docs: DataFrame, labels: DataFrame, rows: int = 400, lines: int = 200) -> Field:
-    """The field, from at most ``rows`` documents of each quality and ``lines`` consecutive lines of each."""
+    known = labels if where is None else labels.where(where)
+    known = known.select(F.col(id_col).alias("picked_id"), F.col(label_col).alias("picked_label")).where("picked_id is not null").distinct()
+    picked = [known.where(F.col("picked_label") == value).orderBy(F.xxhash64("picked_id"), "picked_id").limit(rows) for value in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("own_text"))
+    found = texts.join(F.broadcast(picked[0].unionAll(picked[1])), F.col("own_id") == F.col("picked_id"))
+    found = found.groupBy("picked_id", "picked_label").agg(F.min("own_text").alias("own_text"))
+    return sorted(((r["own_text"], r["picked_label"], r["picked_id"]) for r in found.collect()), key=lambda r: (r[2], r[1]))
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = 400, where=None, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """The field, from all lines of at most ``rows`` documents of each quality."""
     chains = []
-    for text, label, _ in sample(docs, labels, "quality", rows):
+    for text, label, _ in sample(docs, labels, "quality", rows, where, id_col, text_col):
         raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
         if len(raw):
             found = Lines(raw, np.array([0, len(raw)]))
             if len(found.first):
                 y = np.ones(len(found.first), dtype=np.int64) if label == 0 else found.repeated.astype(np.int64)
-                chains.append((found.features[:lines], y[:lines]))
+                chains.append((found.features, y))
     return Field.trained(chains)
 
 
