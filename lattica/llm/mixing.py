@@ -12,17 +12,24 @@ is the count of all buckets before its own plus its place in it.  Size classes
 keep the top four bits of the size, and a class has ``sqrt(rows)/16`` hash
 buckets, so neither a hot source nor a group of copies lands in one task.
 
-Defined cases: a null text has size 0; null sources form one source, ordered
+Sources are counted by partial aggregates; their targets are found in windows
+over one row a source, so tens of millions of sources are one task's sort of
+names and numbers.
+
+Defined cases: a null or empty text has size 0; null sources form one source, ordered
 last; rows that agree in id and size are interchangeable; an empty table gives
-an empty result; a source without words has target 0 and takes nothing.
+an empty result; a source without words has target 0 and takes nothing; a text
+of any length is counted whole and moved only by :func:`emit`, as it stands;
+other columns may have any names, and :func:`mix` leaves out a kept column that
+has the name of a result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import stage
+from lattica.llm.common import private, stage
 
 #: Java's regular expression for a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +62,11 @@ def _hex(column: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(column), 1, digits), 16, 10).cast("long")
 
 
+#: Copies of one row that a task makes at once.
+_CHUNK = 1000
+RESULTS = ("size", "source_size", "target", "copies", "taken")
+
+
 def mix(
     docs: DataFrame,
     keep: list[str],
@@ -65,12 +77,11 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: int = 0,
-    staged: bool = True,
 ) -> DataFrame:
     """Rows of ``docs`` (the ``keep`` columns) with size, source_size, target, copies and taken.
 
-    ``staged`` writes the sized rows to the shared folder first, so that texts
-    are read once; use it when ``keep`` holds no long column.
+    The sized rows are written to the shared folder first, so texts are read
+    once; ``keep`` should hold no long column.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
@@ -82,8 +93,12 @@ def mix(
         F.col(id_col).alias("place"),
         size.alias("size"),
     )
-    if staged:
-        rows = stage(spark, rows, "mixing-rows")
+    mixed = _placed(spark, stage(spark, rows, "mixing-rows"), weights, share, cap, seed)
+    return mixed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep) if c not in RESULTS], *RESULTS)
+
+
+def _placed(spark: SparkSession, rows: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: int) -> DataFrame:
+    """Sized rows, written before, with source_size, target, copies and taken."""
     sizes = rows.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sizes = stage(spark, sizes, "mixing-sources")
     n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -108,21 +123,47 @@ def mix(
     ranked = bucketed.withColumn("rank", rank).join(buckets, key)
     at = F.col("start") + F.col("rank")
     copies = (F.floor((at + 1) * F.col("rate") + F.col("offset")) - F.floor(at * F.col("rate") + F.col("offset"))).cast("long")
-    copies = F.least(copies, F.lit(int(-(-cap // 1))))
-    return ranked.select(
-        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
-        "size",
-        "source_size",
-        "target",
-        copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"),
-    )
+    ranked = ranked.withColumn("copies", F.least(copies, F.lit(int(-(-cap // 1)))))
+    return ranked.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: every column of ``docs``, one row for each copy."""
-    mixed = mix(docs, keep=docs.columns, staged=False, **options)
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+def emit(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
+    """The mixture itself: every column of ``docs``, one row for each copy.
+
+    Words are counted once; copies are worked out from written rows of numbers
+    and meet the rows of ``docs`` by two hashes of all columns (but maps).
+    Rows alike in all of them share their copies: one stands for all, and its
+    copies are dealt in chunks.
+    """
+    spark = docs.sparkSession
+    columns = docs.columns
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    one, two, copies, same = private(columns, "hash_1", "hash_2", "copies", "same")
+    keyed = docs.withColumns({one: F.xxhash64(F.lit(1), *hashed), two: F.xxhash64(F.lit(2), *hashed)})
+    rows = keyed.select(
+        F.col(source_col).isNull().alias("no_source"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"),
+        F.col(id_col).alias("place"),
+        size.alias("size"),
+        F.col(one).alias("one"),
+        F.col(two).alias("two"),
+    )
+    placed = _placed(spark, stage(spark, rows, "mixing-rows"), weights, share, cap, seed)
+    taken = placed.groupBy(F.col("one").alias(one), F.col("two").alias(two)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(same))
+    taken = stage(spark, taken.where(F.col(copies) > 0), "mixing-taken")
+    once = keyed.join(taken.where(F.col(same) == 1).hint("shuffle_hash"), [one, two])
+    out = once.withColumn(same, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*columns)
+    alike = taken.where(F.col(same) > 1)
+    if alike.isEmpty():
+        return out
+    row = F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row")
+    whole = keyed.join(alike, [one, two]).groupBy(one, two, copies).agg(row)
+    chunks = whole.select("row", F.col(copies).alias("n"), F.explode(F.sequence(F.lit(0), F.floor((F.col(copies) - 1) / _CHUNK))).alias("chunk"))
+    chunks = chunks.repartition("n", "chunk")
+    dealt = chunks.select("row", F.explode(F.sequence(F.lit(1), F.least(F.lit(_CHUNK), F.col("n") - F.col("chunk") * _CHUNK))).alias("k"))
+    return out.unionByName(dealt.select("row.*"))
 
 
 ORACLE_SQL = """
