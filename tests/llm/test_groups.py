@@ -119,6 +119,10 @@ def test_keep_one(spark):
     base = " ".join(f"w{k}" for k in range(60))
     docs = spark.createDataFrame([(2, base, "x"), (1, base + " more", "x"), (3, "alone", "x"), (3, "alone", "x"), (None, "none", "x"), (4, None, "x")], "doc_id long, text string, found_id string")
     assert sorted((r["doc_id"] or 0) for r in jaccard.keep_one(docs).collect()) == [0, 1, 3, 4]
+    other = " ".join(f"v{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, base), (1, other), (None, base + " more"), (None, other + " more"), (None, "alone"), (None, None), (None, "")], "doc_id long, text string")
+    # Different texts under one id stay; copies without an id go, and so does none that is alone.
+    assert sorted(map(str, (tuple(r) for r in jaccard.keep_one(docs).collect()))) == sorted(map(str, [(1, base), (1, other), (None, "alone"), (None, None), (None, "")]))
 
 
 def test_tiles_of_similar_sets_meet():
@@ -171,6 +175,54 @@ def test_lines_against_all_pairs(small):
     assert got == want
 
 
+@pytest.mark.parametrize(("least", "most", "recall"), [(16, 40, 0.97), (41, 80, 0.98), (81, 300, 0.98)])
+def test_recall_of_lines_by_length(spark, least, most, recall):
+    """Pairs of generated lines with a similarity of 0.8 to 0.9: how many become one component."""
+    import random
+    import string
+
+    rng, rows, pairs = random.Random(least), [], 0
+    while pairs < 1500:
+        line = "".join(rng.choice(string.ascii_lowercase + " ") for _ in range(rng.randint(least, most))).strip()
+        other = list(line)
+        for _ in range(rng.randint(1, max(1, len(line) // 40))):
+            other[rng.randrange(len(other))] = rng.choice(string.ascii_lowercase)
+        other = "".join(other).strip()
+        a, b = ({x[k : k + 4] for k in range(max(1, len(x) - 3))} for x in (line, other))
+        if a != b and 0.8 <= len(a & b) / len(a | b) <= 0.9:
+            rows += [(2 * pairs, line), (2 * pairs + 1, other)]
+            pairs += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = sum(r["n_kept"] == 0 for r in linededup.dedup(docs).collect())
+    print("recall", least, most, gone / pairs)
+    assert gone / pairs >= recall
+
+
+def test_many_lines_in_one_bucket(spark, monkeypatch):
+    """A family beyond a bucket's bound is dealt in blocks, and one that is long from the start never lies in one task."""
+    import random
+
+    rng = random.Random(3)
+    base = "a family of lines that differ in few characters, as forms of one template do, number "
+    rows = [(k, f"{base}{rng.randrange(10**5):05d}") for k in range(700)] + [(1000 + k, f"line {k} of {rng.random()} its own {rng.random()}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r["n_kept"] for r in linededup.dedup(docs).collect()}
+    assert sum(want.values()) == 51
+    monkeypatch.setattr(linededup, "_BUCKET", 30)
+    assert {r["doc_id"]: r["n_kept"] for r in linededup.dedup(docs).collect()} == want
+    monkeypatch.setattr(components, "SHARE", 2)
+    monkeypatch.setattr(components, "SEEN", 20)
+    assert {r["doc_id"]: r["n_kept"] for r in linededup.dedup(docs).collect()} == want
+
+
+def test_long_tiles_are_found(spark, monkeypatch):
+    monkeypatch.setattr(components, "SHARE", 1)
+    monkeypatch.setattr(components, "MOST_LONG", 2)
+    tiles = spark.createDataFrame([(key, node) for key, n in ((1, 500), (2, 200), (3, 130), (4, 3)) for node in range(n)], "key long, node long")
+    assert {r["key"] for r in components.long_tiles(spark, tiles, "t").collect()} == {1, 2}
+    assert components.long_tiles(spark, tiles.where("key = 4"), "t") is None
+
+
 def test_lines_defined_cases(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a line here\n\nA LINE here", "x"), (4, "a line here", "x"), (5, "own words only", "x"), (5, "own words only", "x"), (None, "a line here\nkept by null id", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, removed string")
@@ -224,6 +276,17 @@ def test_mix_defined_cases(spark):
     assert mixing.emit(docs).columns == docs.columns
 
 
+def test_emitted_copies_are_the_mixtures(spark, small, monkeypatch):
+    """Rows come as often as the mixture takes them, repeated rows together."""
+    monkeypatch.setattr(mixing, "_CHUNK", 2)
+    docs = small.unionByName(small.where("doc_id % 7 = 1")).unionByName(small.where("doc_id % 7 = 1")).withColumn("copy", F.lit("x")).withColumn("extra", F.create_map(F.lit("a"), F.lit(1)))
+    want = collections.Counter()
+    for r in mixing.mix(docs, keep=["doc_id"]).collect():
+        want[r["doc_id"]] += r["copies"]
+    got = collections.Counter(r["doc_id"] for r in mixing.emit(docs).collect())
+    assert got == +want and mixing.emit(docs).columns == docs.columns
+
+
 def brute_pipeline(spark, data):
     """The pipeline's rows by plain forms of its stages; languages by the trained model, row by row."""
     docs = spark.read.parquet(f"{data}/documents.parquet")
