@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import terms
 from lattica.functions.terms import CODE, RDF_TYPE
-from lattica.model import KINDS, WIDER
+from lattica.model import BASE, KINDS, WIDER
 from lattica.operators.extract import module_imports, resolved_calls
 
 
@@ -20,7 +21,7 @@ def code(local: str) -> str:
 def first_by_uri(entities: DataFrame) -> DataFrame:
     """One entity for each URI: the first by file and place."""
     rank = F.row_number().over(Window.partitionBy("uri").orderBy("file_path", "ordinal"))
-    return entities.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    return entities.withColumn(" rank", rank).where(F.col(" rank") == 1).drop(" rank")
 
 
 def _text(column: str) -> Column:
@@ -70,7 +71,7 @@ def _pair(predicate: str, term: Column) -> Column:
 
 
 def node_triples(entities: DataFrame) -> DataFrame:
-    """Triples of each entity on its own: one pass, one explode."""
+    """Triples (file_path, s, p, o) of each entity on its own: one pass, one explode."""
     kind = F.col("kind")
     pairs = [_pair(code("hasName"), _text("name")), _pair(code("hasURI"), terms.typed_term(F.col("uri"), "anyURI")), _pair(code("hasDocstring"), _text("docstring")), _pair(code("hasBodyHash"), _text("body_hash"))]
     for name, local in KINDS.items():
@@ -84,7 +85,7 @@ def node_triples(entities: DataFrame) -> DataFrame:
     of_parameter = [_pair(code(p), F.when(kind == "parameter", terms.typed_term(F.coalesce(own[c], F.lit(False)), "boolean"))) for p, c in (("isRestParameter", "is_rest"), ("isOptional", "is_optional"))]
     place = F.concat(F.lit("_:l"), F.substring(F.sha1("uri"), 1, 20))
     pairs += [*declared, *of_parameter, _pair(code("locatedAt"), place)]
-    flat = entities.select(_uri().alias("s"), F.explode(F.filter(F.array(*pairs), lambda x: x["o"].isNotNull())).alias("x")).select("s", "x.p", "x.o")
+    flat = entities.select("file_path", _uri().alias("s"), F.explode(F.filter(F.array(*pairs), lambda x: x["o"].isNotNull())).alias("x")).select("file_path", "s", "x.p", "x.o")
     spots = [
         _pair(RDF_TYPE, F.lit(code("SourceLocation"))),
         _pair(code("filePath"), _text("file_path")),
@@ -93,7 +94,7 @@ def node_triples(entities: DataFrame) -> DataFrame:
         _pair(code("endLineNumber"), _number("end_line")),
         _pair(code("endColumnNumber"), F.when(F.col("end_column") > 0, _number("end_column"))),
     ]
-    places = entities.select(place.alias("s"), F.explode(F.filter(F.array(*spots), lambda x: x["o"].isNotNull())).alias("x")).select("s", "x.p", "x.o")
+    places = entities.select("file_path", place.alias("s"), F.explode(F.filter(F.array(*spots), lambda x: x["o"].isNotNull())).alias("x")).select("file_path", "s", "x.p", "x.o")
     return reduce(DataFrame.unionByName, [flat, places, *_lists(entities)])
 
 
@@ -101,17 +102,17 @@ def _lists(entities: DataFrame) -> list[DataFrame]:
     out = []
     for kind, columns in _LISTS.items():
         for predicate, column in columns.items():
-            each = entities.where(F.col("kind") == kind).select(_uri().alias("s"), F.lit(code(predicate)).alias("p"), F.explode(column).alias("v"))
-            out.append(each.select("s", "p", terms.typed_term(F.col("v"), "string").alias("o")))
-    arguments = entities.where("kind = 'call'").select("uri", F.posexplode("arguments").alias("at", "v"))
+            each = entities.where(F.col("kind") == kind).select("file_path", _uri().alias("s"), F.lit(code(predicate)).alias("p"), F.explode(column).alias("v"))
+            out.append(each.select("file_path", "s", "p", terms.typed_term(F.col("v"), "string").alias("o")))
+    arguments = entities.where("kind = 'call'").select("file_path", "uri", F.posexplode("arguments").alias("at", "v"))
     node = F.concat(F.lit("_:g"), F.substring(F.sha1(F.concat_ws("|", "uri", "at")), 1, 20))
-    out.append(arguments.select(_uri().alias("s"), F.lit(code("hasArgument")).alias("p"), node.alias("o")))
-    out.append(arguments.select(node.alias("s"), F.lit(code("argumentPosition")).alias("p"), terms.typed_term(F.col("at"), "integer").alias("o")))
-    out.append(arguments.select(node.alias("s"), F.lit(code("argumentValue")).alias("p"), terms.typed_term(F.col("v"), "string").alias("o")))
-    comments = entities.select("uri", F.posexplode("comments").alias("at", "v"))
+    out.append(arguments.select("file_path", _uri().alias("s"), F.lit(code("hasArgument")).alias("p"), node.alias("o")))
+    out.append(arguments.select("file_path", node.alias("s"), F.lit(code("argumentPosition")).alias("p"), terms.typed_term(F.col("at"), "integer").alias("o")))
+    out.append(arguments.select("file_path", node.alias("s"), F.lit(code("argumentValue")).alias("p"), terms.typed_term(F.col("v"), "string").alias("o")))
+    comments = entities.select("file_path", "uri", F.posexplode("comments").alias("at", "v"))
     node = F.concat(F.lit("_:k"), F.substring(F.sha1(F.concat_ws("|", "uri", "at")), 1, 20))
-    out.append(comments.select(_uri().alias("s"), F.lit(code("hasComment")).alias("p"), node.alias("o")))
-    out.append(comments.select(node.alias("s"), F.lit(code("commentText")).alias("p"), terms.typed_term(F.col("v"), "string").alias("o")))
+    out.append(comments.select("file_path", _uri().alias("s"), F.lit(code("hasComment")).alias("p"), node.alias("o")))
+    out.append(comments.select("file_path", node.alias("s"), F.lit(code("commentText")).alias("p"), terms.typed_term(F.col("v"), "string").alias("o")))
     return out
 
 
@@ -147,31 +148,77 @@ def relation_edges(entities: DataFrame) -> DataFrame:
 OPPOSITE = {"calls": "calledBy", "hasMethod": "memberOf", "hasProperty": "memberOf", "defines": "declaredIn"}
 
 
+def owner(uri: Column) -> Column:
+    """The file that an entity's URI names."""
+    return F.regexp_extract(uri, f"^{re.escape(BASE)}(.*)#[^#]*$", 1)
+
+
 def relation_triples(entities: DataFrame) -> DataFrame:
-    """Triples between entities, in both directions where a predicate names the other."""
-    edges = relation_edges(entities)
+    """Triples (file_path, s, p, o) between entities, in both directions where a predicate names the other.
+
+    A relation belongs to the file of its source, its opposite too.
+    """
+    edges = relation_edges(entities).withColumn("file_path", owner(F.col("src")))
     names = {"accesses": "references"}
     label = F.coalesce(*[F.when(F.col("relationship") == k, F.lit(code(v))) for k, v in names.items()], F.concat(F.lit(f"<{CODE}"), "relationship", F.lit(">")))
-    forward = edges.select(_uri("src").alias("s"), label.alias("p"), _uri("dst").alias("o"))
+    forward = edges.select("file_path", _uri("src").alias("s"), label.alias("p"), _uri("dst").alias("o"))
     back = F.coalesce(*[F.when(F.col("relationship") == k, F.lit(code(v))) for k, v in OPPOSITE.items()])
-    backward = edges.where(F.col("relationship").isin(list(OPPOSITE))).select(_uri("dst").alias("s"), back.alias("p"), _uri("src").alias("o"))
-    calls = entities.where("kind = 'call'").select("uri", "caller_uri", "callee_name")
-    made = calls.select(_uri().alias("s"), F.lit(code("madeBy")).alias("p"), _uri("caller_uri").alias("o"))
-    at = calls.select(_uri().alias("s"), F.lit(code("calledAt")).alias("p"), F.concat(F.lit("_:l"), F.substring(F.sha1("uri"), 1, 20)).alias("o"))
+    backward = edges.where(F.col("relationship").isin(list(OPPOSITE))).select("file_path", _uri("dst").alias("s"), back.alias("p"), _uri("src").alias("o"))
+    calls = entities.where("kind = 'call'").select("file_path", "uri", "caller_uri", "callee_name")
+    made = calls.select("file_path", _uri().alias("s"), F.lit(code("madeBy")).alias("p"), _uri("caller_uri").alias("o"))
+    at = calls.select("file_path", _uri().alias("s"), F.lit(code("calledAt")).alias("p"), F.concat(F.lit("_:l"), F.substring(F.sha1("uri"), 1, 20)).alias("o"))
     callees = entities.where("kind in ('function', 'method')").select(F.col("uri").alias("dst"), F.col("name").alias("last"))
     hit = calls.withColumn("last", F.substring_index("callee_name", ".", -1)).join(edges.where("relationship = 'calls'").join(callees, "dst").select(F.col("src").alias("caller_uri"), "last", "dst"), ["caller_uri", "last"])
-    resolved = hit.select(_uri().alias("s"), F.lit(code("callsFunction")).alias("p"), _uri("dst").alias("o"))
+    resolved = hit.select("file_path", _uri().alias("s"), F.lit(code("callsFunction")).alias("p"), _uri("dst").alias("o"))
     depends = entities.where("kind = 'import'").join(entities.where("kind = 'module'").select("file_path", F.col("uri").alias("module")), "file_path")
-    depends = depends.select(_uri("module").alias("s"), F.lit(code("dependsOn")).alias("p"), terms.typed_term(F.col("module_path"), "string").alias("o"))
+    depends = depends.select("file_path", _uri("module").alias("s"), F.lit(code("dependsOn")).alias("p"), terms.typed_term(F.col("module_path"), "string").alias("o"))
     return reduce(DataFrame.unionByName, [forward, backward, made, at, resolved, depends]).distinct()
 
 
-def lower(entities: DataFrame) -> DataFrame:
-    """All triples (s, p, o) of entities, as a set."""
+def lower_by_file(entities: DataFrame) -> DataFrame:
+    """All triples of entities with the file that each belongs to: (file_path, s, p, o), as a set."""
     entities = first_by_uri(entities)
     return node_triples(entities).unionByName(relation_triples(entities)).distinct()
 
 
+def lower(entities: DataFrame) -> DataFrame:
+    """All triples (s, p, o) of entities, as a set."""
+    return lower_by_file(entities).select("s", "p", "o").distinct()
+
+
+def heritage(entities: DataFrame) -> DataFrame:
+    """(file_path, name) of the classes and interfaces that classes name as theirs."""
+    named = F.concat(F.array_compact(F.array("extends_class")), F.coalesce("implements", F.array().cast("array<string>")))
+    return entities.where("kind = 'class'").select("file_path", F.explode(named).alias("name")).distinct()
+
+
+def touched(entities: DataFrame, changed: DataFrame) -> DataFrame:
+    """(file_path) of the files whose triples a change of files (file_path) may alter.
+
+    ``entities`` are those before and after.  They are the changed files, those
+    that import one of them, and those whose classes name one of theirs.
+    """
+    own = changed.select("file_path").distinct()
+    importers = module_imports(entities).join(own.withColumnRenamed("file_path", "target"), "target", "left_semi").select("file_path")
+    types = entities.where("kind in ('class', 'interface')").select("file_path", "name").join(own, "file_path", "left_semi")
+    heirs = heritage(entities).join(types.select("name").distinct(), "name", "left_semi").select("file_path")
+    return own.union(importers).union(heirs).distinct()
+
+
+def context(entities: DataFrame, files: DataFrame) -> DataFrame:
+    """The entities that the triples of ``files`` (file_path) depend on: their own, those of imported files, and the types they name."""
+    own = files.select("file_path").distinct()
+    imported = module_imports(entities).join(own, "file_path", "left_semi").select(F.col("target").alias("file_path"))
+    names = heritage(entities).join(own, "file_path", "left_semi").select("name").distinct()
+    types = entities.where("kind in ('class', 'interface')").join(names, "name", "left_semi").select("file_path")
+    return entities.join(own.union(imported).union(types).distinct(), "file_path", "left_semi")
+
+
+def relower(entities: DataFrame, files: DataFrame) -> DataFrame:
+    """The triples (file_path, s, p, o) that belong to ``files`` (file_path), lowered from no more than they depend on."""
+    return lower_by_file(context(entities, files)).join(files.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "s", "p", "o")
+
+
 def property_graph(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices (id, name, type, location, line_number, attrs) and edges (src, dst, relationship, type)."""
     entities = first_by_uri(entities)

@@ -20,6 +20,8 @@ from lattica.streaming import changes as feed
 class KnowledgeGraph:
     entities: DataFrame
     triples: DataFrame
+    #: Lowered triples with the file each belongs to: (file_path, s, p, o).
+    owned: DataFrame | None = None
     statistics: dict = field(default_factory=dict)
 
     @property
@@ -43,7 +45,8 @@ def from_files(spark: SparkSession, found: DataFrame, references: DataFrame | No
     if references is not None:
         extra = semantic.resolve(references, entities).where("reference_type = 'calls'")
         more = extra.select(F.concat(F.lit("<"), "source_uri", F.lit(">")).alias("s"), F.lit(lowering.code("calls")).alias("p"), F.concat(F.lit("<"), "target_uri", F.lit(">")).alias("o"))
-    triples = lowering.lower(entities)
+    owned = stage(spark, lowering.lower_by_file(entities), "owned")
+    triples = owned.select("s", "p", "o")
     if references is not None:
         triples = triples.unionByName(more)
     if with_spans:
@@ -52,7 +55,7 @@ def from_files(spark: SparkSession, found: DataFrame, references: DataFrame | No
     triples = stage(spark, triples.distinct(), "triples")
     counts = {r["kind"]: r["count"] for r in entities.groupBy("kind").count().collect()}
     stats = {"files": counts.get("module", 0), "entities": sum(counts.values()), "by_kind": counts, "triples": triples.count(), "seconds": time.perf_counter() - began}
-    return KnowledgeGraph(entities, triples, stats)
+    return KnowledgeGraph(entities, triples, owned, stats)
 
 
 def process(spark: SparkSession, folder: str, references: DataFrame | None = None) -> KnowledgeGraph:
@@ -67,11 +70,15 @@ def process(spark: SparkSession, folder: str, references: DataFrame | None = Non
 def update(spark: SparkSession, kg: KnowledgeGraph, changes: DataFrame, contents: DataFrame) -> KnowledgeGraph:
     """The graph after changes (file_path, event_type): changed files are extracted anew, the rest stays.
 
-    Relations are lowered again over all entities, so links into changed files
-    follow their new entities.
+    Triples are lowered again for the changed files and for those whose
+    relations lead to them; spans are made by :func:`from_files` alone.
     """
     wanted = contents.join(changes.where("event_type <> 'deleted'").select(F.col("file_path").alias("path")), "path", "left_semi")
     new = extract.extract(wanted)
     entities = stage(spark, feed.upsert(kg.entities, changes, new), "entities")
-    triples = stage(spark, lowering.lower(entities), "triples")
-    return KnowledgeGraph(entities, triples, kg.statistics | {"entities": entities.count(), "triples": triples.count()})
+    files = stage(spark, lowering.touched(entities.unionByName(kg.entities), changes), "touched")
+    owned = kg.owned if kg.owned is not None else lowering.lower_by_file(kg.entities)
+    kept = owned.join(files, "file_path", "left_anti").select("file_path", "s", "p", "o")
+    owned = stage(spark, kept.unionByName(lowering.relower(entities, files)), "owned")
+    triples = owned.select("s", "p", "o").distinct()
+    return KnowledgeGraph(entities, triples, owned, kg.statistics | {"entities": entities.count(), "triples": triples.count()})
