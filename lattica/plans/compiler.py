@@ -349,7 +349,7 @@ class Compiler:
             own = [p.expr for p in expr.group.parts if isinstance(p, A.Filter)]
             inner = self.group(A.Group([p for p in expr.group.parts if not isinstance(p, A.Filter)]))
             right, pairs = self._apart(found, inner)
-            return Solutions(found.df.join(right.df, self._condition(found, right, pairs, own), "left_anti" if expr.negated else "left_semi"), found.bound, found.native)
+            return Solutions(self._met(found, right, pairs, "left_anti" if expr.negated else "left_semi", own), found.bound, found.native)
         nested = _exists_in(expr)
         if nested:
             marked, names = found, {}
@@ -379,8 +379,8 @@ class Compiler:
         columns = [right.col(v).alias(column_of(pairs.get(v, v))) for v in right.bound] + [right.plain(v) for v in native]
         return Solutions(right.df.select(*columns) if columns else right.df, {pairs.get(v, v): sure for v, sure in right.bound.items()}, native), pairs
 
-    def _condition(self, left: Solutions, right: Solutions, pairs: dict[str, str], filters: list | None = None) -> Column:
-        """Compatibility of two solutions, and filters over both."""
+    def _condition(self, left: Solutions, right: Solutions, pairs: dict[str, str], filters: list | None = None, renamed: dict[str, str] | None = None) -> Column:
+        """Compatibility of two solutions, and filters over both; ``renamed`` are the shared variables where ``pairs`` lacks some."""
         out = F.lit(True)
         for v, w in pairs.items():
             a, b = left.col(v), right.col(w)
@@ -391,11 +391,57 @@ class Compiler:
                 same = same | b.isNull()
             out = out & same
         if filters:
-            names = {v: left.value(v) for v in left.bound} | {v: right.value(v) for v in right.bound if v not in pairs.values()}
+            names = {v: left.value(v) for v in left.bound} | {v: right.value(v) for v in right.bound if v not in (renamed or pairs).values()}
             for expr in filters:
                 out = out & F.coalesce(self.value(expr, names).truth(), F.lit(False))
         return out
 
+    def _sides(self, side: Solutions, names: list[str]) -> list[tuple[set[str], DataFrame]]:
+        """The rows of a side by which of the variables that may be unbound are: (bound ones, rows)."""
+        out = [({v for v in names if side.bound[v]}, side.df)]
+        for v in names:
+            if not side.bound[v]:
+                out = [part for bound, df in out for part in ((bound | {v}, df.where(side.col(v).isNotNull())), (bound, df.where(side.col(v).isNull())))]
+        return out
+
+    def _met(self, left: Solutions, right: Solutions, pairs: dict[str, str], how: str, filters: list | None = None, sharing: bool = False) -> DataFrame:
+        """Compatible solutions of two sides (``how`` is inner, left, left_semi or left_anti).
+
+        With a variable that both sides surely bind, it is the key and the rest
+        a condition.  Without one, rows are split by what they bind, so every
+        pair of parts has its own keys and no pair of rows is looked at that
+        shares none, unless the parts share no variable.  ``sharing`` leaves
+        such parts out.
+        """
+        if not pairs or any(left.bound[v] and right.bound[w] for v, w in pairs.items()):
+            return left.df.join(right.df, self._condition(left, right, pairs, filters), how)
+        rights = self._sides(right, list(pairs.values()))
+        out = []
+        for own, df in self._sides(left, list(pairs)):
+            rest = df
+            for other, more in rights:
+                keys = {v: w for v, w in pairs.items() if v in own and w in other}
+                if sharing and not keys:
+                    continue
+                test = reduce(Column.__and__, [left.col(v) == right.col(w) for v, w in keys.items()], F.lit(True))
+                if filters:
+                    test = test & self._condition(left, right, {}, filters, pairs)
+                if how == "inner":
+                    out.append(df.join(more, test))
+                elif how == "left" and len(rights) == 1:
+                    out.append(df.join(more, test, "left"))
+                elif how == "left":
+                    out.append(df.join(more, test))
+                elif how == "left_semi":
+                    out.append(rest.join(more, test, "left_semi"))
+                if how != "inner":
+                    rest = rest.join(more, test, "left_anti")
+            if how == "left_anti":
+                out.append(rest)
+            elif how == "left" and len(rights) > 1:
+                out.append(rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.df.schema]))
+        return reduce(DataFrame.union, out)
+
     def join(self, left: Solutions | None, right: Solutions) -> Solutions:
         if left is None:
             return right
@@ -410,13 +456,11 @@ class Compiler:
             df = left_df.join(right_df, on) if on else left_df.crossJoin(right_df)
             return Solutions(df, left.bound | {v: right.bound[v] for v in right.bound if v not in left.bound}, left.native | more)
         apart, pairs = self._apart(left, right)
-        df = left.df.join(apart.df, self._condition(left, apart, pairs))
-        return self._merged(left, apart, pairs, df, optional=False)
+        return self._merged(left, apart, pairs, self._met(left, apart, pairs, "inner"), optional=False)
 
     def optional(self, left: Solutions, right: Solutions, filters: list) -> Solutions:
         apart, pairs = self._apart(left, right)
-        df = left.df.join(apart.df, self._condition(left, apart, pairs, filters), "left")
-        return self._merged(left, apart, pairs, df, optional=True)
+        return self._merged(left, apart, pairs, self._met(left, apart, pairs, "left", filters), optional=True)
 
     def _merged(self, left: Solutions, right: Solutions, pairs: dict[str, str], df: DataFrame, optional: bool) -> Solutions:
         columns = [F.coalesce(left.col(v), right.col(pairs[v])).alias(column_of(v)) if v in pairs and not left.bound[v] else left.col(v) for v in left.bound]
@@ -433,10 +477,7 @@ class Compiler:
         apart, pairs = self._apart(left, right)
         if not pairs:
             return left
-        condition = self._condition(left, apart, pairs)
-        if not any(left.bound[v] and apart.bound[w] for v, w in pairs.items()):
-            condition = condition & reduce(Column.__or__, [left.col(v).isNotNull() & apart.col(w).isNotNull() for v, w in pairs.items()])
-        return Solutions(left.df.join(apart.df, condition, "left_anti"), left.bound, left.native)
+        return Solutions(self._met(left, apart, pairs, "left_anti", sharing=True), left.bound, left.native)
 
     def union(self, parts: list[Solutions]) -> Solutions:
         names = list(dict.fromkeys(v for p in parts for v in p.bound))
@@ -721,6 +762,31 @@ def _date(f):
     return lambda a: Value(f(a.time()), "int")
 
 
+def _seconds(a: Value) -> Value:
+    """Seconds with their fraction."""
+    whole = F.second(a.time())
+    parts = F.extract(F.lit("SECOND"), a.time()).cast("double")
+    return _typed(parts, parts == whole)
+
+
+def _timezone(a: Value) -> Value:
+    """The offset as a duration; an error without one."""
+    zone = F.regexp_extract(a.text(), r"(Z|[+-]\d\d:\d\d)$", 1)
+    hours, minutes = F.substring(zone, 2, 2).cast("int"), F.substring(zone, 5, 2).cast("int")
+    size = F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(F.lit("")), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(F.lit("")))
+    sign = F.when(zone.startswith("-") & (F.length(size) > 0), F.lit("-PT")).otherwise(F.lit("PT"))
+    text = F.when(zone == "Z", F.lit("PT0S")).when(F.length(zone) > 0, F.concat(sign, F.when(F.length(size) > 0, size).otherwise(F.lit("0S"))))
+    return Value(terms.typed_term(text, "dayTimeDuration"), "term")
+
+
+def _tagged(a: Value, text: Column) -> Value:
+    """``text`` with the language of ``a``, where it has one."""
+    if a.kind != "term":
+        return Value(text, "str")
+    end = terms.suffix(a.term())
+    return Value(F.concat(terms.text_term(text), F.when(end.startswith("@"), end).otherwise(F.lit(""))), "term")
+
+
 def _regex(text: Value, pattern: Value, flags: Value | None = None) -> Value:
     p = pattern.text()
     if flags is not None:
@@ -732,17 +798,20 @@ def _replace(text: Value, pattern: Value, by: Value, flags: Value | None = None)
     p = pattern.text()
     if flags is not None:
         p = F.concat(F.lit("(?"), flags.text(), F.lit(")"), p)
-    return Value(F.regexp_replace(text.text(), p, by.text()), "str")
+    return _tagged(text, F.regexp_replace(text.text(), p, by.text()))
 
 
 def _before(a: Value, b: Value) -> Value:
     at = F.instr(a.text(), b.text())
-    return Value(F.when(at > 0, F.substring(a.text(), F.lit(1), at - 1)).otherwise(F.lit("")), "str")
+    found = _tagged(a, F.substring(a.text(), F.lit(1), at - 1))
+    return Value(F.when(at > 0, found.term()).otherwise(F.lit('""')), "term") if found.kind == "term" else Value(F.when(at > 0, found.col).otherwise(F.lit("")), "str")
 
 
 def _after(a: Value, b: Value) -> Value:
     at = F.instr(a.text(), b.text())
-    return Value(F.when(F.length(b.text()) == 0, a.text()).when(at > 0, F.substring(a.text(), at + F.length(b.text()), F.length(a.text()))).otherwise(F.lit("")), "str")
+    found = _tagged(a, F.when(F.length(b.text()) == 0, a.text()).otherwise(F.substring(a.text(), at + F.length(b.text()), F.length(a.text()))))
+    hit = (at > 0) | (F.length(b.text()) == 0)
+    return Value(F.when(hit, found.term()).otherwise(F.lit('""')), "term") if found.kind == "term" else Value(F.when(hit, found.col).otherwise(F.lit("")), "str")
 
 
 def _if(test: Value, yes: Value, no: Value) -> Value:
@@ -782,9 +851,9 @@ _FUNCTIONS = {
     "DATATYPE": lambda a: Value(terms.iri_term(terms.datatype(a.term())), "term"),
     "LANGMATCHES": lambda a, b: Value(F.when(b.text() == "*", F.length(a.text()) > 0).otherwise((F.lower(a.text()) == F.lower(b.text())) | F.startswith(F.lower(a.text()), F.concat(F.lower(b.text()), F.lit("-")))), "bool"),
     "STRLEN": _text(F.length, "int"),
-    "SUBSTR": lambda a, at, n=None: Value(F.substring(a.text(), at.number().cast("int"), n.number().cast("int") if n else F.length(a.text())), "str"),
-    "UCASE": _text(F.upper),
-    "LCASE": _text(F.lower),
+    "SUBSTR": lambda a, at, n=None: _tagged(a, F.substring(a.text(), at.number().cast("int"), n.number().cast("int") if n else F.length(a.text()))),
+    "UCASE": lambda a: _tagged(a, F.upper(a.text())),
+    "LCASE": lambda a: _tagged(a, F.lower(a.text())),
     "CONTAINS": _text(F.contains, "bool"),
     "STRSTARTS": _text(F.startswith, "bool"),
     "STRENDS": _text(F.endswith, "bool"),
@@ -805,9 +874,9 @@ _FUNCTIONS = {
     "DAY": _date(F.dayofmonth),
     "HOURS": _date(F.hour),
     "MINUTES": _date(F.minute),
-    "SECONDS": _date(F.second),
+    "SECONDS": _seconds,
     "TZ": lambda a: Value(F.regexp_extract(a.text(), r"(Z|[+-]\d\d:\d\d)$", 1), "str"),
-    "TIMEZONE": lambda a: Value(F.regexp_extract(a.text(), r"(Z|[+-]\d\d:\d\d)$", 1), "str"),
+    "TIMEZONE": _timezone,
     "MD5": _text(lambda a: F.md5(a)),
     "SHA1": _text(lambda a: F.sha1(a)),
     "SHA256": _text(lambda a: F.sha2(a, 256)),

@@ -56,21 +56,41 @@ def match(graph: Graph, pattern: GraphPattern) -> DataFrame:
 
 
 def match_property_graph(vertices: DataFrame, edges: DataFrame, pattern: GraphPattern) -> DataFrame:
-    """Vertices that satisfy every node constraint and have, for each edge constraint, such a neighbour.
+    """Vertices that satisfy the first node's constraints and have, over each of its edges, a neighbour that satisfies its own.
 
-    One neighbour is shown for each constraint, the smallest by id, as ``target_<type>``.
+    A neighbour's own edges are constraints of it in turn, so the edges must
+    form a tree.  Of the neighbours over an edge of the first node one is shown,
+    the smallest by id, as ``target_<type>`` (or the relationship's name).
     """
-    found = vertices
-    for node in pattern.nodes[:1]:
-        for name, value in node.items():
+    ends = [(edge.get("source_index", 0), edge.get("target_index", 1)) for edge in pattern.edges]
+
+    def constraints(k: int) -> dict:
+        return pattern.nodes[k] if k < len(pattern.nodes) else {}
+
+    def fitting(k: int, over: int | None, above: frozenset[int], shown: bool) -> DataFrame:
+        """Vertices that can stand for node ``k``, which edge ``over`` leads to."""
+        found = vertices
+        for name, value in constraints(k).items():
             own = F.col(name) if name in vertices.columns else F.col("attrs")[name]
-            found = found.where(own == F.lit(str(value)) if name != "line_number" else own == F.lit(value))
-    for edge in pattern.edges:
-        kind = edge.get("relationship", "related")
-        target = pattern.nodes[edge.get("target_index", 1)].get("type") if len(pattern.nodes) > 1 else None
-        reached = edges.where((F.col("relationship") == kind) | (F.col("type") == kind)).select("src", "dst")
-        if target is not None:
-            reached = reached.join(vertices.where(F.col("type") == target).select(F.col("id").alias("dst")), "dst")
-        one = reached.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias(f"target_{target or kind}"))
-        found = found.join(one, "id")
-    return found
+            found = found.where(own == F.lit(value) if name == "line_number" else own == F.lit(str(value)))
+        for e, edge in enumerate(pattern.edges):
+            if e == over or k not in ends[e]:
+                continue
+            forth = ends[e][0] == k
+            far = ends[e][1] if forth else ends[e][0]
+            if far in above or far == k:
+                raise ValueError("the edges of the pattern form a cycle")
+            kind = edge.get("relationship", "related")
+            near, other = ("src", "dst") if forth else ("dst", "src")
+            reached = edges.where((F.col("relationship") == kind) | (F.col("type") == kind)).select(F.col(near).alias("id"), F.col(other).alias("far"))
+            if constraints(far) or any(far in pair for n, pair in enumerate(ends) if n != e):
+                reached = reached.join(fitting(far, e, above | {k}, False).select(F.col("id").alias("far")), "far", "left_semi")
+            if not shown:
+                found = found.join(reached, "id", "left_semi")
+                continue
+            name = f"target_{constraints(far).get('type') or kind}"
+            name = name if name not in found.columns else f"{name}_{e}"
+            found = found.join(reached.groupBy("id").agg(F.min("far").alias(name)), "id")
+        return found
+
+    return fitting(0, None, frozenset(), True)
