@@ -8,18 +8,22 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a local one is set only where none is named."""
+    """The folder for intermediate tables; a local session that names none gets a folder of its own, a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="lattica-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir("file://" + own)
@@ -48,6 +52,9 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows, reading no more than needed to tell."""
-    return df.limit(rows + 1).count() <= rows
+def at_most(df: DataFrame, rows: int, size: int = 20 << 20) -> bool:
+    """Whether ``df`` has no more than ``rows`` rows and ``size`` bytes of text, reading no more rows than needed to tell."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    width = reduce(Column.__add__, texts, F.lit(0)).cast("long")
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return found["n"] <= rows and found["bytes"] <= size

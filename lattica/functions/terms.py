@@ -9,6 +9,8 @@ equi-joins.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 OWL = "http://www.w3.org/2002/07/owl#"
-#: Fixed value: the namespace of the code vocabulary.
-CODE = "http://codeontology.org/"
+#: The namespace of the code vocabulary; ``LATTICA_VOCABULARY`` names another, such as that of an existing graph.
+CODE = os.environ.get("LATTICA_VOCABULARY", "http://code.local/vocabulary#")
 KG = "http://kg.local/"
 
 RDF_TYPE = f"<{RDF}type>"

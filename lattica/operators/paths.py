@@ -1,6 +1,6 @@
 """Paths over edges (src, dst): closure, breadth-first levels, simple paths.
 
-An edge set of at most ``SMALL`` rows, checked by a bounded count, is sent to
+An edge set of at most ``SMALL`` rows and 20 MB, checked by a bounded count, is sent to
 all workers and every source is walked where its row lies, in one job.  Beyond
 that a semi-naive loop joins the newest pairs with the edges, one written round
 at a time, until nothing new is found.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.staging import at_most, ship, stage
 
-#: Edges that may be sent to every worker: some 20 MB of names at most.
+#: Edges that may be sent to every worker, of 20 MB of names at most.
 SMALL = 200_000
 
 

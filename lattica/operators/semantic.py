@@ -7,9 +7,13 @@ context) and definitions (key, file_path, name, line_number, uri).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.staging import stage
+
 
 def symbol_key(file: Column, name: Column, line: Column, column: Column) -> Column:
     return F.concat_ws("|", F.lit("KEY"), file, name, F.concat_ws(":", line.cast("string"), column.cast("string")))
@@ -20,14 +24,20 @@ def path_of_uri(uri: Column) -> Column:
     return F.url_decode(F.regexp_replace(uri, "^file://", ""))
 
 
-def flatten_symbols(symbols: DataFrame, depth: int = 8) -> DataFrame:
-    """(id, parent, name, level) of a symbol tree (id, parent, name) from its roots down, by levels."""
-    level = symbols.where("parent is null").withColumn("level", F.lit(0))
-    out = level
-    for k in range(1, depth + 1):
-        level = symbols.join(level.select(F.col("id").alias("parent")), "parent").select("id", "parent", "name").withColumn("level", F.lit(k))
-        out = out.unionByName(level)
-    return out
+def flatten_symbols(symbols: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, parent, name, level) of a symbol tree (id, parent, name) from its roots down, by levels.
+
+    Each level is written and the next one met from it, until one is empty or
+    ``depth`` is reached.
+    """
+    spark = symbols.sparkSession
+    level = stage(spark, symbols.where("parent is null").select("id", "parent", "name").withColumn("level", F.lit(0)), "symbols")
+    out = [level]
+    while (depth is None or len(out) <= depth) and not level.isEmpty():
+        level = symbols.join(level.select(F.col("id").alias("parent")), "parent").select("id", "parent", "name").withColumn("level", F.lit(len(out)))
+        level = stage(spark, level, "symbols")
+        out.append(level)
+    return reduce(DataFrame.unionByName, out)
 
 
 def cross_file(references: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -47,25 +57,37 @@ def references_from(references: DataFrame, source: str) -> DataFrame:
 def nearest(wanted: DataFrame, entities: DataFrame, by: list[str], line: str = "line_number", tie: str = "ordinal", value: str = "uri") -> DataFrame:
     """For each row of ``wanted`` (an ``id`` with ``by`` and ``line``) the entity of the same ``by`` at the nearest line.
 
-    The first of equally near ones wins.
+    The first of equally near ones wins.  The last entity up to a row and the
+    first one after it are found in one ordered pass, so no pairs are made;
+    rows without any are left out.
     """
-    other = entities.select(*by, F.col(line).alias("__line"), F.col(tie).alias("__tie"), F.col(value).alias("__value"))
-    pairs = wanted.select("id", *by, line).join(other, by)
-    order = F.struct(F.abs(F.col(line) - F.col("__line")), "__tie")
-    return pairs.groupBy("id").agg(F.min_by("__value", order).alias(value))
+    spot = entities.groupBy(*by, F.col(line).alias("at")).agg(F.min(F.struct(F.col(tie).alias("tie"), F.col(value).alias("value"))).alias("one"))
+    spot = spot.select(*by, "at", F.lit(None).cast(wanted.schema["id"].dataType).alias("id"), F.lit(0).alias("asks"), F.struct("at", "one.tie", "one.value").alias("here"))
+    asked = wanted.select(*by, F.col(line).alias("at"), "id", F.lit(1).alias("asks"), F.lit(None).cast(spot.schema["here"].dataType).alias("here"))
+    order = Window.partitionBy(*by).orderBy("at", "asks")
+    before = F.last("here", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("here", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    both = spot.unionByName(asked).select("id", "asks", "at", F.array(before, after).alias("found")).where("asks = 1")
+    ranked = F.array_min(F.transform(F.filter("found", lambda x: x.isNotNull()), lambda x: F.struct(F.abs(x["at"] - F.col("at")).alias("far"), x["tie"].alias("tie"), x["value"].alias("value"))))
+    return both.select("id", ranked["value"].alias(value)).where(F.col(value).isNotNull())
 
 
 def resolve(references: DataFrame, entities: DataFrame) -> DataFrame:
-    """References with both ends as entity URIs: as they stand, or the nearest entity of that file and name."""
+    """References with both ends as entity URIs: as they stand, or the nearest entity of that file and name.
+
+    A reference with an end that no entity answers to is left out.
+    """
     known = entities.select(F.col("uri")).distinct()
     out = references
     for end in ("source_uri", "target_uri"):
         exact = out.join(known.withColumnRenamed("uri", end), end, "left_semi")
-        rest = out.join(known.withColumnRenamed("uri", end), end, "left_anti").withColumn("id", F.monotonically_increasing_id())
-        key = F.split(end, r"\|")
-        asked = rest.select("id", key[1].alias("file_path"), key[2].alias("name"), F.split(key[3], ":")[0].cast("int").alias("line_number"))
-        found = nearest(asked, entities, ["file_path", "name"])
-        out = exact.unionByName(rest.join(found, "id").drop(end, "id").withColumnRenamed("uri", end).select(*exact.columns))
+        rest = out.join(known.withColumnRenamed("uri", end), end, "left_anti")
+        # Where an end leads depends on its text alone, so each text is looked up once.
+        asked = rest.select(F.col(end).alias("id")).distinct()
+        key = F.split("id", r"\|")
+        asked = asked.select("id", key[1].alias("file_path"), key[2].alias("name"), F.split(key[3], ":")[0].cast("int").alias("line_number"))
+        found = nearest(asked, entities, ["file_path", "name"]).withColumnRenamed("id", end)
+        out = exact.select(*references.columns).unionByName(rest.join(found, end).drop(end).withColumnRenamed("uri", end).select(*references.columns))
     return out
 
 

@@ -29,18 +29,29 @@ def graphml(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.unionByName(nodes).unionByName(links)
 
 
+def _values(df: DataFrame, columns: list[str]) -> Column:
+    parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<attvalue for="{c}" value="'), _safe(F.col(c).cast("string")), F.lit('"/>'))).otherwise(F.lit("")) for c in columns]
+    return F.concat(F.lit("<attvalues>"), *parts, F.lit("</attvalues>"))
+
+
 def gexf(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """The lines of a GEXF document: (place, value)."""
+    """The lines of a GEXF document, attributes included: (place, value)."""
     spark = vertices.sparkSession
-    ends = spark.createDataFrame([(0, '<?xml version="1.0" encoding="UTF-8"?><gexf xmlns="http://gexf.net/1.2" version="1.2"><graph defaultedgetype="directed"><nodes>'), (4, "</nodes><edges>"), (9, "</edges></graph></gexf>")], "place int, value string")
-    nodes = vertices.select(F.lit(1).alias("place"), F.concat(F.lit('<node id="'), _safe(F.col("id")), F.lit('" label="'), _safe(F.coalesce("name", "id")), F.lit('"/>')).alias("value"))
-    links = edges.select(F.lit(5).alias("place"), F.concat(F.lit('<edge source="'), _safe(F.col("src")), F.lit('" target="'), _safe(F.col("dst")), F.lit('" label="'), _safe(F.coalesce("relationship", F.lit(""))), F.lit('"/>')).alias("value"))
+    own = [c for c, k in vertices.dtypes if c not in ("id", "name") and not k.startswith("map")]
+    more = [c for c, k in edges.dtypes if c not in ("src", "dst", "relationship") and not k.startswith("map")]
+    kinds = "".join(f'<attributes class="{k}">' + "".join(f'<attribute id="{c}" title="{c}" type="string"/>' for c in cs) + "</attributes>" for k, cs in (("node", own), ("edge", more)) if cs)
+    head = f'<?xml version="1.0" encoding="UTF-8"?><gexf xmlns="http://gexf.net/1.2" version="1.2"><graph defaultedgetype="directed">{kinds}<nodes>'
+    ends = spark.createDataFrame([(0, head), (4, "</nodes><edges>"), (9, "</edges></graph></gexf>")], "place int, value string")
+    nodes = vertices.select(F.lit(1).alias("place"), F.concat(F.lit('<node id="'), _safe(F.col("id")), F.lit('" label="'), _safe(F.coalesce("name", "id")), F.lit('">'), _values(vertices, own), F.lit("</node>")).alias("value"))
+    kind = F.coalesce("relationship", F.lit("")) if "relationship" in edges.columns else F.lit("")
+    links = edges.select(F.lit(5).alias("place"), F.concat(F.lit('<edge source="'), _safe(F.col("src")), F.lit('" target="'), _safe(F.col("dst")), F.lit('" label="'), _safe(kind), F.lit('">'), _values(edges, more), F.lit("</edge>")).alias("value"))
     return ends.unionByName(nodes).unionByName(links)
 
 
-def write_document(lines: DataFrame, path: str) -> None:
-    """A document of lines (place, value) as one text file, sorted by place."""
-    lines.orderBy("place", "value").coalesce(1).select("value").write.mode("overwrite").text(path)
+def write_document(lines: DataFrame, path: str, one_part: bool = True) -> None:
+    """A document of lines (place, value), sorted by place: one text file, or parts that make it one after another."""
+    ordered = lines.orderBy("place", "value")
+    (ordered.coalesce(1) if one_part else ordered).select("value").write.mode("overwrite").text(path)
 
 
 def dot(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -71,7 +82,9 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices (id, name) and edges (src, dst, relationship) of GEXF files."""
-    nodes = spark.read.format("xml").option("rowTag", "node").schema("_id string, _label string").load(path)
-    links = spark.read.format("xml").option("rowTag", "edge").schema("_source string, _target string, _label string").load(path)
-    return nodes.select(F.col("_id").alias("id"), F.col("_label").alias("name")), links.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.col("_label").alias("relationship"))
+    """Vertices (id, name, attrs) and edges (src, dst, relationship, attrs) of GEXF files."""
+    held = "attvalues struct<attvalue: array<struct<_for: string, _value: string>>>"
+    nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, _label string, {held}").load(path)
+    links = spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, _label string, {held}").load(path)
+    attrs = F.coalesce(F.map_from_entries(F.transform("attvalues.attvalue", lambda d: F.struct(d["_for"], d["_value"]))), F.create_map().cast("map<string,string>")).alias("attrs")
+    return nodes.select(F.col("_id").alias("id"), F.col("_label").alias("name"), attrs), links.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.col("_label").alias("relationship"), attrs)

@@ -23,7 +23,7 @@ def format_of(path: str) -> str:
     return FORMATS.get(path.rsplit(".", 1)[-1].lower(), "turtle")
 
 
-_NT = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
+_NT = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
 
 
 def _unescaped(term: Column) -> Column:
@@ -35,7 +35,10 @@ def _unescaped(term: Column) -> Column:
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of N-Triples files, line by line on the JVM; ``\\u`` escapes are undone only where one stands."""
+    """Triples of N-Triples files, line by line on the JVM; ``\\u`` escapes are undone only where one stands.
+
+    Lines that are no triple are left out; :func:`unread_ntriples` lists them.
+    """
     lines = spark.read.text(path).where(F.col("value").rlike(_NT))
     parts = [F.regexp_extract("value", _NT, k) for k in (1, 2, 3)]
     found = lines.select(parts[0].alias("s"), parts[1].alias("p"), _unescaped(parts[2]).alias("o"))
@@ -50,6 +53,11 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return plain.unionByName(coded.mapInPandas(decode, "s string, p string, o string")).distinct()
 
 
+def unread_ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of the lines of N-Triples files that are neither a triple nor blank nor a comment."""
+    return spark.read.text(path).where(~F.col("value").rlike(_NT) & ~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+
+
 def escaped(term: Column) -> Column:
     """A term as N-Triples writes it."""
     text = terms.lexical(term)
@@ -296,12 +304,17 @@ def serialise(triples: DataFrame, kind: str = "turtle") -> Iterator[str]:
         yield "]"
 
 
-def write(triples: DataFrame, path: str, kind: str = "nt") -> None:
-    """Write part files of a line format (nt, turtle), or one document of another in a single sorted part."""
+def write(triples: DataFrame, path: str, kind: str = "nt", one_part: bool = True) -> None:
+    """Write part files of a line format (nt, turtle), or one document of another.
+
+    A document is a single sorted part; without ``one_part`` it is sorted parts
+    that make the document one after another, for graphs that one task can't write.
+    """
     if kind in ("nt", "turtle"):
         WRITERS[kind](triples).write.mode("overwrite").text(path)
         return
     head, tail = (f'<rdf:RDF xmlns:rdf="{RDF}">', "</rdf:RDF>") if kind == "xml" else ("[", "{}]")
     ends = triples.sparkSession.createDataFrame([(0, head), (9, tail)], "place int, value string")
     body = WRITERS[kind](triples).select(F.lit(1).alias("place"), "value" if kind == "xml" else F.concat("value", F.lit(",")).alias("value"))
-    ends.unionByName(body).orderBy("place", "value").coalesce(1).select("value").write.mode("overwrite").text(path)
+    lines = ends.unionByName(body).orderBy("place", "value")
+    (lines.coalesce(1) if one_part else lines).select("value").write.mode("overwrite").text(path)
