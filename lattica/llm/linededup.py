@@ -200,7 +200,7 @@ def alike(rows: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.nd
 
 
 #: Rows of a band's bucket that are compared where they lie; longer buckets are dealt in blocks.
-_BUCKET = 1024
+_BUCKET = 4096
 
 
 def families(spark: SparkSession, tiles: DataFrame, percent: int) -> DataFrame:
@@ -255,21 +255,28 @@ def families(spark: SparkSession, tiles: DataFrame, percent: int) -> DataFrame:
         views = rows[2], rows[3].view(np.uint64), rows[4].view(np.uint64)
         ends = np.concatenate([np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1, [rows.shape[1]]])
         left = ends[np.searchsorted(ends, np.arange(rows.shape[1]), side="right")] - np.arange(rows.shape[1])
-        pairs, step = [], 1
+        label, pairs, step = np.arange(rows.shape[1]), [], 1
         while len(a := np.flatnonzero(left > step)):
-            near = alike(views, a, a + step, percent)
-            pairs.append((a[near], a[near] + step))
+            # What is tied already is not looked at again.
+            a = a[label[a] != label[a + step]]
+            a = a[alike(views, a, a + step, percent)]
+            pairs.append((a, a + step))
+            if step & (step - 1) == 0 or step % 64 == 0:
+                label, pairs = joined(label, pairs), []
             step += 1
-        if not pairs:
+        label = joined(label, pairs)
+        members = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+        if not len(members):
             return [], out, None
-        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        label = labelled(rows.shape[1], a, b)
-        members = np.unique(np.concatenate([a, b]))
         name = np.zeros(rows.shape[1], np.uint64)
         with np.errstate(over="ignore"):
             np.add.at(name, label[members], textscan.mix(rows[1, members].view(np.uint64), 9))
         return [(textscan.mix(name[label[members]]).view(np.int64), rows[1, members])], out, None
 
+    def joined(label: np.ndarray, pairs: list) -> np.ndarray:
+        a, b = (label[np.concatenate(x)] for x in zip(*pairs, strict=True)) if pairs else (label[:0], label[:0])
+        return labelled(len(label), a, b)[label]
+
     def as_batch(found: list, long: list) -> pa.RecordBatch:
         grp = [*(g for g, _ in found), *(x[0] for x in long)]
         node = [*(m for _, m in found), *(x[1] for x in long)]
@@ -378,11 +385,14 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     members = map_text(texts, "grp long, grp_n long, grp_values long, node long, values binary", lines_of, ["wanted", "text"])
     linked = components(spark, verified(members, percent, decode=lambda lines: line_values(lines, width)), "lines-links")
 
-    placed = each.join(linked, "node", "left").select("id", "text_hash", "line", F.coalesce("root", "node").alias("root"))
+    # Only lines that have a copy or a link go further than their count.
     place = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "line")
-    firsts = placed.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = stage(spark, firsts.drop("n"), "lines-firsts")
-    gone = placed.join(firsts, "root").where(~place.eqNullSafe(F.col("first")))
+    counted = each.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
+    busy = counted.join(linked, "node", "left").where("copies > 1 or root is not null")
+    busy = stage(spark, busy.select("node", F.coalesce("root", "node").alias("root"), "first"), "lines-busy")
+    firsts = busy.groupBy("root").agg(F.min("first").alias("first"))
+    firsts = stage(spark, busy.select("node", "root").join(firsts, "root").select("node", "first"), "lines-firsts")
+    gone = each.join(firsts, "node").where(~place.eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(F.array_sort(F.collect_set("line")).alias("removed"))
     gone = stage(spark, gone, "lines-gone")
     match = (F.col("text_hash") == F.col("gone_hash")) & F.col("id").eqNullSafe(F.col("gone_id"))
