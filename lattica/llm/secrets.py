@@ -33,7 +33,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import map_rows
+from lattica.llm.common import map_rows, stage
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -171,7 +171,9 @@ def ranked_words(docs: DataFrame, text_col: str = "text", most: int = 10_000) ->
     word = r"(?<![^\s(])[A-Za-z][a-z]{3,15}(?![^\s,.;:!?)])"
     own = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(word), F.lit(0)))
     counted = docs.select(F.explode(F.transform(own, F.lower)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return COMMON + [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    # Written, so that the partitions' words meet on an executor and only the ranked ones reach the driver.
+    ranked = stage(docs.sparkSession, counted.orderBy(F.desc("n"), "word").limit(most), "secrets-words")
+    return COMMON + [r["word"] for r in sorted(ranked.collect(), key=lambda r: (-r["n"], r["word"]))]
 
 
 def values(text: str) -> Iterator[tuple[re.Match[str], bool]]:
