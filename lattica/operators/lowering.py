@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import terms
+from lattica.functions.staging import stage
 from lattica.functions.terms import CODE, RDF_TYPE
 from lattica.model import BASE, KINDS, WIDER
 from lattica.operators.extract import module_imports, resolved_calls
@@ -158,7 +159,7 @@ def relation_triples(entities: DataFrame) -> DataFrame:
 
     A relation belongs to the file of its source, its opposite too.
     """
-    edges = relation_edges(entities).withColumn("file_path", owner(F.col("src")))
+    edges = stage(entities.sparkSession, relation_edges(entities).withColumn("file_path", owner(F.col("src"))), "lowered-edges")
     names = {"accesses": "references"}
     label = F.coalesce(*[F.when(F.col("relationship") == k, F.lit(code(v))) for k, v in names.items()], F.concat(F.lit(f"<{CODE}"), "relationship", F.lit(">")))
     forward = edges.select("file_path", _uri("src").alias("s"), label.alias("p"), _uri("dst").alias("o"))
@@ -177,7 +178,8 @@ def relation_triples(entities: DataFrame) -> DataFrame:
 
 def lower_by_file(entities: DataFrame) -> DataFrame:
     """All triples of entities with the file that each belongs to: (file_path, s, p, o), as a set."""
-    entities = first_by_uri(entities)
+    # Written: nearly every part below reads them.
+    entities = stage(entities.sparkSession, first_by_uri(entities), "lowered-entities")
     return node_triples(entities).unionByName(relation_triples(entities)).distinct()
 
 

@@ -391,7 +391,10 @@ class Compiler:
                 same = same | b.isNull()
             out = out & same
         if filters:
-            names = {v: left.value(v) for v in left.bound} | {v: right.value(v) for v in right.bound if v not in (renamed or pairs).values()}
+            shared = renamed or pairs
+            names = {v: left.value(v) for v in left.bound} | {v: right.value(v) for v in right.bound if v not in shared.values()}
+            # What the left side leaves unbound is bound by the right one.
+            names |= {v: Value(F.coalesce(left.col(v), right.col(w)), "term") for v, w in shared.items() if not left.bound[v]}
             for expr in filters:
                 out = out & F.coalesce(self.value(expr, names).truth(), F.lit(False))
         return out
