@@ -217,14 +217,6 @@ _template("unused_functions", f"WITH {CALLS} SELECT {_supplier('s_suppkey')} AS
 _template("high_complexity_functions", f"WITH {CALLS} SELECT {_supplier('src')} AS function, s_name AS functionName, count(*)::VARCHAR AS callCount FROM calls JOIN supplier ON s_suppkey = src GROUP BY src, s_name HAVING count(*) > 1", complexity_threshold=1)
 
 
-@query(f"WITH {CALLS} SELECT {_supplier('src')} AS caller, f.s_name AS callerName FROM calls JOIN supplier f ON f.s_suppkey = src JOIN supplier t ON t.s_suppkey = dst WHERE t.s_name = (SELECT s_name FROM supplier WHERE s_suppkey = 1)")
-def sentence_functions_calling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _code_graph(spark, sf_dir)
-    name = star.table(spark, sf_dir, "supplier").where("s_suppkey = 1").select("s_name").first()[0]
-    found = templates._by_name("Function", "calls", name, "caller", "callerName")
-    return sparql(graph, found)
-
-
 # Paths and analytics.
 @query(f"WITH RECURSIVE {CLOSED} SELECT src, dst FROM closed")
 def closure_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,12 +269,6 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.round("score", 9).alias("score"))
 
 
-@query()
-def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = analytics.betweenness(star.call_edges(spark, sf_dir), star.suppliers(spark, sf_dir))
-    return found.select("id", F.round("score", 9).alias("score"))
-
-
 @query(
     f"WITH {CALLS}, w AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS w FROM named GROUP BY 1, 2), sym AS (SELECT a AS x, b AS y, w FROM w UNION ALL SELECT b, a, w FROM w), "
     "tri AS (SELECT p.x AS id, sum(p.w * q.w * r.w) / 2.0 AS t FROM sym p JOIN sym q ON q.x = p.y JOIN sym r ON r.x = q.y AND r.y = p.x GROUP BY p.x), deg AS (SELECT x AS id, sum(w) AS d, sum(CASE WHEN w = 2 THEN 1 ELSE 0 END) AS m FROM sym GROUP BY x) "
@@ -356,12 +342,6 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.line_calls(_page_lines(spark, sf_dir)).groupBy("callee").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT page_id, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), 'href=\"([^\"]+)\"', 1))) AS module_path FROM pages")
-def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = star.table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))).alias("module_path"))
-
-
 @query(f"WITH {_LINES}, words AS (SELECT DISTINCT file, line, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM lines), decl AS (SELECT file, unnest(regexp_extract_all(text, '\\b(?:const|let|var)\\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1)) AS name, line FROM lines), first AS (SELECT file, name, min(line) AS declared FROM decl GROUP BY 1, 2) SELECT file, name, declared::BIGINT AS declared, line::BIGINT AS used FROM words JOIN first USING (file, name) WHERE line >= declared")
 def declared_before_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = semantic.declared_before_use(_page_lines(spark, sf_dir))
@@ -377,20 +357,6 @@ def nearest_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.nearest(wanted, known, ["user_id"]).select("id", F.col("uri").alias("nearest"))
 
 
-@query("SELECT l_orderkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity) AS k FROM lineitem) WHERE k = 1")
-def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = star.table(spark, sf_dir, "lineitem")
-    first = F.min(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_quantity")).alias("x")
-    return lines.groupBy("l_orderkey").agg(first).select("l_orderkey", "x.l_suppkey", "x.l_quantity")
-
-
-@query("SELECT l_orderkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_suppkey DESC, l_partkey DESC, l_quantity DESC) AS k FROM lineitem) WHERE k = 1")
-def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = star.table(spark, sf_dir, "lineitem")
-    last = F.max(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_quantity")).alias("x")
-    return lines.groupBy("l_orderkey").agg(last).select("l_orderkey", "x.l_suppkey", "x.l_quantity")
-
-
 # Triples and their changes.
 _TRIPLES = (
     f"t AS (SELECT '<{KG}customer/' || c_custkey || '>' AS s, '{terms.RDF_TYPE}' AS p, '<{KG}Customer>' AS o FROM customer UNION ALL SELECT '<{KG}customer/' || c_custkey || '>', '<{KG}name>', '\"' || c_name || '\"' FROM customer "

@@ -202,12 +202,13 @@ class PropertyStore:
         kind = json.loads(self.files.read(f"{target}/metadata.json"))["format"]
         if kind == "parquet":
             self._set(self.spark.read.parquet(f"{target}/vertices"), self.spark.read.parquet(f"{target}/edges"))
-        elif kind == "graphml":
-            vertices, edges = property_graph.read_graphml(self.spark, f"{target}/graph")
-            own = [F.col("attrs")[c].alias(c) for c in ("name", "type", "location")]
-            self._set(vertices.select("id", *own, F.col("attrs")["line_number"].cast("int").alias("line_number"), "attrs"), edges.select("src", "dst", F.col("attrs")["relationship"].alias("relationship"), F.col("attrs")["type"].alias("type")))
         else:
-            self._set(*property_graph.read_gexf(self.spark, f"{target}/graph"))
+            read = property_graph.read_graphml if kind == "graphml" else property_graph.read_gexf
+            vertices, edges = read(self.spark, f"{target}/graph")
+            name = F.col("attrs")["name"] if kind == "graphml" else F.col("name")
+            own = [name.alias("name"), *(F.col("attrs")[c].alias(c) for c in ("type", "location"))]
+            label = F.col("attrs")["relationship"] if kind == "graphml" else F.col("relationship")
+            self._set(vertices.select("id", *own, F.col("attrs")["line_number"].cast("int").alias("line_number"), "attrs"), edges.select("src", "dst", label.alias("relationship"), F.col("attrs")["type"].alias("type")))
         return True
 
     def match(self, pattern: GraphPattern) -> DataFrame:

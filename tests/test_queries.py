@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from lattica import code_queries  # noqa: F401
 from lattica.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
