@@ -182,10 +182,11 @@ def train(docs: DataFrame, rows: int = 300, languages: int = 64, id_col: str = "
     return Model(x, langs)
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, least_score: float = 0.0) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, least_score: float = 0.0, wanted: tuple[str, ...] | None = None) -> DataFrame:
     """The id with lang_pred and score; or, with ``keep``, those columns of the rows that are not rejected.
 
-    Rejected are ``und`` and what scores below ``least_score``.
+    Rejected are ``und``, languages that are not ``wanted`` (all learned ones
+    where it is None), and what scores below ``least_score``.
     """
     names = np.array(model.langs if model else [], dtype=object)
     out = keep or [id_col]
@@ -201,7 +202,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 lang[lettered], score[lettered] = names[best[lettered]], sure[lettered]
             rows = batch.slice(first, last - first).select(out)
             if keep:
-                yield rows.filter(pa.array((lang != "und") & (score >= least_score)))
+                own = lang != "und" if wanted is None else np.isin(lang.astype(str), wanted)
+                yield rows.filter(pa.array(own & (score >= least_score)))
             else:
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang.tolist(), pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 

@@ -290,8 +290,8 @@ def test_emitted_copies_are_the_mixtures(spark, small, monkeypatch):
 def brute_pipeline(spark, data):
     """The pipeline's rows by plain forms of its stages; languages by the trained model, row by row."""
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    named = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.train(docs)).collect()}
-    rows = [r.asDict() for r in docs.collect() if named[r["doc_id"]] != "und"]
+    named = {r["doc_id"]: r for r in langid.identify(docs, langid.train(docs)).collect()}
+    rows = [r.asDict() for r in docs.collect() if named[r["doc_id"]]["lang_pred"] != "und" and named[r["doc_id"]]["score"] >= 0.6]
     gone, count = brute_lines([(r["doc_id"], r["text"]) for r in rows])
     for k, r in enumerate(rows):
         r["text"] = linededup.without(r["text"], gone[k]) if gone[k] else r["text"]
@@ -327,6 +327,33 @@ def test_pipeline_against_brute_force(spark, data):
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == brute_pipeline(spark, data)
 
 
+def test_language_stage_rejects(spark):
+    """Texts in no language, in none that is wanted, and those that could be in two."""
+    import random
+
+    rng = random.Random(1)
+    words = {"aa": ["alpha", "amber", "arrow", "anchor"], "zz": ["zonk", "zulu", "zest", "zirkon"]}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(20)), lang, "s", 1) for k in range(200) for lang in [("aa", "zz")[k % 2]]]
+    rows += [(1001, "12345 !!", "aa", "s", 1), (1002, None, "aa", "s", 1), (1003, "alpha zonk " * 30 + "amber zulu " * 30, None, "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.train(docs)
+    score = {r["doc_id"]: r["score"] for r in langid.identify(docs, model).collect()}
+    left = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert left == {k for k, s in score.items() if s >= 0.6 and k not in (1001, 1002)} and set(range(200)) <= left
+    only = langid.identify(docs, model, keep=docs.columns, wanted=("aa",)).collect()
+    assert {r["lang"] for r in only if r["doc_id"] < 200} == {"aa"}
+    assert langid.identify(docs, model, keep=docs.columns, least_score=1.01).count() == 0
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (None, None, None, None, None), (1, "", None, "a", 0), (2, "x" * 300_000, "en", None, 1), (3, "some words here", "en", "a", 1), (3, "some words here", "en", "a", 1), (4, " " * 300_000 + "z", "de", "b", 1)]])
+def test_pipeline_of_odd_tables(spark, data, tmp_path, rows):
+    extra = spark.createDataFrame(rows, SCHEMA).withColumns({name: F.lit("x") for name in ("copies", "copy", "removed", "text_hash", "first_row", "text_key", "same")})
+    extra.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.columns == extra.columns and {r["doc_id"] for r in found.collect()} <= {2, 3, 4}
+
+
 def test_stages_keep_columns(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(30)
     for name, step in corpus_pipeline.STAGES:
