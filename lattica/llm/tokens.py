@@ -9,7 +9,10 @@ queue gives.
 
 Defined cases: a null text counts as empty, which has no bytes and no tokens;
 the string of a special token inside a text is one token, as the library reads
-it by default.
+it by default; of pairs of one rank, which overlap, the left one is merged
+first; a text of any length is counted whole; rows that repeat an id or a text
+give a row each; an empty table gives an empty result; only the id and the text
+are read, so other columns may have any names.
 """
 
 from __future__ import annotations
