@@ -393,6 +393,21 @@ def semantic_cross_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.cross_file(semantic.resolve(_references(spark, sf_dir), found), known).select("file_path", "defined_in")
 
 
+@query(f"WITH {SRC} SELECT {_WORK} AS source_uri, {_TO_SAVE} AS target_uri, 'calls' AS reference_type FROM src UNION ALL SELECT {_BOX}, {_BOX}, 'references' FROM src")
+def semantic_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A server's symbols, uses and calls, resolved to entities; a class is named where it stands."""
+    keyed = sources(spark, sf_dir).select(F.col("path").alias("file_path"), F.regexp_extract("path", r"f(\d+)", 1).alias("k"), F.regexp_extract("content", r"from './f(\d+)'", 1).alias("d"))
+    rows = [F.struct(F.concat(F.lit(name), "k").alias("name"), F.lit(kind).alias("kind"), F.lit(line).alias("line"), F.lit(column).alias("column")) for name, kind, line, column in (("work", 12, 4, 22), ("Box", 5, 10, 13), ("box", 13, 16, 6))]
+    symbols = keyed.select("file_path", F.explode(F.array(*rows)).alias("x")).select("file_path", "x.*")
+    work, box = (semantic.symbol_key(F.col("file_path"), F.concat(F.lit(name), "k"), F.lit(line), F.lit(column)) for name, line, column in (("work", 5, 22), ("Box", 11, 13)))
+    outgoing = keyed.select(work.alias("key"), F.concat(F.lit("src/f"), "d", F.lit(".ts")).alias("to_file"), F.concat(F.lit("save"), "d").alias("to_name"), F.lit(8).alias("to_line"), F.lit(9).alias("to_column"))
+    uses = keyed.select(box.alias("key"), "file_path", F.lit(10).alias("line"))
+    found = semantic.sweep(symbols, uses, outgoing)
+    # A use has no name of its own: the class on its line stands for it.
+    found = found.withColumn("source_uri", F.when(F.col("reference_type") == "references", F.col("target_uri")).otherwise(F.col("source_uri")))
+    return semantic.resolve(found, entities(spark, sf_dir)).select("source_uri", "target_uri", "reference_type")
+
+
 @query("WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey // 3 AS parent FROM part WHERE p_partkey > 0), tree AS (SELECT 0::BIGINT AS id, 0 AS level UNION ALL SELECT t.id, tree.level + 1 FROM tree JOIN t ON t.parent = tree.id) SELECT id::VARCHAR AS id, level FROM tree")
 def symbol_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as symbols: a third of a key is the symbol above it."""
@@ -465,6 +480,16 @@ def store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.triples.select("s", "p", "o")
 
 
+def upkeep(spark: SparkSession, sf_dir: str) -> dict:
+    """Seconds and files rewritten of a whole build, and of an update after one file changed."""
+    texts = stage(spark, sources(spark, sf_dir), "upkeep-files")
+    updater = Updater(spark, f"{shared_dir(spark)}/upkeep-{uuid.uuid4().hex}", lambda wanted: texts.join(wanted.select(F.col("file_path").alias("path")), "path", "left_semi"))
+    change = texts.select(F.col("path").alias("file_path"), F.lit("created").alias("event_type"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.sha2("content", 256).alias("content_hash"))
+    full = updater.apply(change, 0)
+    one = updater.apply(change.where("file_path = 'src/f1.ts'").withColumn("content_hash", F.lit("other")), 1)
+    return {"files": full.files_processed, "full_seconds": round(full.seconds, 3), "update_seconds": round(one.seconds, 3), "files_touched": one.affected_files}
+
+
 def _updated(spark: SparkSession, sf_dir: str) -> Updater:
     """All files taken in, then one changed and one deleted."""
     files_now = sources(spark, sf_dir)

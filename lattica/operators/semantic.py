@@ -40,6 +40,39 @@ def flatten_symbols(symbols: DataFrame, depth: int | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+#: A server's numbers for kinds of symbols that are definitions here.
+SYMBOL_KINDS = {5: "class", 6: "method", 11: "interface", 12: "function"}
+
+
+def definitions(symbols: DataFrame) -> DataFrame:
+    """(key, kind, file_path, name, line_number, column_number) of a server's symbols.
+
+    ``symbols`` has file_path, name, kind (the server's number), line and column
+    counted from 0; other kinds than those of ``SYMBOL_KINDS`` are left out.
+    """
+    names = F.create_map(*[x for k, v in SYMBOL_KINDS.items() for x in (F.lit(k), F.lit(v))])
+    line = (F.col("line") + 1).cast("int")
+    known = symbols.where(F.col("kind").isin(list(SYMBOL_KINDS)))
+    key = symbol_key(F.col("file_path"), F.col("name"), line, F.col("column"))
+    return known.select(key.alias("key"), names[F.col("kind")].alias("kind"), "file_path", "name", line.alias("line_number"), F.col("column").cast("int").alias("column_number")).distinct()
+
+
+def sweep(symbols: DataFrame, uses: DataFrame, outgoing: DataFrame) -> DataFrame:
+    """References (source_uri, target_uri, reference_type, file_path, line_number, context) from a server's answers.
+
+    ``uses`` (key, file_path, line) are the places where a definition is named,
+    ``outgoing`` (key, to_file, to_name, to_line, to_column) the calls that
+    leave it.  Answers for what is no definition are left out; a use's source is
+    the place itself.
+    """
+    known = definitions(symbols).select("key", F.col("file_path").alias("own_file"), F.col("line_number").alias("own_line"))
+    line = (F.col("line") + 1).cast("int")
+    named = uses.join(known, "key").select(symbol_key(F.col("file_path"), F.lit(""), line, F.lit(0)).alias("source_uri"), F.col("key").alias("target_uri"), F.lit("references").alias("reference_type"), "file_path", line.alias("line_number"), F.lit("").alias("context"))
+    target = symbol_key(F.col("to_file"), F.col("to_name"), (F.col("to_line") + 1).cast("int"), F.col("to_column"))
+    called = outgoing.join(known, "key").select(F.col("key").alias("source_uri"), target.alias("target_uri"), F.lit("calls").alias("reference_type"), F.col("own_file").alias("file_path"), F.col("own_line").alias("line_number"), F.lit("").alias("context"))
+    return named.unionByName(called).distinct()
+
+
 def cross_file(references: DataFrame, definitions: DataFrame) -> DataFrame:
     """References whose target is defined in another file."""
     known = definitions.select(F.col("key").alias("target_uri"), F.col("file_path").alias("defined_in"))

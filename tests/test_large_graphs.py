@@ -22,3 +22,13 @@ def test_betweenness_by_blocks_of_sources(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "c")], "src string, dst string")
     shares = analytics.dependencies_loop(edges, edges.select("src"), pairs=5)
     assert {r["id"]: r["share"] for r in shares.where(F.col("share") > 0).collect()} == {"c": 2.0}
+
+
+def test_pagerank_by_joins(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for _ in range(30)], "src string, dst string")
+    vertices = spark.createDataFrame([(f"n{k}",) for k in range(13)], "id string")
+    small = {r["id"]: r["score"] for r in analytics.pagerank(edges, vertices, iterations=4, tolerance=0.0).collect()}
+    monkeypatch.setattr(analytics.paths, "SMALL", 1)
+    large = {r["id"]: r["score"] for r in analytics.pagerank(edges, vertices, iterations=4, tolerance=0.0).collect()}
+    assert large == pytest.approx(small) and sum(large.values()) == pytest.approx(1)
