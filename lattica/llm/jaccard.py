@@ -209,13 +209,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     spark = docs.sparkSession
     columns = docs.columns
     found = stage(spark, linked(docs, id_col, text_col, width, percent), "jaccard-found")
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")
-    names = found.where("n > 0").groupBy("component").agg(F.min(order).alias("first"))
-    names = names.select(F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"))
-    keep_id, keep_hash = private(columns, "keep_id", "keep_hash")
-    names = stage(spark, names.select(F.col("id").alias(keep_id), F.col("text_hash").alias(keep_hash)), "jaccard-kept")
-    bare = found.where("n = 0").select(F.col("id").alias(keep_id), F.col("text_hash").alias(keep_hash)).distinct()
+    rows = found.where("n > 0").groupBy("component", "id", "text_hash").agg(F.count(F.lit(1)).alias("same"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "same")).alias("first")
+    names = rows.groupBy("component").agg(first).select("first.id", "first.text_hash", "first.same")
+    # Rows without words are kept whatever their number.
+    bare = found.where("n = 0").select("id", "text_hash").distinct().withColumn("same", F.lit(1).cast("long"))
+    keep_id, keep_hash, same = private(columns, "keep_id", "keep_hash", "same")
+    kept = stage(spark, names.unionByName(bare).toDF(keep_id, keep_hash, same), "jaccard-kept")
     match = (F.xxhash64(docs[text_col]) == F.col(keep_hash)) & docs[id_col].eqNullSafe(F.col(keep_id))
-    hit = docs.join(names.hint("shuffle_hash"), match)
-    kept = hit.dropDuplicates([keep_hash, keep_id]).select(*columns)
-    return kept.unionByName(docs.join(bare.hint("shuffle_hash"), match, "left_semi"))
+    out = docs.join(kept.where(F.col(same) == 1).hint("shuffle_hash"), match).select(*columns)
+    alike = kept.where(F.col(same) > 1)
+    if alike.isEmpty():
+        return out
+    return out.unionByName(docs.join(alike, match).dropDuplicates([keep_hash, keep_id]).select(*columns))
