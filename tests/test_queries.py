@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lattica import code_queries  # noqa: F401
+from lattica import code_queries
 from lattica.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,6 +25,25 @@ def duck(data):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def lowered_once():
+    """The generated code is extracted and lowered once for all queries over it."""
+    made, patch = {}, pytest.MonkeyPatch()
+
+    def once(name, own):
+        def call(spark, sf_dir):
+            if name not in made:
+                made[name] = own(spark, sf_dir)
+            return made[name]
+
+        return call
+
+    for name in ("entities", "graph"):
+        patch.setattr(code_queries, name, once(name, getattr(code_queries, name)))
+    yield
+    patch.undo()
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, data, duck, name):
     df = QUERIES[name](spark, data)
