@@ -291,7 +291,7 @@ def brute_pipeline(spark, data):
     """The pipeline's rows by plain forms of its stages; languages by the trained model, row by row."""
     docs = spark.read.parquet(f"{data}/documents.parquet")
     named = {r["doc_id"]: r for r in langid.identify(docs, langid.train(docs)).collect()}
-    rows = [r.asDict() for r in docs.collect() if named[r["doc_id"]]["lang_pred"] != "und" and named[r["doc_id"]]["score"] >= 0.6]
+    rows = [r.asDict() for r in docs.collect() if named[r["doc_id"]]["lang_pred"] != "und" and named[r["doc_id"]]["score"] >= corpus_pipeline.LEAST_SCORE]
     gone, count = brute_lines([(r["doc_id"], r["text"]) for r in rows])
     for k, r in enumerate(rows):
         r["text"] = linededup.without(r["text"], gone[k]) if gone[k] else r["text"]
@@ -339,7 +339,7 @@ def test_language_stage_rejects(spark):
     model = langid.train(docs)
     score = {r["doc_id"]: r["score"] for r in langid.identify(docs, model).collect()}
     left = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
-    assert left == {k for k, s in score.items() if s >= 0.6 and k not in (1001, 1002)} and set(range(200)) <= left
+    assert left == {k for k, s in score.items() if s >= corpus_pipeline.LEAST_SCORE and k not in (1001, 1002)} and set(range(200)) <= left
     only = langid.identify(docs, model, keep=docs.columns, wanted=("aa",)).collect()
     assert {r["lang"] for r in only if r["doc_id"] < 200} == {"aa"}
     assert langid.identify(docs, model, keep=docs.columns, least_score=1.01).count() == 0
