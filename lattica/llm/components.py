@@ -201,7 +201,8 @@ def divided(tiles: DataFrame, keys: DataFrame | None) -> tuple[DataFrame, DataFr
     if keys is None:
         return tiles, None
     own = tiles.join(F.broadcast(keys), "key")
-    own = own.groupBy("key", "node").agg(*[F.first(c).alias(c) for c in tiles.columns if c not in ("key", "node")])
+    more = [F.first(c).alias(c) for c in tiles.columns if c not in ("key", "node")]
+    own = own.groupBy("key", "node").agg(*more) if more else own.distinct()
     sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     return tiles.join(F.broadcast(keys), "key", "left_anti"), own.join(F.broadcast(sizes), "key")
 

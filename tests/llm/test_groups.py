@@ -143,10 +143,14 @@ def test_tiles_of_similar_sets_meet():
                     assert set(jaccard.tile_keys(a, percent).tolist()) & set(jaccard.tile_keys(b, percent).tolist()), (percent, n)
 
 
-def test_large_groups_in_blocks(spark):
-    """A group beyond one block gives the same components as all pairs."""
+@pytest.mark.parametrize("seen", [64, 5])
+def test_large_groups_in_blocks(spark, monkeypatch, seen):
+    """A group beyond one block gives the same components as all pairs, its tiles dealt from the start too."""
     import random
 
+    monkeypatch.setattr(components, "SHARE", 64 // seen)
+    monkeypatch.setattr(components, "SEEN", seen)
+
     rng = random.Random(1)
     base = [f"w{k}" for k in range(120)]
     rows = []
