@@ -225,8 +225,7 @@ def closure_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {CLOSED} SELECT src, dst FROM closed")
 def closure_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = stage(spark, star.call_edges(spark, sf_dir), "calls")
-    return paths.closure_loop(edges, edges)
+    return paths.closure_loop(stage(spark, star.call_edges(spark, sf_dir), "calls"))
 
 
 @query(f"WITH RECURSIVE {CLOSED} SELECT src, dst FROM closed WHERE dst = 's1'")
