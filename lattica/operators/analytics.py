@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,7 +203,7 @@ def betweenness(edges: DataFrame, vertices: DataFrame, limit: int = paths.SMALL)
     edges = stage(edges.sparkSession, edges.select("src", "dst").distinct(), "betweenness-edges")
     sources = vertices.select(F.col("id").alias("src"))
     if at_most(edges, limit):
-        shares = paths.per_source(sources, paths.adjacency(edges), "id string, share double", _dependencies)
+        shares = paths.walked(sources, paths.coded(edges), "id string, share double", _dependencies)
     else:
         shares = dependencies_loop(edges, sources)
     n = vertices.agg(F.count(F.lit(1)).alias("n"))
@@ -242,29 +242,43 @@ def dependencies_loop(edges: DataFrame, sources: DataFrame, pairs: int = PAIRS)
     return reduce(DataFrame.union, done)
 
 
-def _dependencies(graph: dict[str, list[str]], source: str) -> Iterator[tuple[str, float]]:
-    """What every node passes on of the shortest paths from ``source``."""
-    order: list[str] = []
-    before: dict[str, list[str]] = {source: []}
-    count, hops = {source: 1.0}, {source: 0}
-    queue = deque([source])
-    while queue:
-        node = queue.popleft()
-        order.append(node)
-        for nxt in graph.get(node, ()):
-            if nxt not in hops:
-                hops[nxt] = hops[node] + 1
-                count[nxt], before[nxt] = 0.0, []
-                queue.append(nxt)
-            if hops[nxt] == hops[node] + 1:
-                count[nxt] += count[node]
-                before[nxt].append(node)
-    share = dict.fromkeys(order, 0.0)
-    for node in reversed(order):
-        for prior in before[node]:
-            share[prior] += count[prior] / count[node] * (1 + share[node])
-        if node != source and share[node]:
-            yield node, share[node]
+def _dependencies(names: list[str], after: list[list[int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What every node passes on of the shortest paths from the sources of one task."""
+    number, total = {name: k for k, name in enumerate(names)}, [0.0] * len(names)
+    for batch in batches:
+        for source in batch.column(0).to_pylist():
+            if source in number:
+                _pass_on(after, number[source], total)
+    some = [k for k, share in enumerate(total) if share]
+    yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in some], pa.string()), pa.array([total[k] for k in some], pa.float64())], names=["id", "share"])
+
+
+def _pass_on(after: list[list[int]], source: int, total: list[float]) -> None:
+    """Adds what every node passes on of the shortest paths from ``source``."""
+    level, seen = {source: 1.0}, {source}
+    levels: list[dict[int, float]] = []
+    while level:
+        # Paths to each node of the next level.
+        further: dict[int, float] = {}
+        for node, count in level.items():
+            for nxt in after[node]:
+                if nxt not in seen:
+                    further[nxt] = further.get(nxt, 0.0) + count
+        seen.update(further)
+        levels.append(further)
+        level = further
+    each: dict[int, float] = {}
+    for level in reversed(levels):
+        passed: dict[int, float] = {}
+        for node, count in level.items():
+            share = 0.0
+            for nxt in after[node]:
+                if nxt in each:
+                    share += each[nxt]
+            share *= count
+            total[node] += share
+            passed[node] = (1 + share) / count
+        each = passed
 
 
 def centrality(edges: DataFrame, vertices: DataFrame, kind: str = "betweenness") -> DataFrame:
