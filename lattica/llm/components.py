@@ -86,9 +86,12 @@ def forest(maps: np.ndarray, sizes: np.ndarray, sides: np.ndarray, cross: bool,
     """
     order = np.argsort(sizes, kind="stable")
     maps, sizes, sides = maps[order], sizes[order], sides[order]
-    tree, out = np.arange(len(order)), []
+    tree, out, apart = np.arange(len(order)), [], len(order) - 1
     ends = np.searchsorted(sizes, sizes * 100 // percent, side="right")
     for a in range(len(order)):
+        if not apart:
+            # All rows are connected, so no pair can add a link.
+            break
         b = np.arange(a + 1, ends[a])
         b = b[tree[b] != tree[a]]
         if cross:
@@ -105,6 +108,7 @@ def forest(maps: np.ndarray, sizes: np.ndarray, sides: np.ndarray, cross: bool,
             if tree[a] != tree[k] and (holds is None or holds(int(order[a]), int(order[k]), least)):
                 tree[tree == tree[k]] = tree[a]
                 out.append((int(order[a]), int(order[k])))
+                apart -= 1
     return out
 
 
@@ -161,8 +165,8 @@ def in_blocks(rows: DataFrame, size: Column, weight: Column, settle: Callable[[b
     return dealt.mapInArrow(work, "grp long, a long, b long")
 
 
-def verified(members: DataFrame, percent: int, decode: Callable[[list[bytes]], list[np.ndarray]] = as_hashes) -> DataFrame:
-    """Links (a, b) between the members of each group.
+def verified(members: DataFrame, percent: int, decode: Callable[[list[bytes]], list[np.ndarray]] = as_hashes, **dealing: int) -> DataFrame:
+    """Links (a, b) between the members of each group; ``dealing`` are the sizes of :func:`in_blocks`.
 
     ``members`` has grp, grp_n (members), grp_values (values in all their
     sets), node and values (bytes that ``decode`` makes sorted arrays of).
@@ -172,7 +176,7 @@ def verified(members: DataFrame, percent: int, decode: Callable[[list[bytes]], l
         found = links([values for _, _, values in rows], np.array([own for own, _, _ in rows]), cross, percent)
         return [(rows[a][1], rows[b][1]) for a, b in found]
 
-    return in_blocks(members, F.col("grp_n"), F.col("grp_values") * 8, settle, decode).select("a", "b")
+    return in_blocks(members, F.col("grp_n"), F.col("grp_values") * 8, settle, decode, **dealing).select("a", "b")
 
 
 #: One node in ``SHARE`` is looked at to find long tiles; a tile with ``SEEN`` of them is long, and at most ``MOST_LONG`` tiles are.

@@ -201,6 +201,8 @@ def alike(rows: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.nd
 
 #: Rows of a band's bucket that are compared where they lie; longer buckets are dealt in blocks.
 _BUCKET = 4096
+#: Lines are short, so their blocks hold more rows than others, and each line is copied to fewer of them.
+_DEALING = {"block": 256, "spread": 8, "block_rows": 4096}
 
 
 def families(spark: SparkSession, tiles: DataFrame, percent: int) -> DataFrame:
@@ -299,15 +301,18 @@ def families(spark: SparkSession, tiles: DataFrame, percent: int) -> DataFrame:
         tied = np.zeros(len(node), dtype=bool)
         # Every row against the one ``step`` places on; a node that has a partner belongs.
         for step in range(1, len(node)):
-            a = np.arange(len(node) - step)
-            a = a[~(tied[a] & tied[a + step])]
+            # Pairs with a row that is not tied yet: fewer the more are.
+            free = np.flatnonzero(~tied)
+            if not len(free):
+                break
+            a = np.union1d(free[free < len(node) - step], free[free >= step] - step)
             a = a[own[a] != own[a + step]] if cross else a
             a = a[alike(views, a, a + step, percent)]
             tied[a] = tied[a + step] = True
         return [(n, n) for n in node[tied].tolist()]
 
     rest = rest.where("size > 1").select(F.col("key").alias("grp"), F.col("size").alias("grp_n"), "node", "n", "low", "high")
-    dealt = in_blocks(rest, F.col("grp_n"), F.lit(0), settle)
+    dealt = in_blocks(rest, F.col("grp_n"), F.lit(0), settle, **_DEALING)
     dealt = dealt.select("grp", F.col("a").alias("node"))
     return done.where("not long").select(F.col("key").alias("grp"), "node").unionByName(dealt).distinct()
 
@@ -383,7 +388,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     # Shuffled at every size, so that what is moved follows the input.
     texts = hashed.join(wanted.hint("merge"), (F.col("text_hash") == F.col("one_hash")) & F.col("id").eqNullSafe(F.col("one_id")))
     members = map_text(texts, "grp long, grp_n long, grp_values long, node long, values binary", lines_of, ["wanted", "text"])
-    linked = components(spark, verified(members, percent, decode=lambda lines: line_values(lines, width)), "lines-links")
+    linked = components(spark, verified(members, percent, decode=lambda lines: line_values(lines, width), **_DEALING), "lines-links")
 
     # Only lines that have a copy or a link go further than their count.
     place = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "line")
