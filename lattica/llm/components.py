@@ -183,16 +183,17 @@ def verified(members: DataFrame, percent: int, decode: Callable[[list[bytes]], l
 SHARE, SEEN, MOST_LONG = 64, 64, 100_000
 
 
-def long_tiles(spark: SparkSession, tiles: DataFrame, name: str) -> DataFrame | None:
+def long_tiles(spark: SparkSession, tiles: DataFrame, name: str, whole: bool = True) -> DataFrame | None:
     """(key) of the tiles with many rows, or None where there are none.
 
     Rows are counted with partial aggregates over the nodes whose hash falls in
-    one of ``SHARE`` parts.  The bound on a long tile rises with the table until
+    one of ``SHARE`` parts; ``tiles`` that are not ``whole`` hold no others.  The bound on a long tile rises with the table until
     there are at most ``MOST_LONG`` of them, so the table can be broadcast and
     what isn't in it is no longer than the rows over ``MOST_LONG``.  Being long
     only says how a tile is dealt, not what is found in it.
     """
-    counts = tiles.where(F.pmod(F.xxhash64("node"), F.lit(SHARE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    some = tiles.where(F.pmod(F.xxhash64("node"), F.lit(SHARE)) == 0) if whole else tiles
+    counts = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     counts = stage(spark, counts.where(F.col("n") >= SEEN), f"{name}-long")
     least = SEEN
     while (found := counts.where(F.col("n") >= least).count()) > MOST_LONG:

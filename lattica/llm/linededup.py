@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.llm import components as grouping
 from lattica.llm import textscan
 from lattica.llm.common import map_text, private, ship, slices, stage, text_column
 from lattica.llm.components import components, divided, in_blocks, labelled, long_tiles, verified
@@ -43,6 +44,7 @@ _LOW = np.uint64((1 << _HASH_BITS) - 1)
 #: Bytes of text handled at once: small enough for a core's cache.
 _CHUNK = 1 << 17
 _lower: list[np.ndarray] = []
+_order: list[np.ndarray] = []
 
 
 def _lowered(text: bytes) -> np.ndarray:
@@ -137,10 +139,30 @@ def _short(codes: np.ndarray) -> np.uint64:
 
 def line_values(lines: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
     """The sorted shingle hashes of each line, given without outer white space."""
-    sizes = np.array([len(line) for line in lines], dtype=np.int64)
-    # Lines without a word take no part, so each line given is one.
-    sets = LineSets(np.frombuffer(b"".join(lines), dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)]), width)
-    return [own[a:b] for own, bounds in zip(sets.values, sets.value_bounds, strict=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    offsets = np.concatenate([[0], np.cumsum(np.array([len(line) for line in lines], dtype=np.int64))])
+    raw, out, first = np.frombuffer(b"".join(lines), dtype=np.uint8), [], 0
+    while first < len(lines):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _CHUNK, side="right")) - 1)
+        # Lines without a word take no part, so each line given is one.
+        sets = LineSets(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], width)
+        out += [own[a:b] for own, bounds in zip(sets.values, sets.value_bounds, strict=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        first = last
+    return out
+
+
+def _sources() -> np.ndarray:
+    """The bins that an empty bin is filled from, one column for each bin: a fixed sequence without its repetitions."""
+    if not _order:
+        spot = np.arange(_BINS, dtype=np.uint64)
+        order, seen, attempt = [[] for _ in range(_BINS)], 0, 0
+        while seen < _BINS * _BINS:
+            attempt += 1
+            for own, source in zip(order, (textscan.mix(spot, attempt) % np.uint64(_BINS)).tolist(), strict=True):
+                if source not in own:
+                    own.append(source)
+                    seen += 1
+        _order.append(np.array(order).T.copy())
+    return _order[0]
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -152,18 +174,22 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     first = np.concatenate([[True], cell[1:] != cell[:-1]])
     out = np.full(n * _BINS, _EMPTY, dtype=np.uint64)
     out[cell[first]] = values[first]
-    sparse = out.copy()
+    table = out.reshape(n, _BINS)
+    # A single value stands in all bins.
+    full = np.bincount(line[first], minlength=n)
+    alone = np.flatnonzero(full == 1)
+    table[alone] = table[alone].min(axis=1)[:, None]
     empty = np.flatnonzero(out == _EMPTY)
-    attempt = 0
-    while len(empty):
-        attempt += 1
+    sparse, order = out.copy(), _sources()
+    for turn in range(_BINS):
+        if not len(empty):
+            break
         spot = empty % _BINS
-        source = (textscan.mix(spot.astype(np.uint64), attempt) % np.uint64(_BINS)).astype(np.int64)
-        found = sparse[empty - spot + source]
+        found = sparse[empty - spot + order[turn][spot]]
         hit = found != _EMPTY
         out[empty[hit]] = found[hit]
         empty = empty[~hit]
-    return out.reshape(n, _BINS)
+    return table
 
 
 def band_hashes(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,66 +227,142 @@ def alike(rows: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.nd
 
 #: Rows of a band's bucket that are compared where they lie; longer buckets are dealt in blocks.
 _BUCKET = 4096
+#: A line's record has node, n, low, high and its bands' keys; of a row in a bucket the key, node, low, high and n pass on, in 32-bit words.
+_RECORD, _ROW = 4 + BANDS, 9
+#: Records that are dealt at once, and into how many pieces at least; a worker goes through a piece's buckets in memory.
+_DEALT, _PIECES = 1 << 16, 1024
 #: Lines are short, so their blocks hold more rows than others, and each line is copied to fewer of them.
 _DEALING = {"block": 256, "spread": 8, "block_rows": 4096}
 
 
-def families(spark: SparkSession, tiles: DataFrame, percent: int) -> DataFrame:
-    """(grp, node): lines of one bucket (key) that similar sizes and signatures tie together.
+def _records(tiles: pa.Array) -> np.ndarray:
+    """The records of a column that :func:`mark` packed."""
+    if not len(tiles):
+        return np.zeros((0, _RECORD), np.int64)
+    width = np.int64 if pa.types.is_large_binary(tiles.type) else np.int32
+    offsets = np.frombuffer(tiles.buffers()[1], dtype=width)[tiles.offset : tiles.offset + len(tiles) + 1]
+    if offsets[0] == offsets[-1]:
+        return np.zeros((0, _RECORD), np.int64)
+    return np.frombuffer(tiles.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(np.int64).reshape(-1, _RECORD)
+
+
+def _in_pieces(records: np.ndarray, pieces: int, without: np.ndarray) -> pa.RecordBatch:
+    """(piece, rows): the rows of the records' buckets as one binary for each piece, but those of the sorted keys ``without``."""
+    records = records[np.unique(records[:, 0], return_index=True)[1]]
+    keys = records[:, 4:].ravel()
+    piece = ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.min_scalar_type(pieces))
+    order = np.argsort(piece, kind="stable")
+    if len(without):
+        order = order[~_among(keys[order], without)]
+    fixed = np.empty((len(records), _ROW - 2), np.uint32)
+    fixed[:, :6] = np.ascontiguousarray(records[:, [0, 2, 3]]).view(np.uint32)
+    fixed[:, 6] = records[:, 1]
+    rows = np.empty((len(order), _ROW), np.uint32)
+    rows[:, :2] = keys[order].view(np.uint32).reshape(-1, 2)
+    rows[:, 2:] = fixed[order // BANDS]
+    counts = np.bincount(piece[order], minlength=1)
+    some = np.flatnonzero(counts)
+    bounds = np.concatenate([[0], np.cumsum(counts[some])]) * rows.itemsize * _ROW
+    packed = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(rows)])
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), packed], names=["piece", "rows"])
+
+
+def _met(held: list[np.ndarray]) -> np.ndarray:
+    """(key, node, n, low, high) as rows of an array, in order, of the rows of a piece that are not alone in their bucket."""
+    rows = np.concatenate(held)
+    keys = np.ascontiguousarray(rows[:, :2]).view(np.int64).ravel()
+    order = np.argsort(keys)
+    keys = keys[order]
+    more = np.zeros(len(keys) + 1, dtype=bool)
+    more[1:-1] = keys[1:] == keys[:-1]
+    some = more[:-1] | more[1:]
+    keys, rows = keys[some], rows[order[some]]
+    node, low, high = np.ascontiguousarray(rows[:, 2:8]).view(np.int64).T
+    return np.stack([keys, node, rows[:, 8].astype(np.int64), low, high])[:, np.lexsort((node, keys))]
+
+
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted, not empty ``some``."""
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def families(spark: SparkSession, lines: DataFrame, percent: int) -> DataFrame:
+    """(grp, node): lines of one bucket (key) that similar sizes and signatures tie together, from packed records (tiles).
 
     Groups are found inside each bucket, so chance meetings in other bands
     never chain them into larger ones, and a family found by several bands is
-    one group.  Ordinary buckets are gone through in order of key, in arrays;
-    one with more than ``_BUCKET`` rows passes on to be dealt in blocks, as do
-    the longest, which never lie in one task.
+    one group.  Buckets are dealt to pieces by their key and gone through in
+    arrays; one with more than ``_BUCKET`` rows passes on to be dealt in
+    blocks, as do the longest, which never lie in one task.
     """
     ship(spark)
-    cold, hot = divided(tiles, long_tiles(spark, tiles, "lines"))
-    names = ["key", "node", "n", "low", "high"]
+    packed = lines.select("tiles")
+    share, names = grouping.SHARE, ["key", "node", "n", "low", "high"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = parts * -(-_PIECES // parts)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _records(batch.column(0))
+            own = own[textscan.mix(own[:, 0].view(np.uint64), 13) % np.uint64(share) == 0] if own.size else own
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, 4:].ravel()), pa.array(np.repeat(own[:, 0], BANDS))], names=names[:2])
+
+    keys = long_tiles(spark, packed.mapInArrow(sampled, "key long, node long"), "lines", whole=False)
+    # At most MOST_LONG keys.
+    without = np.sort(np.array([] if keys is None else [r["key"] for r in keys.collect()], dtype=np.int64))
+
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _records(batch.column(0))
+            at, band = np.nonzero(_among(own[:, 4:], without))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (own[at, 4 + band], *own[at, :4].T)], names=names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(_records(batch.column(0)))
+            count += len(held[-1])
+            if count >= _DEALT:
+                own = np.concatenate(held)
+                for first in range(0, count - _DEALT + 1, _DEALT):
+                    yield _in_pieces(own[first : first + _DEALT], pieces, without)
+                held = [own[first + _DEALT :]]
+                count = len(held[0])
+        if count:
+            yield _in_pieces(np.concatenate(held), pieces, without)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, passing = np.zeros((5, 0), np.int64), None
+        piece, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy()
-            # Rows alone in their bucket go at once; the first and the last may belong to a neighbouring batch.
-            more = np.ones(len(key) + 1, dtype=bool)
-            more[1:-1] = key[1:] == key[:-1]
-            some = np.flatnonzero(more[:-1] | more[1:])
-            rows = np.concatenate([held, np.stack([c.to_numpy()[some] for c in batch.columns])], axis=1)
-            # The last bucket may go on in the next batch.
-            last = int(np.searchsorted(rows[0], rows[0, -1]))
-            found, long, passing = settled(rows[:, :last], passing)
-            held = rows[:, last:]
-            if found or long:
-                yield as_batch(found, long)
-            if held.shape[1] > _BUCKET:
-                passing, long, held = int(held[0, 0]), held, np.zeros((5, 0), np.int64)
-                yield as_batch([], [long])
-        found, long, _ = settled(held, passing)
-        yield as_batch(found, long)
-
-    def settled(rows: np.ndarray, passing: int | None) -> tuple[list, list, int | None]:
-        """Families of whole buckets, rows of long ones, and the bucket that passes on (once gone by, none)."""
+            for at, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if at != piece and held:
+                    yield as_batch(*settled(_met(held)))
+                    held = []
+                piece = at
+                held.append(np.frombuffer(rows.as_buffer(), dtype=np.uint32).reshape(-1, _ROW))
+        if held:
+            yield as_batch(*settled(_met(held)))
+
+    def settled(rows: np.ndarray) -> tuple[list, list]:
+        """Families of whole buckets, and rows of long ones."""
         if not rows.shape[1]:
-            return [], [], passing
+            return [], []
         fresh = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
         rows = rows[:, fresh]
         starts = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
         counts = np.diff(np.concatenate([starts, [rows.shape[1]]]))
-        long = (counts > _BUCKET) | (rows[0, starts] == passing if passing is not None else False)
+        long = counts > _BUCKET
         out = [rows[:, np.repeat(long, counts)]] if long.any() else []
         rows = rows[:, np.repeat(~long & (counts > 1), counts)]
         if not rows.shape[1]:
-            return [], out, None
+            return [], out
         views = rows[2], rows[3].view(np.uint64), rows[4].view(np.uint64)
         ends = np.concatenate([np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1, [rows.shape[1]]])
         left = ends[np.searchsorted(ends, np.arange(rows.shape[1]), side="right")] - np.arange(rows.shape[1])
-        label, pairs, step = np.arange(rows.shape[1]), [], 1
-        while len(a := np.flatnonzero(left > step)):
+        label, pairs, step, ahead = np.arange(rows.shape[1]), [], 1, np.arange(rows.shape[1])
+        while len(ahead := ahead[left[ahead] > step]):
             # What is tied already is not looked at again.
-            a = a[label[a] != label[a + step]]
+            a = ahead[label[ahead] != label[ahead + step]]
             a = a[alike(views, a, a + step, percent)]
             pairs.append((a, a + step))
             if step & (step - 1) == 0 or step % 64 == 0:
@@ -269,11 +371,11 @@ def families(spark: SparkSession, tiles: DataFrame, percent: int) -> DataFrame:
         label = joined(label, pairs)
         members = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
         if not len(members):
-            return [], out, None
+            return [], out
         name = np.zeros(rows.shape[1], np.uint64)
         with np.errstate(over="ignore"):
             np.add.at(name, label[members], textscan.mix(rows[1, members].view(np.uint64), 9))
-        return [(textscan.mix(name[label[members]]).view(np.int64), rows[1, members])], out, None
+        return [(textscan.mix(name[label[members]]).view(np.int64), rows[1, members])], out
 
     def joined(label: np.ndarray, pairs: list) -> np.ndarray:
         a, b = (label[np.concatenate(x)] for x in zip(*pairs, strict=True)) if pairs else (label[:0], label[:0])
@@ -288,11 +390,12 @@ def families(spark: SparkSession, tiles: DataFrame, percent: int) -> DataFrame:
         columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (grp, node, *more)]
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.concatenate(flags) if flags else [], pa.bool_())], names=[*names, "long"])
 
-    ordered = cold.select(*names).repartition("key").sortWithinPartitions("key", "node")
-    done = stage(spark, ordered.mapInArrow(work, "key long, node long, n long, low long, high long, long boolean"), "lines-families")
+    dealt = packed.mapInArrow(deal, "piece int, rows binary").repartitionById(parts, F.col("piece") % parts).sortWithinPartitions("piece")
+    done = stage(spark, dealt.mapInArrow(work, "key long, node long, n long, low long, high long, long boolean"), "lines-families")
     rest = done.where("long").select(*names).distinct()
     rest = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
-    if hot is not None:
+    if keys is not None:
+        _, hot = divided(packed.mapInArrow(longest, "key long, node long, n long, low long, high long"), keys)
         rest = rest.unionByName(hot.select(*names, "size"))
 
     def settle(cross: bool, rows: list[tuple]) -> list[tuple[int, int]]:
@@ -327,7 +430,6 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    line = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def describe(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -340,8 +442,8 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
             seen.update(nodes[fresh].tolist())
             keys, low, high = (x.view(np.int64)[fresh] for x in sets.bands())
             ahead = np.concatenate([[0], np.cumsum(fresh)])[sets.bounds]
-            each = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-            tiles = pa.StructArray.from_arrays([pa.array(nodes[fresh]), pa.array(sets.sizes[fresh]), pa.array(low), pa.array(high), each], fields=list(line))
+            records = np.concatenate([np.stack([nodes[fresh], sets.sizes[fresh], low, high], axis=1), keys], axis=1)
+            tiles = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer((ahead * records.itemsize * _RECORD).astype(np.int32)), pa.py_buffer(records)])
             part = batch.slice(first, last - first)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -349,17 +451,15 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
                     part.column("text_hash"),
                     pa.ListArray.from_arrays(pa.array(sets.bounds, pa.int32()), pa.array(nodes)),
                     pa.ListArray.from_arrays(pa.array(sets.bounds, pa.int32()), pa.array(sets.sizes)),
-                    pa.ListArray.from_arrays(pa.array(ahead, pa.int32()), tiles),
+                    tiles,
                 ],
                 names=["id", "text_hash", "nodes", "sizes", "tiles"],
             )
 
-    schema = f"id {kind}, text_hash long, nodes array<long>, sizes array<long>, tiles array<struct<node:long,n:long,low:long,high:long,keys:array<long>>>"
+    schema = f"id {kind}, text_hash long, nodes array<long>, sizes array<long>, tiles binary"
     lines = stage(spark, map_text(hashed, schema, describe, ["id", "text", "text_hash"]), "lines-sets")
 
-    fresh = lines.select(F.explode("tiles").alias("t"))
-    tiles = fresh.select("t.node", "t.n", "t.low", "t.high", F.explode("t.keys").alias("key")).select("key", "node", "n", "low", "high")
-    groups = stage(spark, families(spark, tiles, percent), "lines-groups")
+    groups = stage(spark, families(spark, lines, percent), "lines-groups")
     each = lines.select("id", "text_hash", F.posexplode(F.arrays_zip("nodes", "sizes")).alias("line", "x"))
     each = each.select("id", "text_hash", "line", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"))
     one = each.groupBy("node").agg(F.min(F.struct("text_hash", "id", "line", "n")).alias("one"))
